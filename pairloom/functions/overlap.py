@@ -11,7 +11,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
+
+TILE_SUMS = ArrayType(
+    StructType()
+    .add("pos", LongType())
+    .add("text", StringType())
+    .add("n", LongType())
+    .add("chrf", DoubleType())
+    .add("bleu", DoubleType())
+)
 CHUNK = 1 << 20  # symbols worked on at once: bounds memory whatever the batch holds
 
 
@@ -112,7 +121,7 @@ def as_list_array(matrix: np.ndarray) -> pa.Array:
 def overlap_udf(orders: int):
     """Arrow function (left, right) -> shared n-gram counts for orders 1..orders."""
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf(ArrayType(LongType()))
     def shared(left: pa.Array, right: pa.Array) -> pa.Array:
         rows = np.arange(len(left))
         return as_list_array(pair_overlap(*symbols(left, right), rows, rows, orders))
@@ -154,7 +163,7 @@ def bleu_score(shared, n_hyp, n_ref):
     return np.where(defined, brevity * np.exp(np.log(precision).mean(axis=1)), 0.0)
 
 
-@F.arrow_udf("array<struct<pos:bigint,text:string,n:bigint,chrf:double,bleu:double>>")
+@F.arrow_udf(TILE_SUMS)
 def tile_utilities(tile: pa.Array, diagonal: pa.Array) -> pa.Array:
     """Per candidate of a tile: number of partners in the tile and summed sentence scores against them.
 

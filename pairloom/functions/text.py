@@ -6,9 +6,9 @@ import unicodedata
 from collections.abc import Mapping
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # --- fixed values -----------------------------------------------------------------------------
 # Unicode whitespace as Python's str.strip()/str.split()/\s see it.
@@ -97,9 +97,10 @@ def codepoint_label(col: Column) -> Column:
     return F.concat(F.lit("U+"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _normalize_nfc(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, form="NFC")
+    # not pyarrow's utf8_normalize: its NFC leaves text decomposed
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in values.to_pylist()], pa.string())
 
 
 def nfc(col: Column) -> Column:
@@ -108,7 +109,7 @@ def nfc(col: Column) -> Column:
     return F.coalesce(_normalize_nfc(needs_work), col)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _unicode_name(values: pa.Array) -> pa.Array:
     names = [
         None if ch is None else "SPACE" if ch.isspace() else unicodedata.name(ch, "UNKNOWN")
