@@ -26,7 +26,8 @@ ARABIC = r"\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF"
 ARABIC_NARROW = r"\u0600-\u06FF\u0750-\u077F"
 # ASCII punctuation (Python's string.punctuation), peeled off words by chrF++.
 PUNCT = r"!-/:-@\[-`{-~"
-# "13a" tokenisation, in order of application.
+# "13a" tokenisation, in order of application. Marks are tested before what stands in front of them, so
+# that a scan stops at marks only; a second mark right after one is skipped, as published.
 BLEU_LITERALS = [
     ("<skipped>", ""),
     ("-\n", ""),
@@ -37,10 +38,10 @@ BLEU_LITERALS = [
     ("&gt;", ">"),
 ]
 BLEU_RULES = [
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
-    (r"([^0-9])([\.,])", "$1 $2 "),
+    (r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])", " $1 "),
+    (r"([\.,])(?<=[^0-9][\.,])([\.,]?)", " $1 $2"),
     (r"([\.,])([^0-9])", " $1 $2"),
-    (r"([0-9])(-)", "$1 $2 "),
+    (r"(-)(?<=[0-9]-)", " - "),
 ]
 # ----------------------------------------------------------------------------------------------
 
@@ -56,7 +57,7 @@ def drop_whitespace(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """Split on Unicode whitespace; no empty elements."""
-    return F.regexp_extract_all(col, F.lit(f"[^{WS}]+"), F.lit(0))
+    return F.array_remove(F.split(col, f"[{WS}]+"), "")
 
 
 def tokenize(col: Column) -> Column:

@@ -22,7 +22,9 @@ def build_vocab(
 
     Counts are combined before the shuffle. The numbering sorts at most ``size`` rows.
     """
-    counts = df.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    # the outer form: for the inner one Spark adds a filter that would tokenise every text once more
+    exploded = df.select(F.explode_outer(pieces).alias("piece")).filter(F.col("piece").isNotNull())
+    counts = exploded.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     top = counts.filter(~F.col("piece").isin(*specials)).orderBy(F.desc("n"), "piece").limit(size)
     number = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "piece"))
     numbered = top.withColumn("piece_id", (number + len(specials) - 1).cast("long"))

@@ -216,7 +216,10 @@ def gram_table(df: DataFrame, id_col: str, hyp: str, ref: str, kind: str = "chrf
         rows = rows.select(id_col, "side", T.bleu_tokens(text).alias("b"))
         grams = [_grams(F.col("b"), n) for n in range(1, BLEU_ORDER + 1)]
     tagged = F.array(*[F.struct(F.lit(i).alias("ord"), g.alias("grams")) for i, g in enumerate(grams, start=1)])
-    return rows.select(id_col, "side", F.inline(tagged)).select(id_col, "side", "ord", F.explode("grams").alias("gram"))
+    each = rows.select(id_col, "side", F.inline(tagged))
+    return each.select(id_col, "side", "ord", F.explode_outer("grams").alias("gram")).filter(
+        F.col("gram").isNotNull()
+    )
 
 
 def gram_counts(

@@ -76,7 +76,7 @@ def char_counts(df: DataFrame, col: str, already_nfc: bool = False) -> DataFrame
     The percentage needs the grand total: a window over the counts, which are alphabet-sized.
     """
     text = F.col(col) if already_nfc else T.nfc(F.col(col))
-    chars = df.select(F.explode(F.split(text, "")).alias("ch")).filter(F.col("ch") != "")
+    chars = df.select(F.explode_outer(F.split(text, "")).alias("ch")).filter(F.col("ch") != "")
     counts = chars.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy(F.lit(0)))
     return counts.select("ch", "n", (100.0 * F.col("n") / total).alias("pct"))

@@ -26,8 +26,8 @@ DECOMPOSED = {"é": "e\u0301", "è": "e\u0300", "ä": "a\u0308", "ñ": "n\u0303"
 VOCAB = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    return readers.widen(readers.read_table(spark, f"{sf_dir}/{name}.parquet"), key)
+def table(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
+    return readers.widen(readers.read_table(spark, f"{sf_dir}/{name}.parquet"), *key)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations", "turn")
+    return table(spark, sf_dir, "conversations", "conv_id", "turn")
 
 
 def _respelled(col: str):
