@@ -7,7 +7,6 @@ import json
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,19 +64,18 @@ def write_rules(char_map: DataFrame, rules: Rules, path: str, mode: str = "error
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables.
-
-    Where the session names none (local tests), a fresh folder is made and recorded.
-    """
+    """The cluster's shared folder for intermediate tables; a fresh local one only in local mode without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="pairloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="pairloom-")
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut, columnar."""
+    """Write ``df`` to the shared folder and read it back: computed once, columnar, and a lost executor costs
+    a re-read, not a recomputation."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/pairloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -98,7 +96,5 @@ def materialise(df: DataFrame, folder: str, inputs: dict, refresh: bool = False)
 
 
 def _finished(spark: SparkSession, path: str) -> bool:
-    try:
-        return spark.read.format("binaryFile").load(f"{path}/_SUCCESS").limit(1).count() == 1
-    except AnalysisException:
-        return False
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
