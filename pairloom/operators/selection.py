@@ -45,8 +45,8 @@ def candidate_pool(*parts: DataFrame, priority: tuple[int, ...] | None = None) -
 
 
 def candidate_dedup(cands: DataFrame) -> DataFrame:
-    """Distinct texts per id with their earliest position."""
-    return cands.groupBy("id", "text").agg(F.min("pos").cast("long").alias("pos"))
+    """Distinct texts per id with their earliest position. Rows without an id belong to no sentence."""
+    return cands.filter(F.col("id").isNotNull()).groupBy("id", "text").agg(F.min("pos").cast("long").alias("pos"))
 
 
 def _tiles(distinct: DataFrame, block: int) -> DataFrame:
@@ -56,7 +56,8 @@ def _tiles(distinct: DataFrame, block: int) -> DataFrame:
     no task ever holds more than about two blocks of it. Ids are joined to their sizes with a salt, so one
     large id does not end up in one task.
     """
-    sizes = distinct.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
+    # counting ``pos`` keeps this plan equal to the other use of ``distinct``, so Spark shuffles that once
+    sizes = distinct.groupBy("id").agg(F.count("pos").alias("_n")).filter(F.col("_n") > block)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     blocks = sizes.select("id", F.ceil(F.col("_n") / block).alias("_blocks"), salts)
     salted = distinct.withColumn("_hash", F.xxhash64("text")).withColumn("_salt", F.pmod("_hash", F.lit(SALTS)).cast("int"))

@@ -16,16 +16,19 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
+WIDEN_BYTES = 128 << 10  # a task per this much is enough even for costly per-row work
 RULES_SCHEMA = "char_map map<string,string>, suffixes array<struct<suffix:string,attach:boolean>>"
 
 
 def widen(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that has fewer splits than the cluster has cores; leave every other scan alone.
+    """Spread a scan with too few splits for its size over the cores; leave every other scan alone.
 
-    Only for plain scans: asking for the split count plans the scan but runs nothing.
+    Local files often hold one row group, hence one task. A scan that already has a split per core, as any
+    large table has, is returned as it is. Only for plain scans: nothing is run, only the scan is planned.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, size // WIDEN_BYTES + 1)
+    return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",") -> DataFrame:
