@@ -22,6 +22,7 @@ TILE_SUMS = ArrayType(
     .add("bleu", DoubleType())
 )
 CHUNK = 1 << 20  # symbols worked on at once: bounds memory whatever the batch holds
+PAIRS = 1 << 16  # candidate pairs scored at once
 
 
 def symbols(*arrays: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -163,37 +164,44 @@ def bleu_score(shared, n_hyp, n_ref):
     return np.where(defined, brevity * np.exp(np.log(precision).mean(axis=1)), 0.0)
 
 
+def add_pair_scores(sums: dict[str, np.ndarray], coded: dict, left: np.ndarray, right: np.ndarray) -> None:
+    """Add both directions of every (left, right) pair to the per-member sums."""
+    members = len(sums["n"])
+    sums["n"] += np.bincount(left, minlength=members) + np.bincount(right, minlength=members)
+    for name, score, fields in (
+        ("chrf", chrf_score, (("chars", 6), ("words", 2))),
+        ("bleu", bleu_score, (("tokens", 4),)),
+    ):
+        shared = np.hstack([pair_overlap(coded[f], coded[f], left, right, k) for f, k in fields])
+        totals = np.hstack([gram_totals(coded[f][1], k) for f, k in fields])
+        sums[name] += np.bincount(left, score(shared, totals[left], totals[right]), members)
+        sums[name] += np.bincount(right, score(shared, totals[right], totals[left]), members)
+
+
 @F.arrow_udf(TILE_SUMS)
 def tile_utilities(tile: pa.Array, diagonal: pa.Array) -> pa.Array:
     """Per candidate of a tile: number of partners in the tile and summed sentence scores against them.
 
     ``tile``: list of (pos, text, second, chars, words, tokens); ``second`` marks the tile's second block.
+    Pairs are index arrays, scored as soon as enough of them have gathered.
     """
     members = tile.flatten()
     offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(tile).to_numpy(zero_copy_only=False))]).astype(int)
     second = members.field("second").to_numpy(zero_copy_only=False)
     one_block = diagonal.to_numpy(zero_copy_only=False)
-    lefts, rights = [], []
+    coded = {f: symbols(members.field(f))[0] for f in ("chars", "words", "tokens")}
+    sums = {"n": np.zeros(len(members), np.int64), "chrf": np.zeros(len(members)), "bleu": np.zeros(len(members))}
+    waiting, n_waiting = [], 0
     for t in range(len(tile)):
         inside = np.arange(offsets[t], offsets[t + 1])
         if one_block[t]:
-            a, b = pair_list(inside, None)
+            waiting.append(pair_list(inside, None))
         else:
-            a, b = pair_list(inside[~second[inside]], inside[second[inside]])
-        lefts.append(a)
-        rights.append(b)
-    n_members = len(members)
-    left = np.concatenate([np.zeros(0, int), *lefts])
-    right = np.concatenate([np.zeros(0, int), *rights])
-    sums = {"n": np.bincount(left, minlength=n_members) + np.bincount(right, minlength=n_members)}
-    coded = {f: symbols(members.field(f))[0] for f in ("chars", "words", "tokens")}
-    for score, fields in (("chrf", (("chars", 6), ("words", 2))), ("bleu", (("tokens", 4),))):
-        shared = np.hstack([pair_overlap(coded[f], coded[f], left, right, k) for f, k in fields])
-        totals = np.hstack([gram_totals(coded[f][1], k) for f, k in fields])
-        function = chrf_score if score == "chrf" else bleu_score
-        forward = function(shared, totals[left], totals[right])
-        backward = function(shared, totals[right], totals[left])
-        sums[score] = np.bincount(left, forward, n_members) + np.bincount(right, backward, n_members)
-    fields = [members.field("pos"), members.field("text"), pa.array(sums["n"]), pa.array(sums["chrf"]), pa.array(sums["bleu"])]
+            waiting.append(pair_list(inside[~second[inside]], inside[second[inside]]))
+        n_waiting += len(waiting[-1][0])
+        if n_waiting and (n_waiting >= PAIRS or t == len(tile) - 1):
+            add_pair_scores(sums, coded, *map(np.concatenate, zip(*waiting)))
+            waiting, n_waiting = [], 0
+    fields = [members.field("pos"), members.field("text"), *[pa.array(sums[k]) for k in ("n", "chrf", "bleu")]]
     rows = pa.StructArray.from_arrays(fields, names=["pos", "text", "n", "chrf", "bleu"])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)

@@ -174,7 +174,8 @@ def top_chars(spark, d):
 
 
 def variant_usage(spark, d):
-    return _r(orthography.variant_usage(counts(spark, d), LATIN_GROUPS), "pct_of_group")
+    usage = orthography.variant_usage(counts(spark, d), LATIN_GROUPS)
+    return _r(usage, "pct_of_group").withColumn("rank", F.col("rank").cast("long"))
 
 
 def learn_char_map(spark, d):
@@ -346,8 +347,7 @@ def decode_labels(spark, d):
 
 def param_grid(spark, d):
     base = readers.read_table(spark, f"{d}/events.parquet").select("event_type").distinct()
-    grid = trials.param_grid(base, lora_r=[4, 8, 16], learning_rate=[3e-5, 5e-5])
-    return grid.withColumns({c: F.col(c).cast("long") for c in ("lora_r", "trial")})
+    return trials.param_grid(base, lora_r=[4, 8, 16], learning_rate=[3e-5, 5e-5])
 
 
 def log_metric(spark, d):
