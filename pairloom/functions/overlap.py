@@ -21,7 +21,7 @@ TILE_SUMS = ArrayType(
     .add("chrf", DoubleType())
     .add("bleu", DoubleType())
 )
-CHUNK = 1 << 20  # symbols worked on at once: bounds memory whatever the batch holds
+CHUNK = 1 << 18  # symbols worked on at once: bounds memory whatever the batch holds, and fits caches
 PAIRS = 1 << 16  # candidate pairs scored at once
 
 
@@ -69,15 +69,15 @@ def shared_grams(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_righ
     """
     pairs = len(n_left)
     base = int(max(left.max(initial=0), right.max(initial=0))) + 1
-    row = np.concatenate([np.repeat(np.arange(pairs), n_left), np.repeat(np.arange(pairs), n_right)])
-    side = np.repeat(np.array([0, 1]), [len(left), len(right)])
+    owners = np.arange(pairs) * 2
+    seq = np.concatenate([np.repeat(owners, n_left), np.repeat(owners + 1, n_right)])  # even: left, odd: right
     last = np.concatenate([left, right])
-    gram, bound = row, pairs
+    gram, bound = seq >> 1, pairs
     out = np.zeros((pairs, orders), dtype=np.int64)
     for order in range(1, orders + 1):
         if order > 1:  # keep the positions that still have a symbol to their right in the same sequence
-            inside = (row[:-1] == row[1:]) & (side[:-1] == side[1:])
-            gram, row, side, last = gram[:-1][inside], row[:-1][inside], side[:-1][inside], last[1:][inside]
+            inside = seq[:-1] == seq[1:]
+            gram, seq, last = gram[:-1][inside], seq[:-1][inside], last[1:][inside]
         if not len(gram):
             break
         if bound * base >= 1 << 61:
@@ -85,13 +85,14 @@ def shared_grams(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_righ
             bound = int(gram.max()) + 1
         gram = gram * base + last
         bound *= base
-        ordered = np.sort(gram * 2 + side)
+        ordered = gram * 2 + (seq & 1)
+        ordered.sort()
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(starts, len(ordered)))
         keys = ordered[starts]
         both = np.flatnonzero(keys[:-1] ^ keys[1:] == 1)  # same n-gram, left then right
         # numbers are row-major, so the sorted positions fall into one run per pair
-        per_pair = np.bincount(row, minlength=pairs)
+        per_pair = np.maximum(n_left - order + 1, 0) + np.maximum(n_right - order + 1, 0)
         owner = np.repeat(np.arange(pairs), per_pair)[starts[both]]
         out[:, order - 1] = np.bincount(owner, np.minimum(counts[both], counts[both + 1]), minlength=pairs)
     return out
