@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairloom.functions import text as T
+from pairloom.sources.readers import option_table
 
 BROADCAST_VOCAB = 1_000_000  # entries; a larger vocabulary is joined by shuffle
 
@@ -28,8 +30,13 @@ def build_vocab(
     top = counts.filter(~F.col("piece").isin(*specials)).orderBy(F.desc("n"), "piece").limit(size)
     number = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "piece"))
     numbered = top.withColumn("piece_id", (number + len(specials) - 1).cast("long"))
-    rows = [(s, 0, i) for i, s in enumerate(specials)]
-    return df.sparkSession.createDataFrame(rows, "piece string, n long, piece_id long").unionByName(numbered)
+    reserved = option_table(
+        df.sparkSession,
+        piece=pa.array(specials, pa.string()),
+        n=pa.array([0] * len(specials), pa.int64()),
+        piece_id=pa.array(range(len(specials)), pa.int64()),
+    )
+    return reserved.unionByName(numbered)
 
 
 def _small(vocab_size: int | None) -> bool:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairloom.functions import text as T
+from pairloom.sources.readers import option_table
 
 # --- fixed values -----------------------------------------------------------------------------
 # Letters that stand for each other, most usual first: for learning a map and for auditing output.
@@ -95,7 +97,12 @@ def group_table(spark: SparkSession, groups: Sequence[Sequence[str]]) -> DataFra
         for group_id, group in enumerate(groups, start=1)
         for ord_, ch in enumerate(dict.fromkeys(group))
     ]
-    return spark.createDataFrame(rows, "group_id int, ch string, ord int")
+    return option_table(
+        spark,
+        group_id=pa.array([r[0] for r in rows], pa.int32()),
+        ch=pa.array([r[1] for r in rows], pa.string()),
+        ord=pa.array([r[2] for r in rows], pa.int32()),
+    )
 
 
 def _present(counts: DataFrame, groups: Sequence[Sequence[str]]) -> DataFrame:

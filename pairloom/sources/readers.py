@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,4 +104,10 @@ def read_rules(spark: SparkSession, path: str) -> Rules:
 
 def rules_table(spark: SparkSession, rules: Rules) -> DataFrame:
     """The character map as rows (from_ch, to_ch)."""
-    return spark.createDataFrame(list(rules.char_map.items()), "from_ch string, to_ch string")
+    old, new = list(rules.char_map), list(rules.char_map.values())
+    return option_table(spark, from_ch=pa.array(old, pa.string()), to_ch=pa.array(new, pa.string()))
+
+
+def option_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A table made of options. As a local relation it needs no job and its size is known to the planner."""
+    return spark.createDataFrame(pa.table(columns))
