@@ -111,22 +111,27 @@ def _rate(count: str, of: str) -> Column:
 
 # name -> vote; thresholds are on rates, so texts of all lengths are judged alike. Rules that look for one defect
 # abstain without it: its absence says little.
-ABSTAIN = F.lit(False)
-RULES = {
-    "length": _vote(F.col("n_words") >= 30, F.col("n_words") < 10),
-    "symbols": _vote(ABSTAIN, _rate("n_symbols", "n_words") > 0.2),
-    "repeats": _vote(ABSTAIN, _rate("n_repeat_words", "n_words") > 0.2),
-    "lines": _vote(ABSTAIN, _rate("n_dup_lines", "n_lines") > 0.3),
-    "variety": _vote(ABSTAIN, (F.col("n_words") >= 30) & (_rate("n_distinct", "n_words") < 0.15)),
-    "word_length": _vote(ABSTAIN, ~_rate("word_chars", "n_words").between(2, 15)),
-    "sentences": _vote(
-        _rate("n_stops", "n_words") >= 0.02, (F.col("n_words") >= 30) & (_rate("n_stops", "n_words") < 0.004)
-    ),
-}
+RULES = ("length", "symbols", "repeats", "lines", "variety", "word_length", "sentences")
+
+
+def rules() -> dict[str, Column]:
+    abstain = F.lit(False)
+    long_enough = F.col("n_words") >= 30
+    word_length = _rate("word_chars", "n_words")
+    stops = _rate("n_stops", "n_words")
+    return {
+        "length": _vote(long_enough, F.col("n_words") < 10),
+        "symbols": _vote(abstain, _rate("n_symbols", "n_words") > 0.2),
+        "repeats": _vote(abstain, _rate("n_repeat_words", "n_words") > 0.2),
+        "lines": _vote(abstain, _rate("n_dup_lines", "n_lines") > 0.3),
+        "variety": _vote(abstain, long_enough & (_rate("n_distinct", "n_words") < 0.15)),
+        "word_length": _vote(abstain, ~word_length.between(2, 15)),
+        "sentences": _vote(stops >= 0.02, long_enough & (stops < 0.004)),
+    }
 
 
 def votes(counts: DataFrame) -> DataFrame:
-    return counts.select("*", F.array(*RULES.values()).alias("votes"))
+    return counts.select("*", F.array(*(rules()[name] for name in RULES)).alias("votes"))
 
 
 def start() -> Model:
