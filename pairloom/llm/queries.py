@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import language_id, ngram_join, packing, quality_rules, secret_scan, toxicity, url_filter, warc
+from pairloom.llm import (
+    language_id,
+    ngram_join,
+    packing,
+    quality_rules,
+    secret_scan,
+    substring_dedup,
+    toxicity,
+    url_filter,
+    warc,
+)
 from pairloom.llm.tables import documents
 
 
@@ -22,6 +32,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -46,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
     "op4_ngram_join": op4_ngram_join,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
@@ -55,4 +70,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_ngram_join": ngram_join.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
 }
