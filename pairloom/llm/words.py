@@ -65,9 +65,11 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, np.
         first = last
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(
+    data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = SEPARATOR
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start byte and end byte of every word, and the n + 1 bounds of the texts in words."""
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
