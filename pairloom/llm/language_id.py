@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import free_name
 from pairloom.llm.words import blocks
 
 UNKNOWN = "und"
@@ -28,10 +27,11 @@ SAMPLE = 500
 EXCERPTS = 4
 EXCERPT = 64
 HIDDEN = 12
-STEPS = 400
-BATCH = 192
+STEPS = 240
+BATCH = 128
 SEGMENT = 240
 CONTEXT = 8
+SIDE_BY_SIDE = 2048  # segments read at once
 BLANK = 32
 
 
@@ -68,50 +68,64 @@ def new_network(languages: list[str], hidden: int = HIDDEN, seed: int = 1) -> Ne
     )
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place, as a tanh, which numpy has vectorised."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
+def _gate(x: np.ndarray) -> np.ndarray:
+    """A sigmoid of straight lines, in place: no exponential is taken for every byte."""
+    x *= 0.25
     x += 0.5
+    return np.clip(x, 0, 1, out=x)
+
+
+def _gate_slope(y: np.ndarray) -> np.ndarray:
+    return np.where((y > 0) & (y < 1), np.float32(0.25), np.float32(0))
+
+
+def _squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place."""
+    below = np.abs(x)
+    below += 1
+    x /= below
     return x
 
 
 def run_direction(network: Network, d: int, codes: np.ndarray) -> np.ndarray:
-    """Contribution of direction ``d`` to the output, (T, B, K), for byte codes (T, B)."""
+    """Contribution of direction ``d`` to the output, (T, K, B), for byte codes (T, B). States are kept as columns, so
+    that every gate is one block of memory."""
     steps, n = codes.shape
-    table, u, bias, out = network.tables[d], network.recurrent[d], network.biases[d], network.outputs[d]
-    hidden = u.shape[0]
-    h = np.zeros((n, hidden), np.float32)
-    g = np.empty((n, 3 * hidden), np.float32)
-    x = np.empty((n, 3 * hidden), np.float32)
-    result = np.empty((steps, n, out.shape[1]), np.float32)
+    table, bias = network.tables[d], network.biases[d][:, None]
+    u, out = np.ascontiguousarray(network.recurrent[d].T), np.ascontiguousarray(network.outputs[d].T)
+    hidden = u.shape[1]
+    h = np.zeros((hidden, n), np.float32)
+    g = np.empty((3 * hidden, n), np.float32)
+    x = np.empty((3 * hidden, n), np.float32)
+    rows = np.empty((n, 3 * hidden), np.float32)
+    result = np.empty((steps, out.shape[0], n), np.float32)
     for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-        np.take(table, codes[t], axis=0, out=x, mode="clip")
-        np.matmul(h, u, out=g)
-        gates = x[:, : 2 * hidden]
-        gates += g[:, : 2 * hidden]
-        _sigmoid(gates)
-        candidate = g[:, 2 * hidden :]
+        np.take(table, codes[t], axis=0, out=rows, mode="clip")
+        np.copyto(x, rows.T)
+        np.matmul(u, h, out=g)
+        gates = x[: 2 * hidden]
+        gates += g[: 2 * hidden]
+        _gate(gates)
+        candidate = g[2 * hidden :]
         candidate += bias
-        candidate *= x[:, hidden : 2 * hidden]
-        candidate += x[:, 2 * hidden :]
-        np.tanh(candidate, out=candidate)
+        candidate *= x[hidden : 2 * hidden]
+        candidate += x[2 * hidden :]
+        _squash(candidate)
         h -= candidate
-        h *= x[:, :hidden]
+        h *= x[:hidden]
         h += candidate
-        np.matmul(h, out, out=result[t])
+        np.matmul(out, h, out=result[t])
     return result
 
 
 def position_probabilities(network: Network, codes: np.ndarray) -> np.ndarray:
-    """Probability of every language at every position, (T, B, K)."""
+    """Probability of every language at every position, (T, K, B)."""
     logits = run_direction(network, 0, codes)
     logits += run_direction(network, 1, codes)
-    logits += network.output_bias
-    logits -= logits.max(axis=2, keepdims=True)
+    logits += network.output_bias[:, None]
+    logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=2, keepdims=True)
+    logits /= logits.sum(axis=1, keepdims=True)
     return logits
 
 
@@ -128,10 +142,10 @@ def gradients(network: Network, codes: np.ndarray, labels: np.ndarray, weight: n
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
             x = network.tables[d][codes[t]]
             g = h @ u
-            z = _sigmoid(x[:, :hidden] + g[:, :hidden])
-            r = _sigmoid(x[:, hidden : 2 * hidden] + g[:, hidden : 2 * hidden])
+            z = _gate(x[:, :hidden] + g[:, :hidden])
+            r = _gate(x[:, hidden : 2 * hidden] + g[:, hidden : 2 * hidden])
             inner = g[:, 2 * hidden :] + bias
-            c = np.tanh(x[:, 2 * hidden :] + r * inner)
+            c = _squash(x[:, 2 * hidden :] + r * inner)
             saved[t] = (h, z, r, inner, c)
             h = c + z * (h - c)
             hs[t] = h
@@ -155,10 +169,10 @@ def gradients(network: Network, codes: np.ndarray, labels: np.ndarray, weight: n
             before, z, r, inner, c = kept[d][t]
             d_out += states[d][t].T @ error[t]
             d_h = d_h + error[t] @ out.T
-            d_c = d_h * (1 - z) * (1 - c * c)
-            d_z = d_h * (before - c) * z * (1 - z)
+            d_c = d_h * (1 - z) * (1 - np.abs(c)) ** 2
+            d_z = d_h * (before - c) * _gate_slope(z)
             d_inner = d_c * r
-            d_r = d_c * inner * r * (1 - r)
+            d_r = d_c * inner * _gate_slope(r)
             d_g = np.hstack([d_z, d_r, d_inner])
             d_u += before.T @ d_g
             d_bias += d_inner.sum(axis=0)
@@ -242,14 +256,14 @@ def text_probabilities(network: Network, data: np.ndarray, bounds: np.ndarray) -
     within = np.arange(len(text_of)) - np.repeat(np.cumsum(n_segments) - n_segments, n_segments)
     starts = bounds[text_of] + within * SEGMENT
     totals = np.zeros((len(sizes), len(network.languages)))
-    for a in range(0, len(starts), 4096):
-        own = slice(a, a + 4096)
+    for a in range(0, len(starts), SIDE_BY_SIDE):
+        own = slice(a, a + SIDE_BY_SIDE)
         at = starts[own] + np.arange(-CONTEXT, SEGMENT + CONTEXT)[:, None]
         inside = (at >= bounds[text_of[own]]) & (at < bounds[text_of[own] + 1])
         codes = np.where(inside, data[np.clip(at, 0, len(data) - 1)], BLANK)
         p = position_probabilities(network, codes)[CONTEXT : CONTEXT + SEGMENT]
-        p *= inside[CONTEXT : CONTEXT + SEGMENT, :, None]
-        np.add.at(totals, text_of[own], p.sum(axis=0, dtype=np.float64))
+        p *= inside[CONTEXT : CONTEXT + SEGMENT, None, :]
+        np.add.at(totals, text_of[own], p.sum(axis=0, dtype=np.float64).T)
     return totals / np.maximum(sizes, 1)[:, None]
 
 
@@ -267,20 +281,6 @@ def predictions(network: Network, column: pa.Array) -> tuple[list[str], list[flo
     return names, scores
 
 
-def with_language(df: DataFrame, network: Network, text: str, name: str) -> DataFrame:
-    """The input with a struct column ``name`` of lang_pred and score."""
-
-    @F.arrow_udf("lang_pred string, score double")
-    def predicted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            names, scores = predictions(network, column)
-            yield pa.StructArray.from_arrays(
-                [pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
-            )
-
-    return df.withColumn(name, predicted(F.col(text)))
-
-
 def fold(key: str, of: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % of
 
@@ -292,17 +292,35 @@ def train(df: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, held_out, lang_pred, score) of every row, learned from two of three folds."""
     network = train(df, fold(key, 3) != 1, key, text, lang)
-    own = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = with_language(own, network, "text", "found")
-    held_out = F.coalesce(fold("key", 3) == 1, F.lit(False))
-    return found.select(F.col("key").alias(key), held_out.alias("held_out"), "found.lang_pred", "found.score")
+    held_out = F.coalesce(fold(key, 3) == 1, F.lit(False))
+    own = df.select(F.col(key).alias("key"), held_out.alias("held_out"), F.col(text).alias("text"))
+    return predicted(own, network).withColumnRenamed("key", key)
 
 
-def known_language(df: DataFrame, least: float = 0.5, key: str = "doc_id", text: str = "text", lang: str = "lang"):
+def predicted(own: DataFrame, network: Network) -> DataFrame:
+    """(key, held_out, lang_pred, score) from (key, held_out, text)."""
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = predictions(network, batch.column(2))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                ["key", "held_out", "lang_pred", "score"],
+            )
+
+    schema = own.select("key", "held_out").schema.add("lang_pred", "string").add("score", "double")
+    return own.mapInArrow(predict, schema)
+
+
+def known_language(df: DataFrame, least: float = 0.4, key: str = "doc_id", text: str = "text", lang: str = "lang"):
     """The rows, with all their columns, whose text has a language: one language holds at least ``least`` of the
     pooled probability."""
     network = train(df, fold(key, 3) != 1, key, text, lang)
-    found = free_name(df, "language_found")
-    kept = with_language(df, network, text, found)
-    good = (F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= least)
-    return kept.where(good).drop(found)
+    at = df.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = zip(*predictions(network, batch.column(at)), strict=True)
+            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
+
+    return df.mapInArrow(keep, df.schema)
