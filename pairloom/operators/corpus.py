@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,7 @@ from pyspark.sql import Window as W
 
 from pairloom.functions import text as T
 
-BUCKETS = 1 << 16
-TOP_K_LIMIT = 100_000
+DIGITS = 4  # hex digits of a hash that one histogram counts: 65,536 rows at most
 
 
 def pick_column(df: DataFrame, wanted: str | None, fallback: str | int) -> str:
@@ -52,8 +52,19 @@ def script_ratio(col: Column, char_class: str) -> Column:
 
 
 def head_n(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows; ``n`` 0 keeps all."""
-    return df.orderBy(*order_by).limit(n) if n else df
+    """The first ``n`` rows (rows that tie with the last of them stay too); ``n`` 0 keeps all.
+
+    Runs a job over the ordering columns alone for the last key within, then filters: other columns are never sorted.
+    """
+    if not n:
+        return df
+    order = F.struct(*order_by)
+    ends = df.select(*order_by).orderBy(*order_by).limit(n).agg(F.max(order).alias("last"), F.count("*").alias("n")).first()
+    if ends.n < n:
+        return df
+    kinds = [df.schema[c].dataType for c in order_by]
+    last = F.struct(*[F.lit(v).cast(kind).alias(c) for c, v, kind in zip(order_by, ends.last, kinds)])
+    return df.filter(order <= last)
 
 
 def check_scripts(
@@ -61,14 +72,14 @@ def check_scripts(
     source: str = "source",
     target: str = "target",
     order_by: tuple[str, ...] = ("pair_id",),
-    n: int = 1000,
+    n: int = 0,
     source_class: str = T.LATIN,
     target_class: str = T.ARABIC,
     source_min: float = 0.5,
     target_min: float = 0.2,
 ) -> DataFrame:
-    """One row: script shares of the first ``n`` rows and whether they look like the right columns."""
-    ratios = head_n(df.select(*order_by, source, target), list(order_by), n).agg(
+    """One row: script shares of all rows (of the first ``n``, if given) and whether they look like the right columns."""
+    ratios = (head_n(df, list(order_by), n) if n else df).agg(
         script_ratio(F.col(source), source_class).alias("source_ratio"),
         script_ratio(F.col(target), target_class).alias("target_ratio"),
     )
@@ -83,16 +94,16 @@ def require_scripts(df: DataFrame, **options) -> None:
         )
 
 
-def require_target_script(df: DataFrame, target: str = "target", order_by: tuple[str, ...] = ("pair_id",), n: int = 500) -> None:
-    """The guard in front of encoding: fewer rows, narrower class, target only."""
+def require_target_script(df: DataFrame, target: str = "target", order_by: tuple[str, ...] = ("pair_id",), n: int = 0) -> None:
+    """The guard in front of encoding: narrower class, target only."""
     require_scripts(
         df, source=target, target=target, order_by=order_by, n=n, target_class=T.ARABIC_NARROW, source_min=0.0
     )
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
-    """32 hex digits, the same for the same key and seed wherever the row lives."""
-    return F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}")))
+    """32 hex digits, the same for the same key and seed wherever the row lives. All null keys are one key."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("\0")), F.lit(f"#{seed}")))
 
 
 def hash_split(df: DataFrame, key: str, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
@@ -103,60 +114,63 @@ def hash_split(df: DataFrame, key: str, val: float = 0.1, test: float = 0.1, see
     return df.withColumn("split", split)
 
 
-def _cut_by_hash(df: DataFrame, key: str, seed: int, sizes, labels: list[str]) -> DataFrame:
-    """Label rows in hash order: the first ``sizes(n)[0]`` rows, the next ``sizes(n)[1]``, ..., the rest.
+def hash_cuts(df: DataFrame, hashed: Column, bounds) -> list[str]:
+    """For every bound, the hash of the row at that place in hash order ("" for a bound of 0, "g", which is beyond all
+    hashes, for a bound of all rows or more). ``bounds`` takes the number of rows and gives places.
 
-    A histogram of 65,536 hash buckets (bounded, so broadcast) places every bucket that lies within one
-    label. Only the few buckets a boundary runs through are ranked row by row. ``key`` must be unique.
+    Runs jobs over the key column alone: a histogram of the leading hex digits, one of the next digits of the groups
+    that a bound falls into, and the few hashes left there.
     """
-    hashed = df.withColumn("_hash", seeded_hash(F.col(key), seed))
-    hashed = hashed.withColumn("_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
-    histogram = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    upto = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    everything = W.partitionBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    placed = histogram.select(
-        "_bucket",
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_start"),
-        F.sum("_n").over(upto).alias("_end"),
-        F.sum("_n").over(everything).alias("_total"),
-    )
-    bounds, reached = [], F.lit(0)
-    for size in sizes(F.col("_total")):
-        reached = reached + size
-        bounds.append(reached)
-
-    def label(position: Column) -> Column:
-        out = F.lit(labels[-1])
-        for bound, name in reversed(list(zip(bounds, labels))):
-            out = F.when(position <= bound, name).otherwise(out)
-        return out
-
-    placed = placed.withColumn("_first", label(F.col("_start") + 1)).withColumn("_last", label(F.col("_end")))
-    rows = hashed.join(F.broadcast(placed), "_bucket")
-    decided = rows.filter(F.col("_first") == F.col("_last")).withColumn("split", F.col("_first"))
-    boundary = rows.filter(F.col("_first") != F.col("_last"))
-    rank = F.row_number().over(W.partitionBy("_bucket").orderBy("_hash", key))
-    ranked = boundary.withColumn("split", label(F.col("_start") + rank))
-    columns = [*df.columns, "split"]
-    return decided.select(*columns).unionByName(ranked.select(*columns))
+    keys = df.select(hashed.alias("h"))
+
+    def histogram(prefixes: set[str] | None, digits: int) -> dict[str, int]:
+        inside = keys if prefixes is None else keys.filter(F.substring("h", 1, digits - DIGITS).isin(*prefixes))
+        group = F.substring("h", 1, digits).alias("g")
+        return {r.g: r.n for r in inside.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    counts = histogram(None, DIGITS)
+    total = sum(counts.values())
+    places = {i: (min(b, total), "") for i, b in enumerate(bounds(total))}
+    cuts = {i: "" if b <= 0 else "g" for i, (b, _) in places.items() if b <= 0 or b >= total}
+    places = {i: p for i, p in places.items() if i not in cuts}
+    for digits in (DIGITS, 2 * DIGITS, 32):
+        if not places:
+            break
+        if digits == 2 * DIGITS:
+            counts = histogram({prefix for _, prefix in places.values()}, digits)
+        elif digits == 32:
+            left = keys.filter(F.substring("h", 1, 2 * DIGITS).isin(*{prefix for _, prefix in places.values()}))
+            counts = {r.h: r.n for r in left.groupBy("h").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for i, (place, prefix) in places.items():
+            for group in sorted(g for g in counts if g.startswith(prefix)):
+                if place <= counts[group]:
+                    places[i] = (place, group)
+                    break
+                place -= counts[group]
+    return [cuts.get(i) or places.get(i, (0, ""))[1] for i in range(len(cuts) + len(places))]
 
 
 def exact_split(df: DataFrame, key: str, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
-    """Add ``split`` with exact sizes: test is ceil(test n), val is ceil(val/(1-test) of what is left)."""
+    """Add ``split`` with exact sizes: test is ceil(test n), val is ceil(val/(1-test) of what is left).
+
+    The cut-off hashes come from jobs over the keys (``hash_cuts``); labelling is one pass that moves no row. A repeated
+    key is always in one split, so sizes are exact for unique keys and else up to the repeats of the key at the cut.
+    """
 
-    def sizes(n: Column) -> list[Column]:
-        n_test = F.ceil(F.lit(float(test)) * n)
-        return [n_test, F.ceil(F.lit(val / (1 - test)) * (n - n_test))]
+    def bounds(n: int) -> list[int]:
+        n_test = math.ceil(float(test) * n)
+        return [n_test, n_test + math.ceil(val / (1 - test) * (n - n_test))]
 
-    return _cut_by_hash(df, key, seed, sizes, ["test", "val", "train"])
+    hashed = seeded_hash(F.col(key), seed)
+    test_end, val_end = hash_cuts(df, hashed, bounds)
+    return df.withColumn("split", F.when(hashed <= test_end, "test").when(hashed <= val_end, "val").otherwise("train"))
 
 
 def seeded_sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    """``k`` rows without replacement (all rows when there are fewer), the same ones in any partitioning."""
-    if k <= TOP_K_LIMIT:
-        return df.orderBy(seeded_hash(F.col(key), seed), key).limit(k)
-    cut = _cut_by_hash(df, key, seed, lambda n: [F.lit(k)], ["sample", "rest"])
-    return cut.filter(F.col("split") == "sample").drop("split")
+    """``k`` rows without replacement (all rows when there are fewer), the same ones in any partitioning. A repeated key
+    comes with all its rows, so there may be more by the repeats of the last key."""
+    hashed = seeded_hash(F.col(key), seed)
+    return df.filter(hashed <= hash_cuts(df, hashed, lambda n: [k])[0])
 
 
 def split_sizes(df: DataFrame) -> DataFrame:
@@ -164,8 +178,9 @@ def split_sizes(df: DataFrame) -> DataFrame:
 
 
 def split_overlap(df: DataFrame, key: str, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
-    """One row: for each pair of splits, how many distinct keys are in both. One shuffle for all pairs."""
-    seen = df.groupBy(key).agg(*[F.max(F.col("split") == s).alias(s) for s in splits])
+    """One row: for each pair of splits, how many distinct keys are in both. One shuffle for all pairs, of digests: keys
+    may be long texts."""
+    seen = df.groupBy(F.sha2(F.col(key).cast("string"), 256)).agg(*[F.max(F.col("split") == s).alias(s) for s in splits])
     return seen.agg(
         *[
             F.coalesce(F.sum((F.col(a) & F.col(b)).cast("long")), F.lit(0)).alias(f"{a}_{b}")

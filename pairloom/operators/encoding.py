@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pairloom.functions import text as T
 from pairloom.sources.readers import option_table
 
-BROADCAST_VOCAB = 1_000_000  # entries; a larger vocabulary is joined by shuffle
+BROADCAST_VOCAB = 1_000_000  # entries, counted; a larger vocabulary is joined by shuffle
+FREQUENT = 1000  # entries of a larger vocabulary that are broadcast, so that no common piece is a hot key
 
 
 def with_pieces(df: DataFrame, col: str, out: str = "pieces") -> DataFrame:
@@ -39,19 +40,25 @@ def build_vocab(
     return reserved.unionByName(numbered)
 
 
-def _small(vocab_size: int | None) -> bool:
-    return vocab_size is not None and vocab_size <= BROADCAST_VOCAB
+def _lookup(df: DataFrame, vocab: DataFrame, key: str, value: str) -> DataFrame:
+    """``value`` by ``key`` for rows with a unique (_row, pos). A vocabulary of at most BROADCAST_VOCAB counted entries is
+    broadcast. Of a larger one only the most frequent are; the rest meets the rows left by shuffle, where rows that are
+    already served have keys of their own."""
+    if vocab.limit(BROADCAST_VOCAB + 1).count() <= BROADCAST_VOCAB:
+        return df.join(F.broadcast(vocab.select(key, value)), key, "left")
+    order = F.desc("n") if "n" in vocab.columns else F.asc("piece_id")
+    top = vocab.orderBy(order, "piece_id").limit(FREQUENT).select(key, F.col(value).alias("_top"))
+    served = df.join(F.broadcast(top), key, "left")
+    own = F.concat_ws("\0", F.lit(""), "_row", "pos")
+    served = served.withColumn("_key", F.when(F.col("_top").isNull(), F.col(key).cast("string")).otherwise(own))
+    rest = vocab.select(F.col(key).cast("string").alias("_key"), F.col(value).alias("_rest"))
+    return served.join(rest, "_key", "left").withColumn(value, F.coalesce("_top", "_rest")).drop("_key", "_top", "_rest")
 
 
-def _lookup(df: DataFrame, vocab: DataFrame, key: str, vocab_size: int | None) -> DataFrame:
-    return df.join(F.broadcast(vocab) if _small(vocab_size) else vocab, key, "left")
-
-
-def _place(df: DataFrame, id_col: str, vocab_size: int | None) -> DataFrame:
-    """Hash the short rows by id ahead of exploding; pointless when the lookup itself shuffles."""
-    if not _small(vocab_size):
-        return df
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+def _placed(df: DataFrame, id_col: str) -> DataFrame:
+    """The short rows, each with a number, hashed by id ahead of exploding: the grouping then stays in place, and rows
+    that share an id stay apart."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).repartition(id_col)
 
 
 def _by_position(value: Column) -> Column:
@@ -61,19 +68,19 @@ def _by_position(value: Column) -> Column:
 
 
 def encode(
-    df: DataFrame, vocab: DataFrame, id_col: str, pieces: str, out: str, limit: int, unk: int, vocab_size: int | None
+    df: DataFrame, vocab: DataFrame, id_col: str, pieces: str, out: str, limit: int, unk: int
 ) -> DataFrame:
     """(id, out): ids of the first ``limit`` pieces, unknown ones as ``unk``.
 
     Rows are cut to ``limit`` and hashed by id before they are exploded, so with a broadcast vocabulary the
-    only shuffle carries the cut rows and groups stay within ``limit`` elements.
+    only shuffle carries the cut rows and groups stay within ``limit`` elements. Every input row gives one row, also
+    where ids repeat.
     """
-    cut = df.select(id_col, F.slice(pieces, 1, limit).alias("_p"))
-    placed = _place(cut, id_col, vocab_size)
-    exploded = placed.select(id_col, F.posexplode_outer("_p").alias("pos", "piece"))
-    found = _lookup(exploded, vocab.select("piece", "piece_id"), "piece", vocab_size)
+    placed = _placed(df.select(id_col, F.slice(pieces, 1, limit).alias("_p")), id_col)
+    exploded = placed.select(id_col, "_row", F.posexplode_outer("_p").alias("pos", "piece"))
+    found = _lookup(exploded, vocab, "piece", "piece_id")
     value = F.coalesce("piece_id", F.lit(unk))
-    return found.groupBy(id_col).agg(_by_position(value).alias(out))
+    return found.groupBy(id_col, "_row").agg(_by_position(value).alias(out)).drop("_row")
 
 
 def encode_labels(
@@ -84,10 +91,9 @@ def encode_labels(
     max_len: int = 128,
     unk: int = 3,
     eos: int = 2,
-    vocab_size: int | None = None,
 ) -> DataFrame:
     """(id, labels): at most ``max_len - 1`` piece ids, then ``eos``."""
-    ids = encode(df, vocab, id_col, pieces, "labels", max_len - 1, unk, vocab_size)
+    ids = encode(df, vocab, id_col, pieces, "labels", max_len - 1, unk)
     return ids.withColumn("labels", F.array_append("labels", F.lit(eos).cast("long")))
 
 
@@ -99,10 +105,9 @@ def encode_inputs(
     max_len: int = 128,
     unk: int = 3,
     eos: int = 2,
-    vocab_size: int | None = None,
 ) -> DataFrame:
     """(id, input_ids, attention_mask): at most ``max_len`` ids with the closing ``eos``; the mask is all ones."""
-    ids = encode_labels(df, vocab, id_col, pieces, max_len, unk, eos, vocab_size).withColumnRenamed("labels", "input_ids")
+    ids = encode_labels(df, vocab, id_col, pieces, max_len, unk, eos).withColumnRenamed("labels", "input_ids")
     return ids.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 
@@ -113,12 +118,12 @@ def decode_labels(
     labels: str = "labels",
     pad: int = 1,
     special: tuple[int, ...] = (0, 1, 2, 3),
-    vocab_size: int | None = None,
 ) -> DataFrame:
-    """(id, text): -100 read as ``pad``, special ids left out, pieces joined by a space."""
+    """(id, text): -100 read as ``pad``, special ids left out, pieces joined by a space; ids that the vocabulary
+    lacks have no piece and are left out too."""
     real = F.transform(F.col(labels), lambda x: F.when(x == -100, F.lit(pad)).otherwise(x))
     kept = F.filter(real, lambda x: ~x.isin(*special))
-    placed = _place(df.select(id_col, kept.alias("_i")), id_col, vocab_size)
-    exploded = placed.select(id_col, F.posexplode_outer("_i").alias("pos", "piece_id"))
-    found = _lookup(exploded, vocab.select("piece", "piece_id"), "piece_id", vocab_size)
-    return found.groupBy(id_col).agg(F.array_join(_by_position(F.col("piece")), " ").alias("text"))
+    placed = _placed(df.select(id_col, kept.alias("_i")), id_col)
+    exploded = placed.select(id_col, "_row", F.posexplode_outer("_i").alias("pos", "piece_id"))
+    found = _lookup(exploded, vocab, "piece_id", "piece")
+    return found.groupBy(id_col, "_row").agg(F.array_join(_by_position(F.col("piece")), " ").alias("text")).drop("_row")

@@ -123,7 +123,12 @@ def exact_match(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by: tuple[str
 
 
 def _exact(hyp: str, ref: str) -> Column:
-    return F.avg((F.col(hyp) == F.col(ref)).cast("double"))
+    """A missing side is an empty text, as in all metrics."""
+    return F.avg((_text(hyp) == _text(ref)).cast("double"))
+
+
+def _text(col: str) -> Column:
+    return F.coalesce(F.col(col), F.lit(""))
 
 
 def _prf() -> dict[str, Column]:
@@ -162,7 +167,7 @@ def _length_aggregates() -> list[Column]:
 def length_stats(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by: tuple[str, ...] = ()) -> DataFrame:
     """Token-count RMSE, Pearson correlation and R² (1 - SSres/SStot) of predictions against references."""
     counted = df.select(
-        *by, F.size(T.tokenize(F.col(hyp))).alias("hyp_tokens"), F.size(T.tokenize(F.col(ref))).alias("ref_tokens")
+        *by, F.size(T.tokenize(_text(hyp))).alias("hyp_tokens"), F.size(T.tokenize(_text(ref))).alias("ref_tokens")
     )
     return counted.groupBy(*by).agg(*_length_aggregates())
 
@@ -229,8 +234,8 @@ def gram_counts(
 
     The short rows are hashed by id first, so exploding and both groupings stay inside their tasks.
     """
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.select(id_col, hyp, ref).repartition(partitions, id_col)
+    rows = df.select(id_col, hyp, ref)
+    placed = rows.repartition(partitions, id_col) if partitions else rows.repartition(id_col)
     grams = gram_table(placed, id_col, hyp, ref, kind)
     is_hyp = (F.col("side") == "h").cast("long")
     each = grams.groupBy(id_col, "ord", "gram").agg(F.sum(is_hyp).alias("h"), F.sum(1 - is_hyp).alias("r"))

@@ -25,14 +25,21 @@ def log_metric(df: DataFrame, col: str, name: str = "eval_geo_mean", out: str |
 
 
 def leaderboard(trials: DataFrame, metric: str = "geo_mean", order: str = "trial") -> DataFrame:
-    """Best first. Missing and zero results come last, in trial order."""
-    score: Column = F.when(F.col(metric) > 0, F.col(metric)).otherwise(F.lit(-1.0))
-    return trials.orderBy(score.desc(), order)
+    """Best first. Missing, NaN and zero results come last. Ties are in trial order: by the text without its last
+    number, then by that number, so that trial_2 comes before trial_10."""
+    score: Column = F.when((F.col(metric) > 0) & ~_is_nan(metric), F.col(metric)).otherwise(F.lit(-1.0))
+    name = F.col(order).cast("string")
+    number = F.regexp_extract(name, r"(\d+)$", 1).try_cast("decimal(38,0)")
+    return trials.orderBy(score.desc(), F.regexp_replace(name, r"\d+$", ""), number, order)
+
+
+def _is_nan(metric: str) -> Column:
+    return F.isnan(F.col(metric).cast("double"))
 
 
 def best_step(metrics: DataFrame, by: tuple[str, ...] = (), step: str = "step", metric: str = "geo_mean") -> DataFrame:
-    """The step with the highest metric, the lowest step on ties; rows without a metric do not count."""
-    scored = metrics.filter(F.col(metric).isNotNull())
+    """The step with the highest metric, the lowest step on ties; rows without a metric, or with NaN, do not count."""
+    scored = metrics.filter(F.col(metric).isNotNull() & ~_is_nan(metric))
     best = F.max(F.struct(F.col(metric), -F.col(step))).alias("_best")
     chosen = scored.groupBy(*by).agg(best)
     return chosen.select(*by, (-F.col("_best.col2")).alias(step), F.col(f"_best.{metric}").alias(metric))

@@ -24,18 +24,15 @@ LATIN_VARIANTS = {
 }
 DECOMPOSED = {"é": "e\u0301", "è": "e\u0300", "ä": "a\u0308", "ñ": "n\u0303", "ç": "c\u0327"}
 VOCAB = 1000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
-    return readers.widen(readers.read_table(spark, f"{sf_dir}/{name}.parquet"), *key)
+ARABIC_VOWELS = "اےیوہ"  # stand-ins, so that the target has Arabic letters
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id")
+    return readers.read_table(spark, f"{sf_dir}/documents.parquet")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations", "conv_id", "turn")
+    return readers.read_table(spark, f"{sf_dir}/conversations.parquet")
 
 
 def _respelled(col: str):
@@ -53,10 +50,9 @@ def parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference: the document; prediction: the document respelled."""
-    return documents(spark, sf_dir).select(
-        F.col("doc_id").alias("id"), "lang", _respelled("text").alias("hyp"), F.col("text").alias("ref")
-    )
+    """Reference: the document; prediction: the document respelled. Placed by id, as joined predictions are."""
+    rows = documents(spark, sf_dir).select("doc_id", "lang", "text").repartition("doc_id")
+    return rows.select(F.col("doc_id").alias("id"), "lang", _respelled("text").alias("hyp"), F.col("text").alias("ref"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +128,7 @@ def script_ratio(spark, d):
 
 
 def script_guard(spark, d):
-    docs = documents(spark, d).withColumn("target", F.col("text"))
+    docs = documents(spark, d).withColumn("target", F.translate("text", "aeiou", ARABIC_VOWELS))
     return _r(corpus.check_scripts(docs, "text", "target", ("doc_id",)), "source_ratio", "target_ratio")
 
 
@@ -328,21 +324,21 @@ def build_vocab(spark, d):
 
 def encode_labels(spark, d):
     rows = pieces(spark, d)
-    vocab = encoding.build_vocab(rows, size=VOCAB)
-    return _joined(encoding.encode_labels(rows, vocab, vocab_size=VOCAB), "labels")
+    vocab = sinks.stage(encoding.build_vocab(rows, size=VOCAB))
+    return _joined(encoding.encode_labels(rows, vocab), "labels")
 
 
 def encode_inputs(spark, d):
     rows = pieces(spark, d)
-    vocab = encoding.build_vocab(rows, size=VOCAB)
-    return _joined(encoding.encode_inputs(rows, vocab, vocab_size=VOCAB), "input_ids", "attention_mask")
+    vocab = sinks.stage(encoding.build_vocab(rows, size=VOCAB))
+    return _joined(encoding.encode_inputs(rows, vocab), "input_ids", "attention_mask")
 
 
 def decode_labels(spark, d):
     rows = pieces(spark, d)
-    vocab = encoding.build_vocab(rows, size=VOCAB)
-    labels = encoding.encode_labels(rows, vocab, vocab_size=VOCAB)
-    return encoding.decode_labels(labels, vocab, vocab_size=VOCAB)
+    vocab = sinks.stage(encoding.build_vocab(rows, size=VOCAB))
+    labels = encoding.encode_labels(rows, vocab)
+    return encoding.decode_labels(labels, vocab)
 
 
 def param_grid(spark, d):

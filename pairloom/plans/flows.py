@@ -17,13 +17,14 @@ def prepare_corpus(
     seed: int = 42,
     exact: bool = False,
     fmt: str = "parquet",
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read, clean, deduplicate, guard, split, prove the splits disjoint, write. Returns the split sizes.
 
     The deduplicated table is staged, as the guards and the writer each read it. Nothing is written to
     ``out`` unless both guards pass.
     """
-    pairs = corpus.clean_pairs(readers.read_parallel(spark, tsv))
+    pairs = corpus.clean_pairs(readers.read_parallel(spark, tsv, multi_line=multi_line))
     kept = sinks.stage(corpus.dedup_first(pairs, ["source"], ["origin", "pair_id"]))
     corpus.require_scripts(kept, order_by=("origin", "pair_id"))
     split = (corpus.exact_split if exact else corpus.hash_split)(kept, "source", val=val, test=test, seed=seed)
@@ -33,26 +34,27 @@ def prepare_corpus(
 
 
 def choose_candidates(
-    cands: DataFrame, rules: readers.Rules | None = None, metric: str = "geo", models: int = 3
+    cands: DataFrame, rules: readers.Rules | None = None, metric: str = "geo", models: int = 0
 ) -> DataFrame:
     """Candidates (id, model, model_step, pos, text) to one text per id (id, pos, text, utility).
 
-    Keep the latest models, apply the spelling rules, choose by consensus, apply the rules once more
+    Keep the latest ``models`` (0: all), apply the spelling rules, choose by consensus, apply the rules once more
     (suffix rules need not be idempotent).
     """
     rules = rules or readers.Rules()
-    pool = selection.latest_models(cands, models)
+    pool = selection.latest_models(cands, models) if models else cands
     pool = orthography.normalize_column(pool, "text", rules.char_map, rules.suffixes)
     chosen = selection.mbr_select(selection.mbr_utilities(pool, metric))
     return orthography.normalize_column(chosen, "text", rules.char_map, rules.suffixes)
 
 
 def evaluate(
-    predictions: DataFrame, references: DataFrame, on: str, hyp: str, ref: str, n: int = 2000, out: str | None = None
+    predictions: DataFrame, references: DataFrame, on: str, hyp: str, ref: str, n: int = 0, out: str | None = None
 ) -> DataFrame:
-    """Score predictions of the first ``n`` references (0: all); optionally write the scored table."""
+    """Score predictions of the first ``n`` references (0: all); optionally write the scored table. Predictions are
+    staged, so they are computed once for the guard, the file and the report."""
     head = corpus.head_n(references, [on], n)
-    wanted = predictions.join(head.select(on), on, "left_semi")
+    wanted = sinks.stage(predictions.join(head.select(on), on, "left_semi") if n else predictions)
     scored = corpus.align(wanted, head, on, strict=True)
     if out:
         sinks.write_scored(scored, out)

@@ -270,8 +270,8 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, sum(length({_drop_ws('text')})) OVER (PARTITION BY lang) AS v FROM documents) GROUP BY lang, v""",
     "script_guard": f"""SELECT round(s, 6) AS source_ratio, round(t, 6) AS target_ratio, s >= 0.5 AND t >= 0.2 AS ok FROM (
         SELECT sum(length(regexp_replace(text, '[^A-Za-z]+', '', 'g'))) / sum(length({_drop_ws('text')})) AS s,
-               sum(length(regexp_replace(text, '[^{ARABIC}]+', '', 'g'))) / sum(length({_drop_ws('text')})) AS t
-        FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 1000))""",
+               sum(length(regexp_replace(target, '[^{ARABIC}]+', '', 'g'))) / sum(length({_drop_ws('target')})) AS t
+        FROM (SELECT text, translate(text, 'aeiou', 'اےیوہ') AS target FROM documents))""",
     "hash_split": _hash_split("text", "doc_id"),
     "split_sizes": f"SELECT split, count(*) AS n FROM ({_hash_split('text', 'doc_id')}) GROUP BY split",
     "split_overlap": f"""SELECT count(*) FILTER (tr AND va) AS train_val, count(*) FILTER (tr AND te) AS train_test,

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CSV_OPTIONS = {
     "header": True,
@@ -17,31 +18,27 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
-WIDEN_BYTES = 128 << 10  # a task per this much is enough even for costly per-row work
 RULES_SCHEMA = "char_map map<string,string>, suffixes array<struct<suffix:string,attach:boolean>>"
 
 
-def widen(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan with too few splits for its size over the cores; leave every other scan alone.
-
-    Local files often hold one row group, hence one task. A scan that already has a split per core, as any
-    large table has, is returned as it is. Only for plain scans: nothing is run, only the scan is planned.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, size // WIDEN_BYTES + 1)
-    return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
-
-
-def read_table(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",") -> DataFrame:
-    """A parquet table, or with ``schema`` a header CSV."""
+def read_table(
+    spark: SparkSession, path: str, schema: str | None = None, sep: str = ",", multi_line: bool = True
+) -> DataFrame:
+    """A parquet table, or with ``schema`` a header CSV. CSV columns are found by name, in the order of the schema."""
     if schema is None:
         return spark.read.parquet(path)
-    return spark.read.schema(schema).options(**CSV_OPTIONS, sep=sep).csv(path)
+    raw = read_raw_csv(spark, path, sep, multi_line)
+    wanted = StructType.fromDDL(schema)
+    missing = [f.name for f in wanted if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"no column {missing} in {path}, found {raw.columns}")
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
-def read_raw_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A header CSV with every column as text."""
-    return spark.read.options(**CSV_OPTIONS, sep=sep).csv(path)
+def read_raw_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """A header CSV with every column as text. ``multi_line`` allows line breaks inside quotes; such files cannot be
+    split, so each is one task. Without such breaks, turn it off for large files."""
+    return spark.read.options(**{**CSV_OPTIONS, "multiLine": multi_line}, sep=sep).csv(path)
 
 
 def read_parallel(
@@ -51,7 +48,7 @@ def read_parallel(
 
     Named columns win; without them the file is read by position, target first.
     File order is ``origin`` (file, block), then ``pair_id``, however the scan is packed into tasks.
-    ``multi_line=False`` lets Spark split large files that have no line breaks inside quotes.
+    ``multi_line`` allows line breaks inside quotes; Spark cannot split such files, so turn it off for large ones without.
     """
     options = {**CSV_OPTIONS, "multiLine": multi_line}
     raw = spark.read.options(**options, sep="\t").csv(path)
@@ -74,9 +71,9 @@ def require_columns(df: DataFrame, n: int) -> None:
         raise ValueError(f"expected at least {n} columns, found {df.columns}")
 
 
-def read_id_text(spark: SparkSession, path: str) -> DataFrame:
+def read_id_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A CSV by position: the first column is the id, the second the text; names are kept."""
-    raw = read_raw_csv(spark, path)
+    raw = read_raw_csv(spark, path, multi_line=multi_line)
     require_columns(raw, 2)
     return raw.select(*[F.col(f"`{c}`") for c in raw.columns[:2]])
 

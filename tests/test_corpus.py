@@ -88,13 +88,30 @@ def test_exact_split_sizes_and_order(spark, n):
     assert rows == dict(zip(ranked, expected))
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_sample_both_ways(spark, monkeypatch, limit):
-    monkeypatch.setattr(corpus, "TOP_K_LIMIT", limit)
+def test_sample(spark):
     got = {r.id for r in corpus.seeded_sample(spark.range(3000), "id", 700).collect()}
     ranked = sorted(range(3000), key=lambda i: hashlib.md5(f"{i}#42".encode()).hexdigest())
     assert got == set(ranked[:700])
     assert corpus.seeded_sample(spark.range(30), "id", 700).count() == 30
+    assert corpus.seeded_sample(spark.range(30), "id", 0).count() == 0
+
+
+def test_null_and_repeated_keys_keep_all_rows(spark):
+    rows = [(None, 0), (None, 1), *[("same", i) for i in range(60)], *[(str(i), i) for i in range(40)]]
+    df = spark.createDataFrame(rows, "k string, i int")
+    split = corpus.exact_split(df, "k").collect()
+    assert len(split) == len(rows)
+    for key in (None, "same"):
+        assert len({r.split for r in split if r.k == key}) == 1
+    assert corpus.seeded_sample(df, "k", 1000).count() == len(rows)
+    unique = corpus.seeded_sample(df.filter("k <> 'same'"), "k", 10).collect()
+    assert len(unique) in (10, 11)
+
+
+def test_no_text_is_sorted_or_shuffled_for_a_cut(spark, small):
+    for name in ("exact_split", "seeded_sample", "hash_split", "prefix_source", "tokenize", "nfc_text"):
+        plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "TakeOrdered" not in plan and "Window" not in plan, name
 
 
 def test_split_overlap(spark):
@@ -117,8 +134,11 @@ def test_alignment(spark):
 
 
 def test_head_n(spark):
-    assert [r.id for r in corpus.head_n(spark.range(50).repartition(4), ["id"], 3).collect()] == [0, 1, 2]
+    assert sorted(r.id for r in corpus.head_n(spark.range(50).repartition(4), ["id"], 3).collect()) == [0, 1, 2]
     assert corpus.head_n(spark.range(50), ["id"], 0).count() == 50
+    assert corpus.head_n(spark.range(50), ["id"], 99).count() == 50
+    df = spark.createDataFrame([(None, 2), (1, 1), (1, 0)], "a int, b int")
+    assert sorted((r.a or 0, r.b) for r in corpus.head_n(df, ["a", "b"], 2).collect()) == [(0, 2), (1, 0)]
 
 
 def test_row_wise_operators_accept_a_stream(spark, small, tmp_path):

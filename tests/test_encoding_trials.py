@@ -9,19 +9,36 @@ def vocab(spark):
     return spark.createDataFrame([("a", 9, 4), ("c", 5, 6), ("<pad>", 0, 1)], "piece string, n long, piece_id long")
 
 
-@pytest.mark.parametrize("size", [3, None, 10**9])
-def test_encode(spark, vocab, size):
+@pytest.mark.parametrize("most, frequent", [(3, 1000), (2, 1), (2, 3), (0, 0)])
+def test_encode(spark, vocab, monkeypatch, most, frequent):
+    monkeypatch.setattr(encoding, "BROADCAST_VOCAB", most)
+    monkeypatch.setattr(encoding, "FREQUENT", frequent)
     rows = [(1, list("abcd")), (2, []), (3, ["c"]), (4, None)]
     df = spark.createDataFrame(rows, "id long, pieces array<string>")
-    labels = {r.id: r.labels for r in encoding.encode_labels(df, vocab, max_len=4, vocab_size=size).collect()}
+    labels = {r.id: r.labels for r in encoding.encode_labels(df, vocab, max_len=4).collect()}
     assert labels == {1: [4, 3, 6, 2], 2: [2], 3: [6, 2], 4: [2]}
-    inputs = {r.id: (r.input_ids, r.attention_mask) for r in encoding.encode_inputs(df, vocab, max_len=3, vocab_size=size).collect()}
+    inputs = {r.id: (r.input_ids, r.attention_mask) for r in encoding.encode_inputs(df, vocab, max_len=3).collect()}
     assert inputs[1] == ([4, 3, 2], [1, 1, 1]) and inputs[2] == ([2], [1])
 
 
 def test_decode(spark, vocab):
     df = spark.createDataFrame([(1, [4, 3, 6, 2, -100, -100]), (2, [-100]), (3, [])], "id long, labels array<long>")
-    assert {r.id: r.text for r in encoding.decode_labels(df, vocab, vocab_size=3).collect()} == {1: "a c", 2: "", 3: ""}
+    assert {r.id: r.text for r in encoding.decode_labels(df, vocab).collect()} == {1: "a c", 2: "", 3: ""}
+
+
+def test_repeated_ids_stay_apart(spark, vocab):
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["c"]), (None, ["a"])], "id long, pieces array<string>")
+    labels = encoding.encode_labels(df, vocab)
+    assert sorted((r.id or 0, r.labels) for r in labels.collect()) == [(0, [4, 2]), (1, [4, 3, 2]), (1, [6, 2])]
+    assert sorted((r.id or 0, r.text) for r in encoding.decode_labels(labels, vocab).collect()) == [(0, "a"), (1, "a"), (1, "c")]
+
+
+def test_nan_and_numbered_trials(spark):
+    rows = [("trial_10", 0.0), ("trial_2", None), ("trial_1", float("nan")), ("trial_3", 5.0)]
+    df = spark.createDataFrame(rows, "trial string, geo_mean double")
+    assert [r.trial for r in trials.leaderboard(df).collect()] == ["trial_3", "trial_1", "trial_2", "trial_10"]
+    steps = spark.createDataFrame([(1, float("nan")), (2, 3.0)], "step int, geo_mean double")
+    assert trials.best_step(steps).first().step == 2
 
 
 def test_vocab_order_with_a_hot_piece(spark):
@@ -34,7 +51,7 @@ def test_vocab_order_with_a_hot_piece(spark):
 
 def test_short_rows_are_shuffled_once(spark, vocab):
     df = spark.createDataFrame([(1, ["a"])], "id long, pieces array<string>")
-    plan = encoding.encode_labels(df, vocab, vocab_size=3)._jdf.queryExecution().executedPlan().toString()
+    plan = encoding.encode_labels(df, vocab)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
 

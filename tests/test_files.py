@@ -130,3 +130,22 @@ def test_stage_writes_to_the_shared_folder(spark):
     staged = sinks.stage(spark.range(4))
     folder = spark.conf.get("spark.checkpoint.dir", None) or "pairloom-"
     assert staged.count() == 4 and all(folder in f for f in staged.inputFiles())
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("b,a\nx,1\ny,2\n")
+    rows = readers.read_table(spark, str(tmp_path / "t.csv"), "a int, b string").collect()
+    assert [tuple(r) for r in rows] == [(1, "x"), (2, "y")]
+    with pytest.raises(ValueError):
+        readers.read_table(spark, str(tmp_path / "t.csv"), "c int")
+
+
+def test_a_tsv_is_read_in_several_tasks(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("src\ttgt\n" + "some words\tother words\n" * 20_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        pairs = readers.read_parallel(spark, str(tmp_path / "t.tsv"), multi_line=False)
+        assert pairs.count() == 20_000 and pairs.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

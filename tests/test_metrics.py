@@ -139,3 +139,12 @@ def test_row_order_and_partitions_do_not_matter(golden):
     one = metrics.corpus_report(golden.coalesce(1)).first().asDict()
     many = metrics.corpus_report(golden.orderBy("ref").repartition(7)).first().asDict()
     assert one == pytest.approx(many)
+
+
+def test_a_missing_side_is_an_empty_text_in_every_metric(spark):
+    rows = [("a b", "a b"), (None, "a b c d")]
+    df = spark.createDataFrame(rows, "hyp string, ref string")
+    report = metrics.corpus_report(df).first()
+    assert report.accuracy == 50.0 and report.precision == 50.0
+    assert metrics.exact_match(df).first().accuracy == 0.5
+    assert metrics.length_stats(df).first().rmse == report.rmse == 8**0.5
