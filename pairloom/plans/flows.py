@@ -1,10 +1,13 @@
-"""The three end-to-end flows: corpus to splits, candidates to a submission, predictions to a report."""
+"""End-to-end flows: corpus to splits, candidates to a submission, predictions to a report, pairs to training rows,
+a table to spelling rules, a submission to its variants, a prediction file to its audit."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.operators import corpus, metrics, orthography, selection
+from pairloom.functions import text as T
+from pairloom.operators import corpus, encoding, metrics, orthography, selection
 from pairloom.sources import readers, sinks
 
 
@@ -59,3 +62,64 @@ def evaluate(
     if out:
         sinks.write_scored(scored, out)
     return metrics.corpus_report(scored, hyp, ref)
+
+
+def training_table(
+    pairs: DataFrame,
+    folder: str,
+    inputs: dict,
+    prefix: str = "",
+    sample: int = 0,
+    vocab_size: int = 32_000,
+    max_len: int = 128,
+    seed: int = 42,
+    guard: bool = True,
+) -> DataFrame:
+    """Pairs (pair_id, source, target) to (pair_id, input_ids, attention_mask, labels), materialised in ``folder``.
+
+    The target script is checked, sources get ``prefix``, one vocabulary is built from both sides, and both sides are
+    encoded in one table. ``inputs`` describes where the pairs come from (see ``sinks.materialise``); the options are
+    added to it. ``sample`` takes that many rows (0: all). ``pair_id`` must be unique: it joins the two sides.
+    """
+    if guard:
+        corpus.require_target_script(pairs)
+    rows = corpus.seeded_sample(pairs, "pair_id", sample, seed) if sample else pairs
+    rows = rows.select("pair_id", T.with_prefix(F.col("source"), prefix).alias("source"), "target")
+    options = {"prefix": prefix, "sample": sample, "vocab": vocab_size, "max_len": max_len, "seed": seed}
+    rows = sinks.stage(rows)
+    texts = rows.select(F.explode(F.array("source", "target")).alias("text"))
+    vocab = sinks.stage(encoding.build_vocab(encoding.with_pieces(texts, "text"), size=vocab_size))
+    sides = [encoding.with_pieces(rows.select("pair_id", c), c) for c in ("source", "target")]
+    encoded = encoding.encode_inputs(sides[0], vocab, "pair_id", max_len=max_len)
+    encoded = encoded.join(encoding.encode_labels(sides[1], vocab, "pair_id", max_len=max_len), "pair_id")
+    return sinks.materialise(encoded, folder, {**inputs, **options})
+
+
+def learn_spelling(
+    df: DataFrame, groups: list[list[str]], out: str, column: str | None = None, rules: readers.Rules | None = None, **options
+) -> DataFrame:
+    """Learn a character map from a column (picked by rule), merge it into ``rules`` and write these to ``out``. Returns
+    the merged map."""
+    rules = rules or readers.Rules()
+    text = corpus.pick_column(df, column, -1)
+    learned = orthography.learn_char_map(orthography.char_counts(df, text), groups, **options)
+    merged = sinks.stage(orthography.merge_char_map(readers.rules_table(df.sparkSession, rules), learned))
+    sinks.write_rules(merged, rules, out)
+    return merged
+
+
+def write_variant_files(
+    spark: SparkSession, path: str, variants: dict[str, dict[str, str]], out: str, chosen: list[str] | None = None
+) -> None:
+    """Read ids and texts, spell every text in all variants (or the chosen ones) and write a folder for each."""
+    rows = readers.read_id_text(spark, path)
+    wanted = {name: variants[name] for name in (chosen or variants)}
+    sinks.write_variants(orthography.expand_variants(rows, rows.columns[1], wanted), out)
+
+
+def audit(
+    df: DataFrame, groups: list[list[str]], column: str | None = None, fallback: str | int = -1
+) -> tuple[DataFrame, DataFrame]:
+    """Character counts with names, and the usage of variants in each group, of a column picked by rule."""
+    counts = sinks.stage(orthography.char_counts(df, corpus.pick_column(df, column, fallback)))
+    return counts.withColumn("name", T.char_name(F.col("ch"))), orthography.variant_usage(counts, groups)
