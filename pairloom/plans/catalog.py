@@ -132,6 +132,12 @@ def script_guard(spark, d):
     return _r(corpus.check_scripts(docs, "text", "target", ("doc_id",)), "source_ratio", "target_ratio")
 
 
+def target_guard(spark, d):
+    docs = documents(spark, d).withColumn("target", F.translate("text", "aeiou", ARABIC_VOWELS))
+    found = corpus.check_scripts(docs, "target", "target", ("doc_id",), target_class=T.ARABIC_NARROW, source_min=0.0)
+    return _r(found, "source_ratio", "target_ratio")
+
+
 def hash_split(spark, d):
     return corpus.hash_split(documents(spark, d).select("doc_id", "text"), "text").select("doc_id", "split")
 
@@ -226,6 +232,13 @@ def exact_match(spark, d):
     return _r(metrics.exact_match(noisy(spark, d), by=("lang",)), "accuracy")
 
 
+def exact_match_missing(spark, d):
+    """Predictions of fewer than 80 characters are missing; a missing one counts as wrong, not as absent."""
+    missing = F.when(F.length("hyp") >= 80, F.col("hyp"))
+    both = pairs(spark, d).withColumn("hyp", missing).withColumn("ref", F.coalesce("hyp", "ref"))
+    return _r(metrics.exact_match(both), "accuracy")
+
+
 def align_check(spark, d):
     labels = readers.read_table(spark, f"{d}/labels.parquet")
     return corpus.align_check(labels, readers.read_table(spark, f"{d}/documents.parquet"), "doc_id")
@@ -362,10 +375,10 @@ def best_step(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        clean_pairs, dedup_first, script_ratio, script_guard, hash_split, split_sizes, split_overlap, exact_split,
+        clean_pairs, dedup_first, script_ratio, script_guard, target_guard, hash_split, split_sizes, split_overlap, exact_split,
         seeded_sample, head_eval, nfc_text, char_counts, top_chars, variant_usage, learn_char_map, char_map_merge,
         char_map_apply, variant_fanout, prefix_source, suffix_attach, suffix_detach, tokenize, token_prf,
-        token_prf_macro, length_stats, exact_match, align_check, scored_pairs, submission, chrf_stats, chrf_grams,
+        token_prf_macro, length_stats, exact_match, exact_match_missing, align_check, scored_pairs, submission, chrf_stats, chrf_grams,
         chrf_corpus, bleu_stats, bleu_corpus, corpus_report, corpus_report_pairs, sentence_scores, regroup_flat,
         candidate_pool, candidate_dedup, latest_models, mbr_utilities, mbr_select, build_vocab, encode_labels,
         encode_inputs, decode_labels, param_grid, log_metric, leaderboard, best_step,

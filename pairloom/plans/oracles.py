@@ -272,6 +272,11 @@ ORACLES: dict[str, str] = {
         SELECT sum(length(regexp_replace(text, '[^A-Za-z]+', '', 'g'))) / sum(length({_drop_ws('text')})) AS s,
                sum(length(regexp_replace(target, '[^{ARABIC}]+', '', 'g'))) / sum(length({_drop_ws('target')})) AS t
         FROM (SELECT text, translate(text, 'aeiou', 'اےیوہ') AS target FROM documents))""",
+    "target_guard": f"""SELECT round(s, 6) AS source_ratio, round(t, 6) AS target_ratio, t >= 0.2 AS ok FROM (
+        SELECT sum(length(regexp_replace(target, '[^A-Za-z]+', '', 'g'))) / sum(length({_drop_ws('target')})) AS s,
+               sum(length(regexp_replace(target, '[^\u0600-\u06FF\u0750-\u077F]+', '', 'g'))) / sum(length({_drop_ws('target')})) AS t
+        FROM (SELECT translate(text, 'aeiou', 'اےیوہ') AS target FROM documents))""",
+    "exact_match_missing": f"SELECT round(avg(CASE WHEN length(hyp) >= 80 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({PAIRS})",
     "hash_split": _hash_split("text", "doc_id"),
     "split_sizes": f"SELECT split, count(*) AS n FROM ({_hash_split('text', 'doc_id')}) GROUP BY split",
     "split_overlap": f"""SELECT count(*) FILTER (tr AND va) AS train_val, count(*) FILTER (tr AND te) AS train_test,
