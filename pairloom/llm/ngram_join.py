@@ -14,8 +14,8 @@ have a similarity of at least ``percent``; the result gives each document the sm
 4. Documents that share a signature are compared, but not all with all. First everyone is compared with the smallest
    and the largest member under the signature; a group of close copies then is one component. Only members that are
    still in different components are compared with each other, in tiles of two blocks of members, which loses no link
-   between components. Before sets are fetched, a parity bitmap of a sixteenth of a byte per token rules out most
-   pairs: each bit in which two bitmaps differ takes a token in which the sets differ.
+   between components. Before sets are fetched, a parity bitmap of about a third of a byte per token rules out
+   most pairs: each bit in which two bitmaps differ takes a token in which the sets differ.
 
 A null or empty text has no shingles and links with nothing: its component is its own id. With fewer than ``k`` words
 the whole sequence is one shingle. Repeated rows are documents like others. Null ids take part, but are no smallest
@@ -67,8 +67,8 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens in hash cells: at least 128 cells, half as many as tokens, a power of two."""
-    cells = 1 << max(7, (len(tokens) // 2).bit_length())
+    """Parities of the tokens in hash cells: at least 128 cells, twice as many as tokens, a power of two."""
+    cells = 1 << max(7, (2 * len(tokens)).bit_length())
     odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (cells - 1), minlength=cells) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
@@ -131,7 +131,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
         if len(rare) >= need:
             continue
         often = tokens[frequent]
-        subclass = (often >> np.uint64(21)) % np.uint64(max(1, (1 << size) // 27))
+        subclass = (often >> np.uint64(21)) % np.uint64((1 << size) // 8)
         _, first = np.unique(subclass, return_index=True)
         fresh = np.zeros(len(often), np.int64)
         fresh[first] = 1
@@ -282,14 +282,19 @@ def sieved(pairs: DataFrame, numbers: DataFrame, percent: int) -> DataFrame:
 def tiled(inner: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members (signature, one, n, bits, component) of one signature that are in different components
     and that sizes and bitmaps do not rule out. A signature with many members is dealt out as tiles of two blocks, so
-    no task holds more than two blocks of it, and no pair leaves a tile unless it may link."""
-    blocks_of = F.ceil(F.col("members") / BLOCK)
+    no group holds more than two blocks of it, and no pair leaves a tile unless it may link. Tiles of the same blocks of
+    signatures with the same smallest member meet in one task, where a pair that has many signatures counts once."""
+    blocks_of = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("members") / BLOCK, F.lit(1.0))))).cast("long")
     own = F.pmod(F.xxhash64("one", F.lit("block")), blocks_of)
     rows = inner.join(mixed, "signature").withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks_of - 1)))
     member = F.struct("one", "n", "bits", "component", "own")
-    tiles = rows.groupBy("signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    tiles = tiles.agg(F.collect_list(member).alias("members")).where(F.size("members") > 1)
+    low, high = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    rows = rows.select("signature", "anchor", low, high, member.alias("member"))
+    tiles = rows.repartition("anchor", "i", "j").groupBy("anchor", "i", "j", "signature").agg(
+        F.collect_list("member").alias("members")
+    )
+    tiles = tiles.where(F.size("members") > 1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,9 +344,12 @@ def linked_classes(df: DataFrame, numbers: DataFrame, key: str, text: str, k: in
     inner = members.where((F.col("one") != F.col("low.one")) & (F.col("one") != F.col("high.one")))
     inner = stage(inner.select("signature", "one", "n").join(known, "one"), "join-inner")
     mixed = inner.groupBy("signature").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")
+        F.min("component").alias("x"),
+        F.max("component").alias("y"),
+        F.count("*").alias("members"),
+        F.min("one").alias("anchor"),
     )
-    mixed = stage(mixed.where("x <> y").select("signature", "members"), "join-mixed")
+    mixed = stage(mixed.where("x <> y").select("signature", "members", "anchor"), "join-mixed")
     rest = stage(tiled(inner, mixed, percent), "join-rest")
     if rest.limit(1).count():
         more = stage(verified(rest, candidate_sets(df, numbers, rest, key, text, k), percent), "join-links")
