@@ -77,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_ngram_join": ngram_join.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
+    "op9_warc": warc.ORACLE,
 }

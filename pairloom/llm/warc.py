@@ -304,3 +304,16 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
         "record_type",
         number("refers_to").alias("refers_to"),
     )
+
+
+ORACLE = """
+WITH pages_ AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+first AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS least FROM pages_)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string(flatten(list_transform([1, 11, 21, 31], lambda a: list_transform([35, 30, 25, 20, 15, 10, 5, 0],
+    lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(((CAST('0x' || substr(h, a, 10) AS BIGINT) >> b) & 31) + 1 AS INTEGER), 1)))), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to
+FROM first
+"""
