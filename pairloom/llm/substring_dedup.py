@@ -11,8 +11,9 @@ pairs that a window so holds, the first with the smallest name gives the window
 named by its own words). Equal windows therefore have equal names, and stretches of windows get theirs from one place:
 
 1. All texts give (name, stretch of windows). A name that only one place gives rules out its windows.
-2. The windows left are compared by a 96-bit fingerprint of their words; those that occur twice or more are repeats.
-3. Their places come back to the texts, which lose the words they cover.
+2. The windows left are counted by a 96-bit fingerprint of their words. Nearly all of them repeat, so it is the few that
+   occur once whose places come back, straight from the counting.
+3. The texts lose the words that the other windows cover.
 
 A null text has no words. Texts with fewer than ``size`` words lose nothing. Repeated rows repeat each other: all
 their windows occur twice. An empty table gives an empty result. Other columns are not read. Rows are told apart by
@@ -210,15 +211,14 @@ def packed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _with(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """Texts with their places; keys may be null."""
+    """Rows with what ``places`` has for them; keys may be null."""
     places = places.withColumnsRenamed({"key": "place_key", "print": "place_print"})
     same = texts["key"].eqNullSafe(places["place_key"]) & (texts["print"] == places["place_print"])
     return texts.join(places, same, how).drop("place_key", "place_print")
 
 
-def open_windows(texts: DataFrame, open_stretches: DataFrame, size: int) -> DataFrame:
-    """(one, two, key, print, start) of the windows in stretches whose name occurs twice, staged."""
-    places = open_stretches.groupBy("key", "print").agg(F.collect_set(F.struct("first", "last")).alias("places"))
+def open_windows(texts: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """(one, two, key, print, start) of the windows in the stretches of every row."""
 
     def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -226,7 +226,7 @@ def open_windows(texts: DataFrame, open_stretches: DataFrame, size: int) -> Data
             for i, places in enumerate(batch.column(3).to_pylist()):
                 raw = unpack.decompress(batch.column(2)[i].as_py())
                 words, _ = hashed_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                starts = np.concatenate([np.arange(p["first"], p["last"] + 1) for p in places])
+                starts = starts_in(places)
                 one = chained(words, size)[starts]
                 two = chained(mix(words + PRIME), size)[starts]
                 own = pa.array(np.full(len(starts), i))
@@ -242,19 +242,25 @@ def open_windows(texts: DataFrame, open_stretches: DataFrame, size: int) -> Data
                 )
 
     rows = _with(texts, places, "inner")
-    schema = _schema(rows, "one long", "two integer", "key", "print long", "start integer")
-    return stage(rows.mapInArrow(window, schema), "dedup-windows")
+    return rows.mapInArrow(window, _schema(rows, "one long", "two integer", "key", "print long", "start integer"))
+
+
+def starts_in(places: list[dict]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.arange(p["first"], p["last"] + 1) for p in places)])
 
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(key, print, starts): for every row with repeated windows, the words at which these start."""
+    """(key, print, places, singles) of every row with repeated windows: stretches of window starts, and the starts in
+    these that do not repeat."""
     rows = stretches(df, key, text, size)
     often = stage(rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "dedup-names")
-    inside = rows.join(often, "name").select("key", "print", "first", "last")
-    windows = open_windows(packed_texts(df, key, text), inside, size)
-    twice = windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    twice = stage(twice, "dedup-repeats")
-    return windows.join(twice, ["one", "two"]).groupBy("key", "print").agg(F.collect_set("start").alias("starts"))
+    inside = rows.join(often, "name").groupBy("key", "print")
+    places = stage(inside.agg(F.collect_set(F.struct("first", "last")).alias("places")), "dedup-places")
+    windows = open_windows(packed_texts(df, key, text), places, size).groupBy("one", "two")
+    fields = ("key", "print", "start")
+    once = windows.agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in fields]).where("n = 1")
+    singles = once.groupBy("key", "print").agg(F.collect_list("start").alias("singles"))
+    return _with(places, singles, "left")
 
 
 def removed_words(n: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -274,11 +280,13 @@ def dedup(
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for packed, starts in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+            found = zip(batch.column(2), *(batch.column(c).to_pylist() for c in (3, 4)), strict=True)
+            for packed, places, singles in found:
                 words = unpack.decompress(packed.as_py()).split()  # at the separators of words, as it is bytes
                 n, kept = len(words), words
-                if starts:
-                    gone = removed_words(n, np.array(starts, np.int64), size)
+                if places:
+                    starts = np.setdiff1d(starts_in(places), np.array(singles or [], np.int64))
+                    gone = removed_words(n, starts, size)
                     kept = [word for word, out in zip(words, gone.tolist(), strict=True) if not out]
                 whole = b" ".join(kept)
                 row = (n, n - len(kept), hashlib.sha256(whole).hexdigest())
