@@ -1,15 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of the words of the benchmark are counted over all documents.
-2. The TF-IDF matrix of the benchmark's passages gets a randomised SVD: Spark adds up A'(A X) over the passages for a
-   random X and again for its orthonormal basis, which then spans the strongest directions.
+2. The TF-IDF matrix of the benchmark's items gets a randomised SVD: Spark adds up A'(A X) over the items, each scaled
+   to length one, for a random X and again for its orthonormal basis. It has as many directions as the block has
+   distinct items, so it spans them all: an item has its whole length in the latent space.
 3. Every text is read in passages of 2 * STRIDE words, one every STRIDE words. Passages whose cosine with an item in
    the latent space is at least LEAST_COSINE are candidates.
 4. A candidate is a leak when the longest common subsequence of words of the item and the text around the passage
    covers SURE of the item, or COVERED of it and ANSWER_COVERED of its answer, the last sentence.
 
-Items are handled in blocks of BLOCK_ITEMS, each with its own index and its own pass over all documents, so that what
-is broadcast is bounded. Every item and every passage takes part.
+Items are handled in blocks of about BLOCK_ITEMS, each with its own index and its own pass over all documents, so that
+what is broadcast is bounded; a filter takes GROUP blocks in one pass. Every item and every passage takes part.
 
 Words are runs of letters, digits and non-ASCII bytes, lower-cased. Null and empty texts have no passages, and items
 without words match nothing; a text shorter than a passage is one passage. Repeated rows are reported row by row; of
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,12 @@ from pyspark.sql import functions as F
 from pairloom.llm.words import LOWER_CODES, blocks, span_hashes, word_spans
 
 STRIDE = 16
-RANK = 128
 LEAST_COSINE = 0.3
 SURE = 0.8
 COVERED = 0.6
 ANSWER_COVERED = 0.5
-BLOCK_ITEMS = 2000
+BLOCK_ITEMS = 256  # also the directions of a block's basis, so memory grows with its square
+GROUP = 8  # blocks of one filter pass
 
 OUTSIDE = np.ones(256, bool)
 OUTSIDE[48:58] = OUTSIDE[65:91] = OUTSIDE[97:123] = OUTSIDE[128:] = False
@@ -71,6 +73,7 @@ class Index:
     other: float = 0.0  # weight of a word outside the vocabulary
     basis: np.ndarray | None = None
     latent: np.ndarray | None = None
+    most: np.ndarray | None = None  # most that one occurrence of a word adds to the product with any item
     cells: np.ndarray = field(init=False)
 
     def __post_init__(self):
@@ -126,10 +129,11 @@ def weigh(index: Index, df: DataFrame, text: str) -> None:
     index.other = float(index.weights.mean())
 
 
-def latent_basis(index: Index, benchmark: DataFrame, rank: int = RANK) -> None:
-    """Randomised SVD of the TF-IDF passages in ``benchmark`` (one column of text)."""
+def latent_basis(index: Index, benchmark: DataFrame) -> None:
+    """Randomised SVD of the TF-IDF items in ``benchmark`` (one column of text), of full rank: the basis spans every
+    distinct item of the block."""
     n = len(index.vocabulary)
-    rank = min(rank, n)
+    rank = min(len({np.sort(words).tobytes() for words in index.items}), n)
 
     def product(x: np.ndarray) -> np.ndarray:
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +143,7 @@ def latent_basis(index: Index, benchmark: DataFrame, rank: int = RANK) -> None:
                     at, times = np.unique(index.places(words_of(text or "")), return_counts=True)
                     at, times = at[at >= 0], times[at >= 0]
                     row = times * index.weights[at]
+                    row /= max(np.linalg.norm(row), 1e-9)
                     total[at] += np.outer(row, row @ x[at])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
@@ -157,6 +162,7 @@ def latent_basis(index: Index, benchmark: DataFrame, rank: int = RANK) -> None:
         length = np.linalg.norm(times * index.weights[at])
         latent.append((times @ index.basis[at]) / max(length, 1e-9))
     index.latent = np.array(latent, np.float32).reshape(len(latent), rank)
+    index.most = np.concatenate([(index.basis[a : a + 4096] @ index.latent.T).max(axis=1) for a in range(0, n, 4096)])
 
 
 def candidates(index: Index, words: np.ndarray, cuts: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
@@ -172,12 +178,12 @@ def candidates(index: Index, words: np.ndarray, cuts: np.ndarray, least: float)
     known = places >= 0
     weight = np.where(known, index.weights[places], index.other)
     squares = np.add.reduceat(weight * weight, starts)
-    inside = np.add.reduceat(np.where(known, weight * weight, 0), starts)
+    bound = np.add.reduceat(np.where(known, index.most[places], 0), starts)
     follows = np.zeros(len(starts), bool)  # the next step is of the same text
     follows[:-1] = text_of[1:] == text_of[:-1]
     both = lambda v: v + np.where(follows, np.append(v[1:], 0), 0)
-    length, own = np.sqrt(both(squares)), np.sqrt(both(inside))
-    open_at = np.flatnonzero(own >= least * length)  # the cosine is at most own / length
+    length = np.sqrt(both(squares))
+    open_at = np.flatnonzero(both(bound) >= (least - 1e-4) * length)  # the product is at most the bound
     if not len(open_at):
         return []
     used = np.zeros(len(starts), bool)
@@ -303,13 +309,14 @@ def without_leaks(
 ) -> DataFrame:
     """The rows, with all their columns, that leak no item."""
     at = docs.columns.index(text)
-    kept = docs
-    for index in indexes(docs, benchmark, text, item, item_text):
+    kept, every = docs, indexes(docs, benchmark, text, item, item_text)
+    while group := list(islice(every, GROUP)):
 
-        def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], group: list[Index] = group) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(len(batch), bool)
-                clean[[row for row, _ in leaks_of_batch(index, batch.column(at))]] = False
+                for index in group:
+                    clean[[row for row, _ in leaks_of_batch(index, batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))
 
         kept = kept.mapInArrow(keep, docs.schema)

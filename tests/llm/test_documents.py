@@ -316,6 +316,52 @@ def test_leaks(spark, docs, nothing):
     assert decontaminate.find_leaks(nothing, benchmark).count() == 0
 
 
+def planted_items(spark, n, length, replaced):
+    """A benchmark of n items over a shared vocabulary; each is in one document, with some of its words replaced."""
+    import numpy as np
+
+    rng = np.random.default_rng(n + length)
+    items = [[f"w{w}" for w in rng.integers(0, 3000, length)] for _ in range(n)]
+    docs = []
+    for k, item in enumerate(items):
+        words = [f"x{k}y{j}" if rng.random() < replaced else w for j, w in enumerate(item)]
+        filler = [f"f{w}" for w in rng.integers(0, 3000, 80)]
+        docs.append((k, " ".join(filler[: k % 80] + words + filler[k % 80 :])))
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    return spark.createDataFrame(docs, "doc_id long, text string").repartition(4).cache(), benchmark
+
+
+def covered_items(docs, benchmark):
+    """(document, item) of every pair whose whole texts have enough words in order, by brute force."""
+    items = [(r.item_id, decontaminate.words_of(r.text)) for r in benchmark.collect()]
+    owners = defaultdict(Counter)
+    for i, words in items:
+        for w in set(words.tolist()):
+            owners[w][i] += 1
+    found = set()
+    for r in docs.collect():
+        words = decontaminate.words_of(r.text)
+        shared = Counter()
+        for w in set(words.tolist()):
+            shared.update(owners.get(w, ()))
+        for i, item in items:
+            if shared[i] >= 0.3 * len(set(item.tolist())):
+                if decontaminate.common_subsequence(item, words) >= decontaminate.SURE * len(item):
+                    found.add((r.doc_id, i))
+    return found
+
+
+@pytest.mark.parametrize(("n", "replaced"), [(300, 0), (600, 0.15)])
+def test_no_item_of_a_large_benchmark_is_lost(spark, n, replaced):
+    docs, benchmark = planted_items(spark, n, 40, replaced)
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    wanted = covered_items(docs, benchmark)
+    assert len(wanted) >= (0.6 if replaced else 1) * n
+    assert wanted <= found
+    leaking = {d for d, _ in found}
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, benchmark).collect()} == set(range(n)) - leaking
+
+
 def test_common_subsequence():
     import numpy as np
 
