@@ -1,16 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of the words of the benchmark are counted over all documents.
-2. The TF-IDF matrix of the benchmark's items gets a randomised SVD: Spark adds up A'(A X) over the items, each scaled
-   to length one, for a random X and again for its orthonormal basis. It has as many directions as the block has
-   distinct items, so it spans them all: an item has its whole length in the latent space.
-3. Every text is read in passages of 2 * STRIDE words, one every STRIDE words. Passages whose cosine with an item in
-   the latent space is at least LEAST_COSINE are candidates.
+2. Items of more than PIECE words are cut into equal pieces of up to PIECE words. The TF-IDF matrix of the pieces gets
+   a randomised SVD: Spark adds up A'(A X) over the pieces, each scaled to length one, for a random X and again for its
+   orthonormal basis. It has as many directions as the block has distinct pieces, so it spans them all: a piece has
+   its whole length in the latent space.
+3. Every text is read in passages of 2 * STRIDE words, one every STRIDE words. Passages whose cosine with a piece in
+   the latent space is at least LEAST_COSINE are candidates for its item. A passage counts as at most SHORT times as
+   long as the piece, so that a short item is not lost among the other words of the passage.
 4. A candidate is a leak when the longest common subsequence of words of the item and the text around the passage
    covers SURE of the item, or COVERED of it and ANSWER_COVERED of its answer, the last sentence.
 
-Items are handled in blocks of about BLOCK_ITEMS, each with its own index and its own pass over all documents, so that
-what is broadcast is bounded; a filter takes GROUP blocks in one pass. Every item and every passage takes part.
+Items are handled in blocks of about BLOCK_PIECES pieces (an item is never divided between blocks), each with its own index
+and its own pass over all documents, so that what is broadcast is bounded; a filter takes GROUP blocks in one pass.
+Every item and every passage takes part.
 
 Words are runs of letters, digits and non-ASCII bytes, lower-cased. Null and empty texts have no passages, and items
 without words match nothing; a text shorter than a passage is one passage. Repeated rows are reported row by row; of
@@ -36,7 +39,9 @@ LEAST_COSINE = 0.3
 SURE = 0.8
 COVERED = 0.6
 ANSWER_COVERED = 0.5
-BLOCK_ITEMS = 256  # also the directions of a block's basis, so memory grows with its square
+PIECE = 4 * STRIDE
+SHORT = 2.0
+BLOCK_PIECES = 256  # also the directions of a block's basis, so memory grows with its square
 GROUP = 8  # blocks of one filter pass
 
 OUTSIDE = np.ones(256, bool)
@@ -62,18 +67,21 @@ def words_of(text: str) -> np.ndarray:
 
 @dataclass
 class Index:
-    """A block of items: ids, words, answers; the vocabulary (ascending hashes) with weights; the latent basis
-    (words, rank) and the items in it, scaled to the length they have in full space."""
+    """A block of items: ids, words, answers; their pieces and the item of each; the vocabulary (ascending hashes) with
+    weights; the latent basis (words, rank) and the pieces in it, scaled by the length they have in full space."""
 
     ids: list[int | None]
     items: list[np.ndarray]
     answers: list[np.ndarray]
+    pieces: list[np.ndarray]
+    item_of: np.ndarray
     vocabulary: np.ndarray
     weights: np.ndarray | None = None
     other: float = 0.0  # weight of a word outside the vocabulary
     basis: np.ndarray | None = None
     latent: np.ndarray | None = None
-    most: np.ndarray | None = None  # most that one occurrence of a word adds to the product with any item
+    lengths: np.ndarray | None = None  # of the pieces in full space
+    most: np.ndarray | None = None  # most that one occurrence of a word adds to the product with any piece
     cells: np.ndarray = field(init=False)
 
     def __post_init__(self):
@@ -90,6 +98,10 @@ class Index:
         return out
 
 
+def pieces_of(words: np.ndarray) -> list[np.ndarray]:
+    return np.array_split(words, max(1, -(-len(words) // PIECE)))
+
+
 def new_index(rows: list[tuple[int | None, str | None]]) -> Index:
     rows = [(i, text or "") for i, text in rows]
     items = [words_of(text) for _, text in rows]
@@ -98,7 +110,9 @@ def new_index(rows: list[tuple[int | None, str | None]]) -> Index:
         last = words_of([s for s in SENTENCE.split(text) if s.strip()][-1]) if text.strip() else words
         answers.append(last if len(last) >= 3 else words[-5:])
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *items]))
-    return Index([i for i, _ in rows], items, answers, vocabulary)
+    pieces = [pieces_of(words) for words in items]
+    item_of = np.repeat(np.arange(len(items)), [len(p) for p in pieces])
+    return Index([i for i, _ in rows], items, answers, [p for own in pieces for p in own], item_of, vocabulary)
 
 
 def weigh(index: Index, df: DataFrame, text: str) -> None:
@@ -130,17 +144,17 @@ def weigh(index: Index, df: DataFrame, text: str) -> None:
 
 
 def latent_basis(index: Index, benchmark: DataFrame) -> None:
-    """Randomised SVD of the TF-IDF items in ``benchmark`` (one column of text), of full rank: the basis spans every
-    distinct item of the block."""
+    """Randomised SVD of the TF-IDF pieces in ``benchmark`` (one column of text), of full rank: the basis spans every
+    distinct piece of the block."""
     n = len(index.vocabulary)
-    rank = min(len({np.sort(words).tobytes() for words in index.items}), n)
+    rank = min(len({np.sort(words).tobytes() for words in index.pieces}), n)
 
     def product(x: np.ndarray) -> np.ndarray:
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(x.shape)
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    at, times = np.unique(index.places(words_of(text or "")), return_counts=True)
+                for words in (p for text in batch.column(0).to_pylist() for p in pieces_of(words_of(text or ""))):
+                    at, times = np.unique(index.places(words), return_counts=True)
                     at, times = at[at >= 0], times[at >= 0]
                     row = times * index.weights[at]
                     row /= max(np.linalg.norm(row), 1e-9)
@@ -156,12 +170,14 @@ def latent_basis(index: Index, benchmark: DataFrame) -> None:
     for _ in range(2):
         x = np.linalg.qr(product(x))[0]
     index.basis = (x * index.weights[:, None]).astype(np.float32)
-    latent = []
-    for words in index.items:
+    latent, lengths = [], []
+    for words in index.pieces:
         at, times = np.unique(index.places(words), return_counts=True)
         length = np.linalg.norm(times * index.weights[at])
+        lengths.append(length)
         latent.append((times @ index.basis[at]) / max(length, 1e-9))
     index.latent = np.array(latent, np.float32).reshape(len(latent), rank)
+    index.lengths = np.array(lengths)
     index.most = np.concatenate([(index.basis[a : a + 4096] @ index.latent.T).max(axis=1) for a in range(0, n, 4096)])
 
 
@@ -183,7 +199,8 @@ def candidates(index: Index, words: np.ndarray, cuts: np.ndarray, least: float)
     follows[:-1] = text_of[1:] == text_of[:-1]
     both = lambda v: v + np.where(follows, np.append(v[1:], 0), 0)
     length = np.sqrt(both(squares))
-    open_at = np.flatnonzero(both(bound) >= (least - 1e-4) * length)  # the product is at most the bound
+    limits = np.where(index.lengths > 0, SHORT * index.lengths, np.inf)
+    open_at = np.flatnonzero(both(bound) >= (least - 1e-4) * np.minimum(length, limits.min()))  # products are at most it
     if not len(open_at):
         return []
     used = np.zeros(len(starts), bool)
@@ -198,12 +215,12 @@ def candidates(index: Index, words: np.ndarray, cuts: np.ndarray, least: float)
     passages = sums[open_at]
     pair = follows[open_at]
     passages[pair] += sums[open_at[pair] + 1]
-    cosines = (passages @ index.latent.T) / length[open_at, None]
-    at, item = np.nonzero(cosines >= least)
-    return [
-        (int(text_of[s]), int(starts[s] - cuts[text_of[s]]), int(i), float(c))
-        for s, i, c in zip(open_at[at], item, cosines[at, item], strict=True)
-    ]
+    products = passages @ index.latent.T
+    at, piece = np.nonzero(products >= least * np.minimum(length[open_at, None], limits))
+    found: dict[tuple[int, int], float] = {}
+    for s, i, c in zip(open_at[at], index.item_of[piece], products[at, piece] / length[open_at[at]], strict=True):
+        found[s, i] = max(found.get((s, i), 0.0), float(c))
+    return [(int(text_of[s]), int(starts[s] - cuts[text_of[s]]), int(i), c) for (s, i), c in found.items()]
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -225,6 +242,8 @@ def leaks_of_text(index: Index, words: np.ndarray, found: list[tuple[int, int, f
     best: dict[int, tuple] = {}
     for start, i, cosine in found:
         item = index.items[i]
+        if i in best and best[i][2] == 1:
+            continue
         first, last = max(0, start - len(item)), min(len(words), start + 2 * STRIDE + len(item))
         around = words[first:last]
         coverage = common_subsequence(item, around) / len(item)
@@ -249,11 +268,17 @@ def leaks_of_batch(index: Index, column: pa.Array) -> Iterator[tuple[int, tuple]
 
 
 def indexes(
-    docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, size: int = BLOCK_ITEMS
+    docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, size: int = BLOCK_PIECES
 ) -> Iterator[Index]:
     """An index per block of items. Items are dealt to blocks by number; a block is what one pass broadcasts."""
     own = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    n_blocks = -(-own.count() // size)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(len(pieces_of(words_of(text))) for batch in batches for text in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    total = own.select("text").mapInArrow(count, "n bigint").agg(F.sum("n")).first()[0] or 0
+    n_blocks = -(-total // size)
     block = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))
     for b in range(n_blocks):
         rows = own if n_blocks == 1 else own.where(block == b)

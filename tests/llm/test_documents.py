@@ -362,6 +362,13 @@ def test_no_item_of_a_large_benchmark_is_lost(spark, n, replaced):
     assert {r.doc_id for r in decontaminate.without_leaks(docs, benchmark).collect()} == set(range(n)) - leaking
 
 
+def test_the_length_of_an_item_does_not_matter(spark):
+    for n, length in ((30, 700), (30, 400), (30, 2), (30, 5)):
+        docs, benchmark = planted_items(spark, n, length, 0)
+        found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+        assert {(k, k) for k in range(n)} <= found, length
+
+
 def test_common_subsequence():
     import numpy as np
 
