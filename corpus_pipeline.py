@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairloom.llm import decontaminate, language_id, ngram_join, packing, secret_scan
 from pairloom.llm.tables import documents, stage
 
+WORDS, PERCENT = 5, 80  # what near copies share; op4_ngram_join has its own
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a recognised language stay."""
@@ -18,8 +19,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays."""
-    return ngram_join.one_of_each(docs)
+    """Of every group of near copies, by runs of five words and a similarity of 0.8, the one with the smallest id stays."""
+    return ngram_join.one_of_each(docs, k=WORDS, percent=PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import time
 from pathlib import Path
 
@@ -107,6 +108,31 @@ def test_pipeline(spark, small, tmp_path):
     assert whole.columns == docs.columns and whole.count() == docs.count()
 
 
+def test_the_pipeline_keeps_one_of_each_group_of_near_copies(spark, small):
+    base = [f"b{i}" for i in range(50)]
+    texts = [" ".join(base), " ".join(base[:25] + ["new"] + base[26:]), " ".join(base[:20] + ["p", "q"] + base[40:]), "other words stand here today"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts, 10**6)]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    ids, sets = [], []
+    for r in docs.collect():
+        w = [x for x in re.split("[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) if x]
+        ids.append(r.doc_id)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            if group[i] != group[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) > 0:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for k, g in zip(ids, group, strict=True):
+        least[g] = min(k, least.get(g, k))
+    step = dict(corpus_pipeline.STAGES)["ngram_join"]
+    assert sorted(r.doc_id for r in step(spark, docs, small).collect()) == sorted(least.values())
+    assert 10**6 + 1 not in least.values() and 10**6 + 2 in least.values()
+
+
 def test_empty_tables_pass_the_pipeline(spark, small, tmp_path):
     spark.read.parquet(f"{small}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{small}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
