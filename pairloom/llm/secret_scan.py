@@ -1,11 +1,14 @@
 """Secret scanning by dictionary-primed compression novelty.
 
-Base patterns are found by regular expression. Beyond them, strings near a sensitive word are candidates: each is
-compressed with zstandard together with the text around it, primed with a dictionary of the identifiers that stand
+Base patterns are found by regular expression. Beyond them, strings before or after a sensitive word are candidates:
+each is compressed with zstandard together with the text around it, primed with a dictionary of the identifiers that stand
 near sensitive words anywhere in the corpus. What the candidate adds to the compressed size is its novelty. Keys
 and passwords add almost a byte per character, identifiers and prose add less, and only the former are reported.
+A candidate whose only letters or digits are letters of one case must also be unlike the words of the dictionary: its
+letter pairs must take LEAST_SURPRISE bits on average, as a long word that the dictionary lacks is novel, too.
 
-The dictionary counts identifiers over all documents and keeps the most frequent ones up to DICTIONARY_BYTES.
+The dictionary counts identifiers over all documents and keeps the most frequent ones up to DICTIONARY_BYTES, without
+long ones whose letter pairs are unlike those of the others: these may be secrets.
 Offsets are code points, ends are exclusive. Null and empty texts have no spans. Rows are judged one by one, so
 repeated rows get equal results, an empty table gives an empty result, and other columns are not read.
 """
@@ -13,9 +16,11 @@ repeated rows get equal results, an empty table gives an empty result, and other
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -37,12 +42,14 @@ SENSITIVE = (
     "password passwd passphrase pwd secret token api_key apikey api-key bearer credential auth private login session "
     "signature cookie access_key access-key client_id connection"
 ).split()
-REACH = 80  # a candidate starts at most this far after a sensitive word
+REACH = 80  # a candidate is less than this far from a sensitive word
 AROUND = 256  # characters of text on each side that the candidate is compressed with
 LEAST_LENGTH = 12
 LEAST_NOVELTY = 0.75  # compressed bytes that the candidate adds, per character
+LEAST_SURPRISE = 4.9  # bits per letter pair; 26 letters at random have 4.7 if all are alike
 DICTIONARY_BYTES = 64 << 10
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$^&*-]{%d,}" % LEAST_LENGTH)
+LETTERS = re.compile(r"[a-z]+")
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]{4,40}(?![A-Za-z0-9_])")  # no digits: keys stay out
 
 FIELDS = pa.struct(
@@ -78,18 +85,80 @@ def _automaton() -> ahocorasick.Automaton:
     return words
 
 
-def _contexts(text: str, words: ahocorasick.Automaton) -> Iterator[tuple[int, int]]:
-    """Ranges of the text that start at the end of a sensitive word, merged where they overlap."""
+def _sensitive(text: str, words: ahocorasick.Automaton) -> list[tuple[int, int]]:
+    """Start and end of every sensitive word, by end."""
     folded = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A to Z only
+    return [(last + 1 - len(word), last + 1) for last, word in words.iter(folded)]
+
+
+def _contexts(text: str, words: ahocorasick.Automaton) -> Iterator[tuple[int, int]]:
+    """Ranges of the text around sensitive words, merged where they overlap."""
     open_at = until = -1
-    for last, _ in words.iter(folded):
-        if last + 1 > until:
+    for start, end in sorted(_sensitive(text, words)):
+        if start - REACH > until:
             if until >= 0:
                 yield open_at, until
-            open_at = last + 1
-        until = last + 1 + REACH
+            open_at = max(0, start - REACH)
+        until = max(until, end + REACH)
     if until >= 0:
-        yield open_at, until
+        yield max(0, open_at), until
+
+
+def candidates(text: str, words: ahocorasick.Automaton) -> Iterator[tuple[int, int]]:
+    """Strings near a sensitive word. Of one that only holds sensitive words itself, the parts between them."""
+    places = _sensitive(text, words)
+    if not places:
+        return
+    starts, ends = sorted(a for a, _ in places), [b for _, b in places]
+    for m in CANDIDATE.finditer(text):
+        first, last = m.span()
+        at, after = bisect_right(ends, first), bisect_left(starts, last)
+        if (at and first - ends[at - 1] < REACH) or (after < len(starts) and starts[after] - last < REACH):
+            yield first, last
+            continue
+        inside = sorted(p for p in places[at : bisect_right(ends, last)] if p[0] >= first)
+        for a, b in [*inside, (last, last)] if inside else []:
+            if a - first >= LEAST_LENGTH:
+                yield first, a
+            first = max(first, b)
+
+
+class Letters:
+    """How unlike a word a string is: bits per letter pair, by the pairs of distinct words."""
+
+    def __init__(self, words: Iterable[str]):
+        self.pairs, self.firsts, self.seconds = Counter(), Counter(), Counter()
+        self.known = {word.lower() for word in words}
+        for word in self.known:
+            self._add(word, 1)
+
+    def _add(self, word: str, n: int) -> None:
+        for a, b in _letter_pairs(word):
+            self.pairs[a, b] += n
+            self.firsts[a] += n
+            self.seconds[b] += n
+
+    def surprise(self, candidate: str) -> float:
+        """Infinite without pairs. A known word does not count for itself."""
+        word = candidate.lower()
+        pairs = _letter_pairs(word)
+        if not pairs:
+            return math.inf
+        own = word in self.known
+        if own:
+            self._add(word, -1)
+        total = self.firsts.total()
+        bits = 0.0
+        for a, b in pairs:
+            alone = (self.seconds[b] + 1) / (total + 26)
+            bits -= math.log2((self.pairs[a, b] + 2 * alone) / (self.firsts[a] + 2))
+        if own:
+            self._add(word, 1)
+        return bits / len(pairs)
+
+
+def _letter_pairs(word: str) -> list[tuple[str, str]]:
+    return [(a, b) for run in LETTERS.findall(word) for a, b in zip(run, run[1:], strict=False)]
 
 
 def identifier_dictionary(df: DataFrame, text: str = "text", size: int = DICTIONARY_BYTES) -> bytes:
@@ -102,7 +171,7 @@ def identifier_dictionary(df: DataFrame, text: str = "text", size: int = DICTION
             for value in batch.column(0):
                 body = value.as_py() or ""
                 for start, end in _contexts(body, words):
-                    counts.update(IDENTIFIER.findall(body, max(0, start - 40), end))
+                    counts.update(IDENTIFIER.findall(body, start, end))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["name", "n"]
             )
@@ -116,8 +185,11 @@ def identifier_dictionary(df: DataFrame, text: str = "text", size: int = DICTION
         .limit(size // 5)  # an identifier has four characters at least
         .collect()
     )
+    letters = Letters([*(row["name"] for row in most), *SENSITIVE])
     kept, left = [], size
     for row in most:
+        if len(row["name"]) >= LEAST_LENGTH and letters.surprise(row["name"]) >= LEAST_SURPRISE:
+            continue
         left -= len(row["name"]) + 1
         if left < 0:
             break
@@ -130,6 +202,7 @@ class Novelty:
 
     def __init__(self, dictionary: bytes):
         primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.letters = Letters(dictionary.decode().split())
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
 
     def __call__(self, before: str, candidate: str, after: str) -> float:
@@ -148,19 +221,25 @@ def _mixed(candidate: str) -> bool:
     return sum(kinds) >= 2
 
 
+def _least_novelty(candidate: str) -> float:
+    """LEAST_NOVELTY for six bits a character, in proportion less where only letters of one case or only digits are."""
+    if _mixed(candidate) or not any(map(str.isalnum, candidate)):
+        return LEAST_NOVELTY
+    return LEAST_NOVELTY * math.log2(26 if any(map(str.isalpha, candidate)) else 10) / 6
+
+
 def novel_spans(text: str, base: list[Span], novelty: Novelty, words: ahocorasick.Automaton) -> list[Span]:
     """Incompressible strings near sensitive words, clear of the base spans."""
     found = []
-    for start, end in _contexts(text, words):
-        for m in CANDIDATE.finditer(text, start):
-            if m.start() >= end:
-                break
-            if any(m.start() < b_end and b_start < m.end() for b_start, _, b_end in base) or not _mixed(m.group()):
-                continue
-            before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-            if novelty(before, m.group(), after) >= LEAST_NOVELTY:
-                found.append((m.start(), 3, m.end()))
-    return sorted(set(found))
+    for start, end in candidates(text, words):
+        if any(start < b_end and b_start < end for b_start, _, b_end in base):
+            continue
+        own = text[start:end]
+        if not _mixed(own) and novelty.letters.surprise(own) < LEAST_SURPRISE:
+            continue
+        if novelty(text[max(0, start - AROUND) : start], own, text[end : end + AROUND]) >= _least_novelty(own):
+            found.append((start, 3, end))
+    return found
 
 
 def listed(spans: list[Span]) -> str:

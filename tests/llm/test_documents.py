@@ -239,6 +239,16 @@ def test_secrets(spark, docs, nothing):
     assert secret_scan.scan(nothing).count() == 0
 
 
+def test_secrets_of_one_class_and_before_their_word(spark):
+    words = ["the login and password pages of the corporation were internationalisation work", "Responsibilities of a session: characterisation, //www.example.com/session/overview and get_connection_parameters"]
+    secrets = ["904817263550", "73920518463329018475", "qzkxvjwpmtrbgh", "xkqjvzwhfpbdmgcyrlnt", "QZKXVJWPMTRBGH", "q7Zp9x-Kd83_sLw02Vb5RtY1"]
+    forms = ["the session login was {} then", "{} is the password of it", "they wrote {} down, and it was the login"]
+    texts = words + [form.format(s) for form in forms for s in secrets]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert [clean[k] for k in range(len(texts))] == words + [form.format("[SECRET]") for form in forms for _ in secrets]
+
+
 def test_language(spark, docs, nothing):
     kinds = {"xx": "lorem dolar sitame", "yy": "þþer öä grüß"}
     rows = [(i, " ".join([kinds[k]] * (3 + i % 5)), k) for i in range(60) for k in [("xx", "yy")[i % 2]]]
