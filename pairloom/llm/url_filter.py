@@ -8,7 +8,7 @@ association rule that it contains; without one it is allowed. Association rules
 each is listed under its rarest token, so a url looks only at the rules listed under tokens it has.
 
 Tokens are words of the host, the top-level domain, path words by depth up to MOST_DEPTH, and query names. A host or path with more words has more tokens; none is left out, but words deeper than MOST_DEPTH share the
-last depth. Combinations of up to MOST_TOKENS tokens become rules.
+last depth. Combinations of any number of tokens become rules.
 
 A null url, or one without ``://``, has an empty host and path, no rule and, as it has no token, the verdict allow.
 Rows are judged one by one, so repeated rows get equal results; an empty table gives an empty result; without any
@@ -34,7 +34,6 @@ RULES = (
 )
 SUPPORT = 0.01  # share of the decided urls that have the combination and the verdict
 CONFIDENCE = 0.8
-MOST_TOKENS = 3
 MOST_DEPTH = 4
 VERDICTS = ("allow", "block")
 LABEL = "verdict="
@@ -108,7 +107,7 @@ def mine(decided: DataFrame, support: float = SUPPORT, confidence: float = CONFI
         F.array_sort(F.filter("items", lambda t: ~is_label(t))).alias("tokens"),
         F.get(F.filter("items", is_label), F.lit(0)).alias("label"),
         "freq",
-    ).where(F.size("tokens").between(1, MOST_TOKENS))
+    ).where(F.size("tokens") >= 1)
     whole = sets.where("label is null").select("tokens", F.col("freq").alias("n"))
     rules = (
         sets.where("label is not null")

@@ -80,6 +80,13 @@ def test_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_combinations_of_four_tokens_become_rules(spark):
+    four = ["a", "b", "c", "d"]
+    rows = [(four, "block")] * 30 + [([t for t in four if t != out], "allow") for out in four for _ in range(20)]
+    rules = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    assert [(r["tokens"], r["verdict"], r["n"], r["c"]) for r in rules if r["verdict"] == "block"] == [(four, "block", 30, 1.0)]
+
+
 def test_the_best_contained_rule_decides():
     rules = [
         {"tokens": ["a"], "verdict": "block", "n": 10, "c": 0.9},
