@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairloom.functions import text as T
-from pairloom.sources.readers import option_table
+from pairloom.sources.options import option_table
 
 BROADCAST_VOCAB = 1_000_000  # entries, counted; a larger vocabulary is joined by shuffle
 FREQUENT = 1000  # entries of a larger vocabulary that are broadcast, so that no common piece is a hot key

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairloom.functions import text as T
-from pairloom.sources.readers import option_table
+from pairloom.sources.options import option_table
 
 # --- fixed values -----------------------------------------------------------------------------
 # Letters that stand for each other, most usual first: for learning a map and for auditing output.

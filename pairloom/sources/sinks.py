@@ -10,7 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.sources.readers import CSV_OPTIONS, Rules
+from pairloom.sources.options import CSV_OPTIONS
+from pairloom.sources.readers import Rules
 
 CSV_WRITE = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
 
