@@ -6,23 +6,18 @@ the one step Spark has no expression for: how many n-grams two sequences share,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
-
-TILE_SUMS = ArrayType(
-    StructType()
-    .add("pos", LongType())
-    .add("text", StringType())
-    .add("n", LongType())
-    .add("chrf", DoubleType())
-    .add("bleu", DoubleType())
-)
-CHUNK = 1 << 18  # symbols worked on at once: bounds memory whatever the batch holds, and fits caches
+from pyspark.sql.types import ArrayType, LongType
+
+CHUNK = 1 << 18  # symbols of pairs worked on at once, or one pair; the sequences of a batch are coded together
 PAIRS = 1 << 16  # candidate pairs scored at once
+BUFFER = 8 << 20  # bytes of tiles held at once, or one tile
 
 
 def symbols(*arrays: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -165,44 +160,75 @@ def bleu_score(shared, n_hyp, n_ref):
     return np.where(defined, brevity * np.exp(np.log(precision).mean(axis=1)), 0.0)
 
 
-def add_pair_scores(sums: dict[str, np.ndarray], coded: dict, left: np.ndarray, right: np.ndarray) -> None:
-    """Add both directions of every (left, right) pair to the per-member sums."""
-    members = len(sums["n"])
-    sums["n"] += np.bincount(left, minlength=members) + np.bincount(right, minlength=members)
+def add_pair_scores(
+    sums: dict[str, np.ndarray], coded: dict, weight: np.ndarray, left: np.ndarray, right: np.ndarray
+) -> None:
+    """Add both directions of every (left, right) pair to the per-member sums, scores times the partner's weight."""
+    members = len(sums["partners"])
+    sums["partners"] += np.bincount(left, minlength=members) + np.bincount(right, minlength=members)
+    sums["weight"] += np.bincount(left, weight[right], members) + np.bincount(right, weight[left], members)
     for name, score, fields in (
         ("chrf", chrf_score, (("chars", 6), ("words", 2))),
         ("bleu", bleu_score, (("tokens", 4),)),
     ):
         shared = np.hstack([pair_overlap(coded[f], coded[f], left, right, k) for f, k in fields])
         totals = np.hstack([gram_totals(coded[f][1], k) for f, k in fields])
-        sums[name] += np.bincount(left, score(shared, totals[left], totals[right]), members)
-        sums[name] += np.bincount(right, score(shared, totals[right], totals[left]), members)
+        sums[name] += np.bincount(left, weight[right] * score(shared, totals[left], totals[right]), members)
+        sums[name] += np.bincount(right, weight[left] * score(shared, totals[right], totals[left]), members)
+
+
+def tile_starts(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows at which a tile (id, i, j) starts; rows come in the order of tiles."""
+    starts = np.zeros(batch.num_rows, bool)
+    starts[:1] = True
+    for name in ("id", "i", "j"):
+        column = batch.column(name)
+        starts[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(starts)
 
 
-@F.arrow_udf(TILE_SUMS)
-def tile_utilities(tile: pa.Array, diagonal: pa.Array) -> pa.Array:
-    """Per candidate of a tile: number of partners in the tile and summed sentence scores against them.
+def tile_scores(members: pa.RecordBatch) -> pa.RecordBatch:
+    """Per candidate of whole tiles: its partners in the tile, their weight, and the weighted sums of sentence scores.
 
-    ``tile``: list of (pos, text, second, chars, words, tokens); ``second`` marks the tile's second block.
-    Pairs are index arrays, scored as soon as enough of them have gathered.
+    ``second`` marks a tile's second block. Pairs are index arrays, scored as soon as enough of them have gathered.
     """
-    members = tile.flatten()
-    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(tile).to_numpy(zero_copy_only=False))]).astype(int)
-    second = members.field("second").to_numpy(zero_copy_only=False)
-    one_block = diagonal.to_numpy(zero_copy_only=False)
-    coded = {f: symbols(members.field(f))[0] for f in ("chars", "words", "tokens")}
-    sums = {"n": np.zeros(len(members), np.int64), "chrf": np.zeros(len(members)), "bleu": np.zeros(len(members))}
+    starts = tile_starts(members)
+    offsets = np.append(starts, members.num_rows)
+    second = members.column("second").to_numpy(zero_copy_only=False)
+    weight = members.column("weight").to_numpy(zero_copy_only=False)
+    one_block = pc.equal(members.column("i"), members.column("j")).to_numpy(zero_copy_only=False)
+    coded = {f: symbols(members.column(f))[0] for f in ("chars", "words", "tokens")}
+    sums = {"partners": np.zeros(members.num_rows, np.int64)}
+    sums |= {name: np.zeros(members.num_rows) for name in ("weight", "chrf", "bleu")}
     waiting, n_waiting = [], 0
-    for t in range(len(tile)):
-        inside = np.arange(offsets[t], offsets[t + 1])
-        if one_block[t]:
+    for t, start in enumerate(starts):
+        inside = np.arange(start, offsets[t + 1])
+        if one_block[start]:
             waiting.append(pair_list(inside, None))
         else:
             waiting.append(pair_list(inside[~second[inside]], inside[second[inside]]))
         n_waiting += len(waiting[-1][0])
-        if n_waiting and (n_waiting >= PAIRS or t == len(tile) - 1):
-            add_pair_scores(sums, coded, *map(np.concatenate, zip(*waiting)))
+        if n_waiting and (n_waiting >= PAIRS or t == len(starts) - 1):
+            add_pair_scores(sums, coded, weight, *map(np.concatenate, zip(*waiting)))
             waiting, n_waiting = [], 0
-    fields = [members.field("pos"), members.field("text"), *[pa.array(sums[k]) for k in ("n", "chrf", "bleu")]]
-    rows = pa.StructArray.from_arrays(fields, names=["pos", "text", "n", "chrf", "bleu"])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+    kept = ["id", "pos", "key", "text"]
+    arrays = [members.column(name) for name in kept] + [pa.array(column) for column in sums.values()]
+    return pa.RecordBatch.from_arrays(arrays, [*kept, *sums])
+
+
+def tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``tile_scores`` over a stream of tiles, holding about BUFFER bytes of them, or one."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BUFFER:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            last = int(tile_starts(whole)[-1])
+            if last:
+                yield tile_scores(whole.slice(0, last))
+            held = [whole.slice(last)]
+            size = held[0].nbytes
+    rest = pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
+    yield from (tile_scores(batch) for batch in rest if batch.num_rows)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pairloom.functions import text as T
-from pairloom.functions.overlap import tile_utilities
+from pairloom.functions.overlap import tile_sums
 
 BLOCK = 64  # candidates per block; an id with more is cut into a grid of block pairs
-SALTS = 32
+BLOCK_BYTES = 1 << 18  # of text per block, and one text more
+RUN = 64  # blocks that are numbered together, in one group of a window
+HOT_IDS = 1000  # ids whose sizes are broadcast; any other has under a thousandth of the text
 
 
 def regroup_flat(df: DataFrame, pos: str, n_best: int) -> DataFrame:
@@ -44,55 +48,115 @@ def candidate_pool(*parts: DataFrame, priority: tuple[int, ...] | None = None) -
     return pool
 
 
-def candidate_dedup(cands: DataFrame) -> DataFrame:
-    """Distinct texts per id with their earliest position. Rows without an id belong to no sentence."""
-    return cands.filter(F.col("id").isNotNull()).groupBy("id", "text").agg(F.min("pos").cast("long").alias("pos"))
+def candidate_dedup(cands: DataFrame, weight: str | None = None) -> DataFrame:
+    """Distinct texts per id with their earliest position, and with ``weight`` the summed weight of their repeats. Rows
+    without an id belong to no sentence; a null weight counts 0."""
+    merged = [F.min("pos").cast("long").alias("pos")]
+    if weight:
+        merged.append(F.coalesce(F.sum(F.col(weight).cast("double")), F.lit(0.0)).alias("weight"))
+    return cands.filter(F.col("id").isNotNull()).groupBy("id", "text").agg(*merged)
 
 
-def _tiles(distinct: DataFrame, block: int) -> DataFrame:
-    """Candidates placed on tiles (id, i, j) such that every pair of one id meets on exactly one tile.
-
-    Up to ``block`` candidates of an id share one tile. A larger id gets a grid of tiles of block pairs, so
-    no task ever holds more than about two blocks of it. Ids are joined to their sizes with a salt, so one
-    large id does not end up in one task.
-    """
+def _sized(distinct: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """``distinct`` with ``runs``: null for an id that fits one block, else into how many groups of about RUN blocks its
+    candidates are dealt. The sizes of the ids with most text are broadcast; of the others none is a hot key."""
+    text_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     # counting ``pos`` keeps this plan equal to the other use of ``distinct``, so Spark shuffles that once
-    sizes = distinct.groupBy("id").agg(F.count("pos").alias("_n")).filter(F.col("_n") > block)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    blocks = sizes.select("id", F.ceil(F.col("_n") / block).alias("_blocks"), salts)
-    salted = distinct.withColumn("_hash", F.xxhash64("text")).withColumn("_salt", F.pmod("_hash", F.lit(SALTS)).cast("int"))
-    sized = salted.join(blocks, ["id", "_salt"], "left")
-    n = F.coalesce("_blocks", F.lit(1))
-    # the low bits chose the salt
-    own = F.pmod(F.shiftrightunsigned("_hash", 8), n)
-    meets = F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    spread = sized.select("id", "pos", "text", own.alias("_own"), meets.alias("_other"))
-    return spread.select(
-        "id", "pos", "text",
+    sizes = distinct.groupBy("id").agg(F.count("pos").alias("n"), F.sum(text_bytes).alias("bytes"))
+    sizes = sizes.filter((F.col("n") > block) | (F.col("bytes") > block_bytes))
+    runs = F.floor(F.col("n") / (RUN * block)) + F.floor(F.col("bytes") / (RUN * block_bytes)) + 1
+    hot = sizes.orderBy(F.desc("bytes"), "id").limit(HOT_IDS).select("id", runs.alias("runs"))
+    met = distinct.join(F.broadcast(hot), "id", "left")
+    rest = met.filter(F.col("runs").isNull()).drop("runs").join(sizes.select("id", runs.alias("runs")), "id", "left")
+    return met.filter(F.col("runs").isNotNull()).unionByName(rest)
+
+
+def _grid(sized: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """Candidates of large ids on tiles (id, i, j) such that every pair of an id meets on one tile. Running counts and
+    bytes inside a run decide the blocks: at most ``block`` candidates, and ``block_bytes`` and one text."""
+    dealt = sized.withColumn("_run", F.pmod("key", F.col("runs")))
+    before = W.partitionBy("id", "_run").orderBy("key", "pos").rowsBetween(W.unboundedPreceding, -1)
+    rows = F.count("pos").over(before)
+    text_bytes = F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(before), F.lit(0))
+    # both only grow, so rows with one sum have both alike
+    at = F.floor(rows / F.lit(block)) + F.floor(text_bytes / F.lit(block_bytes))
+    blocks = dealt.withColumn("_at", at)
+    number = F.dense_rank().over(W.partitionBy("id", "_run").orderBy("_at")) - 1
+    blocks = blocks.withColumn("_block", number)
+    counts = blocks.groupBy("id", "_run").agg((F.max("_block") + 1).alias("_n"))
+    every, earlier = W.partitionBy("id"), W.partitionBy("id").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(
+        "id", "_run", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"), F.sum("_n").over(every).alias("_all")
+    )
+    own = blocks.join(counts, ["id", "_run"]).withColumn("_own", (F.col("_first") + F.col("_block")).cast("long"))
+    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_all") - 1)).alias("_other")
+    return own.select("*", meets).select(
+        "id", "pos", "text", "key", "weight",
         F.least("_own", "_other").alias("i"),
         F.greatest("_own", "_other").alias("j"),
         (F.col("_own") > F.col("_other")).alias("second"),
     )
 
 
-def mbr_utilities(cands: DataFrame, metric: str = "geo", block: int = BLOCK, partitions: int | None = None) -> DataFrame:
+def _tiles(distinct: DataFrame, block: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Candidates on tiles: of ids that fit one block, and of larger ones. ``key`` tells apart what shares a position."""
+    if "weight" not in distinct.columns:
+        distinct = distinct.withColumn("weight", F.lit(1.0))
+    sized = _sized(distinct.withColumn("key", F.xxhash64("text")), block, block_bytes)
+    zero = F.lit(0).cast("long")
+    small = sized.filter(F.col("runs").isNull()).select(
+        "id", "pos", "text", "key", "weight", zero.alias("i"), zero.alias("j"), F.lit(False).alias("second")
+    )
+    return small, _grid(sized.filter(F.col("runs").isNotNull()), block, block_bytes)
+
+
+def _scored(tiles: DataFrame, partitions: int, with_text: bool) -> DataFrame:
+    """Sums of every candidate over the partners on its tile. Tiles stream through the Arrow function in order, so that
+    it holds a few of them at a time; the forms of a text are made behind the shuffle."""
+    text = F.col("text") if with_text else F.lit(None).cast("string")
+    placed = tiles.repartition(partitions, "id", "i", "j").sortWithinPartitions("id", "i", "j")
+    prepared = placed.select(
+        "id", "pos", "key", text.alias("text"), "i", "j", "second", "weight",
+        T.drop_whitespace(F.col("text")).alias("chars"),
+        T.chrf_words(F.col("text")).alias("words"),
+        T.bleu_tokens(F.col("text")).alias("tokens"),
+    )
+    schema = StructType(prepared.select("id", "pos", "key", "text").schema.fields).add("partners", "long")
+    for name in ("weight", "chrf", "bleu"):
+        schema = schema.add(name, "double")
+    return prepared.mapInArrow(tile_sums, schema)
+
+
+def mbr_utilities(
+    cands: DataFrame,
+    metric: str = "geo",
+    block: int = BLOCK,
+    partitions: int | None = None,
+    weight: str | None = None,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """(id, pos, text, partners, chrf, bleu, utility): mean sentence score of every distinct candidate.
 
     Each candidate is scored against all other distinct candidates of its id, exactly. Pairs never become
-    rows: a tile counts each pair once, scores it both ways and emits one partial sum per candidate.
+    rows: a tile counts each pair once, scores it both ways and emits one partial sum per candidate. Text is on the
+    tiles alone; sums of large ids go by position and key and meet their text at the end.
+
+    With ``weight``, the mean over partners is weighted by that column, repeats of a candidate adding up. A candidate's
+    own weight and repeats never count for itself. Without weight among the partners the scores are 0.
     """
     partitions = partitions or int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = _tiles(candidate_dedup(cands), block).repartition(partitions, "id", "i", "j")
-    prepared = tiles.withColumns(
-        {"chars": T.drop_whitespace(F.col("text")), "words": T.chrf_words(F.col("text")), "tokens": T.bleu_tokens(F.col("text"))}
-    )
-    member = F.struct("pos", "text", "second", "chars", "words", "tokens")
-    grouped = prepared.groupBy("id", "i", "j").agg(F.collect_list(member).alias("tile"))
-    partial = grouped.select("id", F.inline(tile_utilities(F.col("tile"), F.col("i") == F.col("j"))))
-    summed = partial.groupBy("id", "pos", "text").agg(
-        F.sum("n").alias("partners"), F.sum("chrf").alias("chrf"), F.sum("bleu").alias("bleu")
+    distinct = candidate_dedup(cands, weight)
+    small, large = _tiles(distinct, block, block_bytes)
+    summed = _scored(large, partitions, with_text=False).groupBy("id", "pos", "key").agg(
+        *[F.sum(c).alias(c) for c in ("partners", "weight", "chrf", "bleu")]
     )
-    means = summed.withColumns({c: F.coalesce(F.try_divide(c, "partners"), F.lit(0.0)) for c in ("chrf", "bleu")})
+    texts = distinct.select("id", "pos", F.xxhash64("text").alias("key"), "text")
+    every = _scored(small, partitions, with_text=True).unionByName(summed.join(texts, ["id", "pos", "key"]))
+
+    def mean(score: str) -> Column:
+        return F.when(F.col("weight") > 0, F.col(score) / F.col("weight")).otherwise(0.0)
+
+    means = every.withColumns({c: mean(c) for c in ("chrf", "bleu")}).drop("key", "weight")
     utility = {"chrf": F.col("chrf"), "bleu": F.col("bleu"), "geo": F.sqrt(F.col("chrf") * F.col("bleu"))}[metric]
     return means.withColumn("utility", utility)
 

@@ -346,6 +346,14 @@ ORACLES: dict[str, str] = {
         round(utility, 6) AS utility FROM utilities""",
     "mbr_select": f"""{_mbr()} SELECT id, pos, text, round(utility, 6) AS utility FROM (SELECT *, row_number() OVER (
         PARTITION BY id ORDER BY round(utility, 9) DESC, pos) AS rn FROM utilities) WHERE rn = 1""",
+    "mbr_weighted": f"""{_mbr()}, weights AS (SELECT conv_id AS id, text, sum(length(text) % 5 + 0.5)::DOUBLE AS w
+            FROM conversations GROUP BY ALL),
+        means AS (SELECT p.id, p.pos, count(s.ref) AS partners, coalesce(sum(w * chrf) / sum(w), 0) AS chrf,
+                  coalesce(sum(w * bleu) / sum(w), 0) AS bleu FROM pool p LEFT JOIN scored s ON s.id = p.id AND s.hyp = p.pos
+                  LEFT JOIN pool q ON q.id = s.id AND q.pos = s.ref
+                  LEFT JOIN weights v ON v.id = q.id AND v.text = q.text GROUP BY ALL)
+        SELECT id, pos, partners, round(chrf, 6) AS chrf, round(bleu, 6) AS bleu, round(sqrt(chrf * bleu), 6) AS utility
+        FROM means""",
     "build_vocab": VOCABULARY,
     "encode_labels": f"{ENCODED} SELECT id, array_to_string({CLOSED}, ' ') AS labels FROM ids",
     "encode_inputs": f"""{ENCODED} SELECT id, array_to_string({CLOSED}, ' ') AS input_ids,

@@ -1,5 +1,5 @@
 import pytest
-from plain import mbr
+from plain import bleu, bleu_vector, chrf, chrf_vector, mbr
 from pyspark.sql import functions as F
 
 from pairloom.operators import selection
@@ -40,9 +40,10 @@ def test_large_group_is_cut_into_tiles_and_stays_exact(spark):
     hot = [" ".join(words[(i * k + k) % len(words)] for k in range(1, 8)) + f" {i % 9}" for i in range(40)]
     groups = {0: hot, **{i: hot[i : i + 4] for i in range(1, 20)}}
     cands = pool(spark, groups)
-    tiles = selection._tiles(selection.candidate_dedup(cands), 8)
+    small, tiles = selection._tiles(selection.candidate_dedup(cands), 8)
     sizes = [r["count"] for r in tiles.groupBy("id", "i", "j").count().collect()]
-    assert max(sizes) < 30 and len(sizes) > 25
+    assert max(sizes) <= 16 and len(sizes) > 12
+    assert {r.id for r in small.select("id").distinct().collect()} == set(range(1, 20))
     for metric in ("geo", "chrf"):
         scored = selection.mbr_utilities(cands, metric, block=8)
         got = {(r.id, r.text): r.utility for r in scored.collect()}
@@ -88,3 +89,62 @@ def test_regroup(spark):
 def test_pairs_never_become_rows(spark, small):
     plan = selection.mbr_utilities(catalog.candidates(spark, small))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_tiles_are_bounded_by_rows_and_bytes(spark):
+    """One id of 2,000 candidates of very different length, among small ones."""
+    texts = [f"{i} " + "word " * (200 if i % 50 == 0 else i % 7) for i in range(2000)]
+    cands = pool(spark, {0: texts, 1: texts[:3], 2: ["x " * 40_000, "y"]})
+    small, tiles = selection._tiles(selection.candidate_dedup(cands), 64, 8000)
+    assert {r.id for r in small.select("id").distinct().collect()} == {1}
+    longest = max(len(t.encode()) for t in texts)
+    per_tile = tiles.where("id = 0").groupBy("i", "j", "second").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
+    ends = per_tile.agg(F.max("n"), F.max("b"), F.max("j")).first()
+    assert ends[0] <= 64 and ends[1] <= 8000 + longest and ends[2] >= 2000 // 64
+    met = tiles.where("id = 0 and i = j").agg(F.count("*"), F.count_distinct("text")).first()
+    assert tuple(met) == (2000, 2000)  # every candidate is in one block
+    assert tiles.where("id = 2").count() >= 2  # two candidates, but too long for one block to be sure
+
+
+def test_a_large_id_equals_one_tile(spark):
+    """2,000 candidates in a grid and in one block, with sums by position and key."""
+    texts = [f"{'a b c d e f g h'[: 3 + i % 11]} {i % 37} {i}" for i in range(2000)]
+    cands = pool(spark, {0: texts}).repartition(4)
+    whole = {(r.pos, r.text): (r.partners, r.chrf, r.bleu) for r in selection.mbr_utilities(cands, block=4000).collect()}
+    grid = {(r.pos, r.text): (r.partners, r.chrf, r.bleu) for r in selection.mbr_utilities(cands, block=300).collect()}
+    assert len(grid) == 2000 and {v[0] for v in grid.values()} == {1999}
+    assert whole.keys() == grid.keys()
+    assert all(whole[k][1:] == pytest.approx(grid[k][1:], abs=1e-9) for k in whole)
+
+
+def test_candidates_that_share_a_position_stay_apart(spark):
+    rows = [(1, 0, t) for t in G3]
+    cands = spark.createDataFrame(rows, "id long, pos long, text string")
+    for block in (2, 64):
+        got = {r.text: (r.partners, r.utility) for r in selection.mbr_utilities(cands, block=block).collect()}
+        assert got == {t: (2, pytest.approx(u, abs=1e-9)) for t, u in mbr(G3)}
+
+
+def test_weights(spark):
+    texts = [*G3, "the cat sat on the mat again"]
+    weights = [2.0, 0.5, 1.0, 3.0, 0.0]
+    rows = [(1, p, t, w) for p, (t, w) in enumerate(zip(texts, weights))]
+    cands = spark.createDataFrame(rows, "id long, pos long, text string, w double")
+    merged = {}
+    for t, w in zip(texts, weights):
+        merged[t] = merged.get(t, 0) + w
+
+    def expected(hyp):
+        others = [(t, w) for t, w in merged.items() if t != hyp]
+        total = sum(w for _, w in others)
+        c = sum(w * chrf(chrf_vector(hyp, t)) for t, w in others) / total
+        b = sum(w * bleu(bleu_vector(hyp, t)) for t, w in others) / total
+        return (c * b) ** 0.5
+
+    for block in (2, 64):
+        got = {r.text: r.utility for r in selection.mbr_utilities(cands, weight="w", block=block).collect()}
+        assert got == pytest.approx({t: expected(t) for t in merged}, abs=1e-9)
+    ones = cands.withColumn("w", F.lit(1.0)).where("pos < 3")
+    assert {r.text: r.utility for r in selection.mbr_utilities(ones, weight="w").collect()} == pytest.approx(dict(mbr(G3)))
+    none = cands.withColumn("w", F.lit(None).cast("double"))
+    assert {r.utility for r in selection.mbr_utilities(none, weight="w").collect()} == {0.0}
