@@ -216,8 +216,136 @@ def tile_scores(members: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [*kept, *sums])
 
 
+def numbered_grams(codes: np.ndarray, lengths: np.ndarray, orders: int):
+    """For each order, the member and a number of every n-gram of coded sequences end to end. The first, second and so on
+    place of an n-gram in a member count apart, so what two members share is the numbers both have."""
+    seq, last = np.repeat(np.arange(len(lengths)), lengths), codes
+    base = int(codes.max(initial=0)) + 1
+    gram, bound = np.zeros(len(codes), np.int64), 1
+    for order in range(1, orders + 1):
+        if order > 1:
+            inside = seq[:-1] == seq[1:]
+            gram, seq, last = gram[:-1][inside], seq[:-1][inside], last[1:][inside]
+        if bound * base >= 1 << 61:
+            gram = np.unique(gram, return_inverse=True)[1]
+            bound = int(gram.max(initial=0)) + 1
+        gram = gram * base + last
+        bound *= base
+        by_member = np.lexsort((gram, seq))
+        member, same = seq[by_member], gram[by_member]
+        new = np.ones(len(same), bool)
+        new[1:] = (member[1:] != member[:-1]) | (same[1:] != same[:-1])
+        at = np.arange(len(same))
+        place = at - np.maximum.accumulate(np.where(new, at, 0))
+        number = np.unique(same, return_inverse=True)[1] * (int(place.max(initial=0)) + 1) + place
+        yield member, np.unique(number, return_inverse=True)[1]
+
+
+def shared_sums(coded, rows: np.ndarray, hyp: np.ndarray, ref: np.ndarray, weight: np.ndarray, orders: int):
+    """For members ``rows`` of a tile, of which ``hyp`` are compared with ``ref`` (masks), and for each order: the
+    n-grams shared with each partner times its weight, added up over partners; and the same over the partner's total.
+    Time goes with the n-grams, not with pairs. A member that is in both masks is no partner of itself."""
+    codes, lengths = take(*coded, rows)
+    shared, of_ref = np.zeros((len(rows), orders)), np.zeros((len(rows), orders))
+    for k, (member, number) in enumerate(numbered_grams(codes, lengths, orders)):
+        totals = np.maximum(lengths - k, 1)
+        partner, asked = ref[member], hyp[member]
+        size = int(number.max(initial=-1)) + 1
+        held = np.bincount(number[partner], weight[member[partner]], size)
+        shares = np.bincount(number[partner], (weight / totals)[member[partner]], size)
+        shared[:, k] = np.bincount(member[asked], held[number[asked]], len(rows))
+        of_ref[:, k] = np.bincount(member[asked], shares[number[asked]], len(rows))
+        own = (hyp & ref) * weight * (lengths > k)
+        shared[:, k] -= own * np.maximum(lengths - k, 0)
+        of_ref[:, k] -= own
+    return shared, of_ref
+
+
+BOUND_SUMS = ["partners", "weight", "precision", "recall", "b1", "b2", "b3", "b4"]
+
+
+def tile_bounds(members: pa.RecordBatch) -> pa.RecordBatch:
+    """Per candidate of whole tiles, sums over its partners in the tile, from counts alone: partners, their weight, at
+    least the chrF precisions and recalls, and shared token n-grams of each order; and the candidate's tokens."""
+    starts = tile_starts(members)
+    offsets = np.append(starts, members.num_rows)
+    second = members.column("second").to_numpy(zero_copy_only=False)
+    weights = members.column("weight").to_numpy(zero_copy_only=False)
+    one_block = pc.equal(members.column("i"), members.column("j")).to_numpy(zero_copy_only=False)
+    coded = {f: symbols(members.column(f))[0] for f in ("chars", "words", "tokens")}
+    sums = {name: np.zeros(members.num_rows) for name in BOUND_SUMS}
+    lengths = {f: np.diff(coded[f][1]) for f in coded}
+    for t, start in enumerate(starts):
+        rows = np.arange(start, offsets[t + 1])
+        weight, all_rows = weights[rows], np.ones(len(rows), bool)
+        sides = [(all_rows, all_rows)] if one_block[start] else [(~second[rows], second[rows]), (second[rows], ~second[rows])]
+        for hyp, ref in sides:
+            if not ref.any() or not hyp.any():
+                continue
+            self = hyp & ref
+            sums["partners"][rows] += np.where(hyp, ref.sum() - self, 0)
+            sums["weight"][rows] += np.where(hyp, weight[ref].sum() - self * weight, 0)
+            precision, recall, used = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
+            for field, orders in (("chars", 6), ("words", 2)):
+                shared, of_ref = shared_sums(coded[field], rows, hyp, ref, weight, orders)
+                n = np.minimum(lengths[field][rows], orders)
+                totals = np.maximum(lengths[field][rows][:, None] - np.arange(orders), 1)
+                precision += (shared / totals).sum(axis=1)
+                recall += of_ref.sum(axis=1)
+                used += np.minimum(n, n[ref].min())  # no partner uses fewer orders
+            sums["precision"][rows] += np.where(hyp, precision / np.maximum(used, 1), 0)
+            sums["recall"][rows] += np.where(hyp, recall / np.maximum(used, 1), 0)
+            shared, _ = shared_sums(coded["tokens"], rows, hyp, ref, weight, 4)
+            for k in range(4):
+                sums[f"b{k + 1}"][rows] += np.where(hyp, shared[:, k], 0)
+    kept = ["id", "pos", "key"]
+    arrays = [members.column(name) for name in kept] + [pa.array(column) for column in sums.values()]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(lengths["tokens"])], [*kept, *sums, "n_tokens"])
+
+
+def tile_asked(members: pa.RecordBatch) -> pa.RecordBatch:
+    """``tile_scores`` for the candidates marked ``asked`` alone, as hypotheses."""
+    starts = tile_starts(members)
+    offsets = np.append(starts, members.num_rows)
+    second, asked, weight = (members.column(c).to_numpy(zero_copy_only=False) for c in ("second", "asked", "weight"))
+    one_block = pc.equal(members.column("i"), members.column("j")).to_numpy(zero_copy_only=False)
+    coded = {f: symbols(members.column(f))[0] for f in ("chars", "words", "tokens")}
+    sums = {name: np.zeros(members.num_rows) for name in ("partners", "weight", "chrf", "bleu")}
+    for t, start in enumerate(starts):
+        rows = np.arange(start, offsets[t + 1])
+        for hyp in rows[asked[rows]]:
+            right = rows[rows != hyp] if one_block[start] else rows[second[rows] != second[hyp]]
+            if not len(right):
+                continue
+            left = np.full(len(right), hyp)
+            sums["partners"][hyp] += len(right)
+            sums["weight"][hyp] += weight[right].sum()
+            for name, score, fields in (
+                ("chrf", chrf_score, (("chars", 6), ("words", 2))),
+                ("bleu", bleu_score, (("tokens", 4),)),
+            ):
+                shared = np.hstack([pair_overlap(coded[f], coded[f], left, right, k) for f, k in fields])
+                totals = np.hstack([gram_totals(coded[f][1], k) for f, k in fields])
+                sums[name][hyp] += (weight[right] * score(shared, totals[left], totals[right])).sum()
+    kept = ["id", "pos", "key"]
+    arrays = [members.column(name) for name in kept] + [pa.array(column) for column in sums.values()]
+    return pa.RecordBatch.from_arrays(arrays, [*kept, *sums]).filter(members.column("asked"))
+
+
 def tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``tile_scores`` over a stream of tiles, holding about BUFFER bytes of them, or one."""
+    return over_tiles(batches, tile_scores)
+
+
+def bound_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return over_tiles(batches, tile_bounds)
+
+
+def asked_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return over_tiles(batches, tile_asked)
+
+
+def over_tiles(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """``work`` over a stream of tiles, holding about BUFFER bytes of them, or one."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -227,8 +355,8 @@ def tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             last = int(tile_starts(whole)[-1])
             if last:
-                yield tile_scores(whole.slice(0, last))
+                yield work(whole.slice(0, last))
             held = [whole.slice(last)]
             size = held[0].nbytes
     rest = pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
-    yield from (tile_scores(batch) for batch in rest if batch.num_rows)
+    yield from (work(batch) for batch in rest if batch.num_rows)

@@ -331,6 +331,10 @@ def mbr_select(spark, d):
     return _r(selection.mbr_select(selection.mbr_utilities(candidates(spark, d))), "utility")
 
 
+def mbr_choose(spark, d):
+    return _r(selection.mbr_choose(candidates(spark, d), block=4), "utility").drop("scored")
+
+
 def mbr_weighted(spark, d):
     """Turns weigh by how long their text is, modulo 5; repeats add up."""
     weighted = candidates(spark, d).withColumn("w", F.length("text") % 5 + 0.5)
@@ -386,7 +390,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         char_map_apply, variant_fanout, prefix_source, suffix_attach, suffix_detach, tokenize, token_prf,
         token_prf_macro, length_stats, exact_match, exact_match_missing, align_check, scored_pairs, submission, chrf_stats, chrf_grams,
         chrf_corpus, bleu_stats, bleu_corpus, corpus_report, corpus_report_pairs, sentence_scores, regroup_flat,
-        candidate_pool, candidate_dedup, latest_models, mbr_utilities, mbr_select, mbr_weighted, build_vocab, encode_labels,
+        candidate_pool, candidate_dedup, latest_models, mbr_utilities, mbr_select, mbr_choose, mbr_weighted, build_vocab, encode_labels,
         encode_inputs, decode_labels, param_grid, log_metric, leaderboard, best_step,
     )
 }

@@ -346,6 +346,9 @@ ORACLES: dict[str, str] = {
         round(utility, 6) AS utility FROM utilities""",
     "mbr_select": f"""{_mbr()} SELECT id, pos, text, round(utility, 6) AS utility FROM (SELECT *, row_number() OVER (
         PARTITION BY id ORDER BY round(utility, 9) DESC, pos) AS rn FROM utilities) WHERE rn = 1""",
+    "mbr_choose": f"""{_mbr()} SELECT id, pos, text, round(utility, 6) AS utility, pairs FROM (SELECT *,
+        (sum(partners) OVER (PARTITION BY id))::BIGINT AS pairs,
+        row_number() OVER (PARTITION BY id ORDER BY round(utility, 9) DESC, pos) AS rn FROM utilities) WHERE rn = 1""",
     "mbr_weighted": f"""{_mbr()}, weights AS (SELECT conv_id AS id, text, sum(length(text) % 5 + 0.5)::DOUBLE AS w
             FROM conversations GROUP BY ALL),
         means AS (SELECT p.id, p.pos, count(s.ref) AS partners, coalesce(sum(w * chrf) / sum(w), 0) AS chrf,

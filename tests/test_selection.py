@@ -148,3 +148,35 @@ def test_weights(spark):
     assert {r.text: r.utility for r in selection.mbr_utilities(ones, weight="w").collect()} == pytest.approx(dict(mbr(G3)))
     none = cands.withColumn("w", F.lit(None).cast("double"))
     assert {r.utility for r in selection.mbr_utilities(none, weight="w").collect()} == {0.0}
+
+
+def close(words, n):
+    """Variants of one sentence, and others that share little with it."""
+    base = words.split()
+    near = [" ".join(w if (i + k) % 9 else f"w{k}" for i, w in enumerate(base)) for k in range(n // 4)]
+    return near + [" ".join(f"{w}{k}" for w in base) for k in range(n - len(near))]
+
+
+@pytest.mark.parametrize("metric", ["geo", "bleu"])
+def test_choice_by_bounds_equals_the_choice_over_all_pairs(spark, small, metric):
+    groups = {1: close("the quick brown fox jumps over the lazy dog again and again", 60), 2: G3, 3: ["one"], 4: ["", "x"]}
+    groups[5] = ["same words here now"] * 4 + ["ab", "", "abcdef gh"]
+    for cands in [pool(spark, groups)] + [catalog.candidates(spark, small)] * (metric == "geo"):
+        chosen = selection.mbr_select(selection.mbr_utilities(cands, metric, block=16))
+        expected = {r.id: (r.pos, r.text, pytest.approx(r.utility, abs=1e-8)) for r in chosen.collect()}
+        rows = selection.mbr_choose(cands, metric, block=16).collect()
+        assert {r.id: (r.pos, r.text, r.utility) for r in rows} == expected
+        assert all(r.scored <= r.pairs for r in rows)
+        if cands.columns == ["id", "pos", "text"]:
+            share = {r.id: (r.scored, r.pairs) for r in rows}
+            assert share[1][1] == 60 * 59 and share[1][0] < share[1][1] / 2
+
+
+def test_bounds_hold(spark, small):
+    cands = catalog.candidates(spark, small)
+    distinct = selection.candidate_dedup(cands).withColumn("key", F.xxhash64("text")).withColumn("weight", F.lit(1.0))
+    for metric in ("chrf", "bleu"):
+        bounds = selection.mbr_bounds(distinct, metric, 4, 4, 1 << 18)
+        both = bounds.join(selection.mbr_utilities(cands, metric).select("id", "pos", "partners", "utility"), ["id", "pos"])
+        worst = both.agg(F.max(F.col("utility") - F.col("upper")), F.count("*")).first()
+        assert worst[0] <= 1e-9 and worst[1] == distinct.count()
