@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.types import MapType, VariantType
 
 from pairloom.functions import text as T
+from pairloom.operators.ranking import order_statistic
 
 DIGITS = 4  # hex digits of a hash that one histogram counts: 65,536 rows at most
 
@@ -52,19 +54,30 @@ def script_ratio(col: Column, char_class: str) -> Column:
 
 
 def head_n(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows (rows that tie with the last of them stay too); ``n`` 0 keeps all.
+    """The first ``n`` rows, nulls first; ``n`` 0 keeps all. Of rows that tie at the end, the first by their other columns
+    stay, as far as these can be ordered.
 
-    Runs a job over the ordering columns alone for the last key within, then filters: other columns are never sorted.
+    Runs jobs over the ordering columns alone for the last key within (``order_statistic``), then filters; only rows with
+    that key are sorted.
     """
     if not n:
         return df
-    order = F.struct(*order_by)
-    ends = df.select(*order_by).orderBy(*order_by).limit(n).agg(F.max(order).alias("last"), F.count("*").alias("n")).first()
-    if ends.n < n:
+    found = order_statistic(df, order_by, n)
+    if found is None:
         return df
+    last, ties = found
     kinds = [df.schema[c].dataType for c in order_by]
-    last = F.struct(*[F.lit(v).cast(kind).alias(c) for c, v, kind in zip(order_by, ends.last, kinds)])
-    return df.filter(order <= last)
+    bounds = [F.lit(v).cast(kind) for v, kind in zip(last, kinds, strict=True)]
+    keys = [F.col(f"`{c}`") for c in order_by]
+    same = reduce(lambda a, b: a & b, [k.eqNullSafe(v) for k, v in zip(keys, bounds, strict=True)])
+    if len(keys) == 1 and last[0] is not None:
+        before = keys[0].isNull() | (keys[0] < bounds[0])  # a plain comparison, which reaches the scan
+    else:
+        before = F.struct(*[k.alias(c) for k, c in zip(keys, order_by)]) < F.struct(
+            *[v.alias(c) for v, c in zip(bounds, order_by)]
+        )
+    rest = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    return df.filter(before).unionByName(df.filter(same).orderBy(*rest).limit(ties))
 
 
 def check_scripts(

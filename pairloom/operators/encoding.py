@@ -5,10 +5,11 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from pairloom.functions import text as T
+from pairloom.operators.ranking import with_rank
 from pairloom.sources.options import option_table
+from pairloom.sources.sinks import stage
 
 BROADCAST_VOCAB = 1_000_000  # entries, counted; a larger vocabulary is joined by shuffle
 FREQUENT = 1000  # entries of a larger vocabulary that are broadcast, so that no common piece is a hot key
@@ -23,14 +24,23 @@ def build_vocab(
 ) -> DataFrame:
     """(piece, n, piece_id): the specials, then the ``size`` most frequent pieces, ties by code point.
 
-    Counts are combined before the shuffle. The numbering sorts at most ``size`` rows.
+    Counts are combined before the shuffle and staged. Classes of counts, a thousand at most, tell which pieces can be
+    among the first ``size``; these are numbered by range (``with_rank``), so no task sorts them all.
     """
     # the outer form: for the inner one Spark adds a filter that would tokenise every text once more
     exploded = df.select(F.explode_outer(pieces).alias("piece")).filter(F.col("piece").isNotNull())
     counts = exploded.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.filter(~F.col("piece").isin(*specials)).orderBy(F.desc("n"), "piece").limit(size)
-    number = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "piece"))
-    numbered = top.withColumn("piece_id", (number + len(specials) - 1).cast("long"))
+    counts = stage(counts.filter(~F.col("piece").isin(*specials)))
+    level = F.floor(F.log2("n") * 16).cast("int")
+    held = {r["level"]: r["n"] for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
+    least, total = 0, 0
+    for at in sorted(held, reverse=True):
+        least, total = at, total + held[at]
+        if total >= size:
+            break
+    ranked = with_rank(counts.filter(level >= least), F.desc("n"), F.asc("piece"), out="piece_id")
+    top = ranked.filter(F.col("piece_id") <= size)
+    numbered = top.withColumn("piece_id", (F.col("piece_id") + len(specials) - 1).cast("long"))
     reserved = option_table(
         df.sparkSession,
         piece=pa.array(specials, pa.string()),
