@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.tables import stage
 
 RANKS = "byte_bpe_50k.tiktoken"
-WORDS = 1 << 16  # entries of the literal of frequent words, beside the tokens
+WORDS = 1 << 17  # entries of the literal of frequent words, beside the tokens
 WORD_BYTES = 64  # of its longest entry
 BUCKETS = 1 << 15  # small maps in that literal
 SHORT = 48  # bytes; shorter pieces join one pair in a step
