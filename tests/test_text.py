@@ -1,3 +1,4 @@
+import random
 import sys
 import unicodedata
 
@@ -75,3 +76,25 @@ def test_labels_and_names(spark):
     assert both(spark, [" ", "a", ""], T.char_name) == ["SPACE", "LATIN SMALL LETTER A", "UNKNOWN"]
     assert both(spark, ["x"], lambda c: T.with_prefix(c, "p ")) == ["p x"]
     assert both(spark, ["x"], lambda c: T.with_prefix(c, "")) == ["x"]
+
+
+def test_quick_check_sends_every_text_that_is_not_nfc(spark):
+    """Every character on its own, with what it decomposes to, and among marks."""
+    rng = random.Random(1)
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    marks = [c for c in every if unicodedata.combining(c)]
+    texts = [c for c in every if unicodedata.normalize("NFC", c) != c or unicodedata.normalize("NFD", c) != c or c in marks]
+    texts += [unicodedata.normalize("NFD", c) for c in texts]
+    texts += [rng.choice("aeوك가") + rng.choice(marks) + rng.choice(marks) for _ in range(4000)]
+    texts += ["".join(rng.choice(every) for _ in range(4)) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.nfc(F.col("t")).alias("n"))
+    assert [r for r in df.collect() if r.n != unicodedata.normalize("NFC", r.t)] == []
+
+
+def test_arabic_text_in_nfc_stays_out_of_python(spark):
+    texts = ["آزادی", "کٲشُر زبان", "قَلَم", "日本語テキスト", "Ελλάδα", "русский й", "한국어", "plain"]
+    assert all(unicodedata.is_normalized("NFC", t) for t in texts)
+    apart = ["ا\u0653زادی", "e\u0301", "\u1100\u1161", "ك\u064e\u0651", "\u212b"]
+    df = spark.createDataFrame([(t,) for t in texts + apart], "t string")
+    sent = [r[0] for r in df.select(T.needs_nfc(F.col("t"))).collect() if r[0] is not None]
+    assert sent == apart
