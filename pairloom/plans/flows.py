@@ -78,21 +78,25 @@ def training_table(
     """Pairs (pair_id, source, target) to (pair_id, input_ids, attention_mask, labels), materialised in ``folder``.
 
     The target script is checked, sources get ``prefix``, one vocabulary is built from both sides, and both sides are
-    encoded in one table. ``inputs`` describes where the pairs come from (see ``sinks.materialise``); the options are
-    added to it. ``sample`` takes that many rows (0: all). ``pair_id`` must be unique: it joins the two sides.
+    encoded in one table. The table is reused while the files of ``pairs``, ``inputs`` (whatever else describes them, see
+    ``sinks.materialise_from``) and the options stay the same; then nothing is read, checked or encoded again. ``sample``
+    takes that many rows (0: all). ``pair_id`` must be unique: it joins the two sides.
     """
-    if guard:
-        corpus.require_target_script(pairs)
-    rows = corpus.seeded_sample(pairs, "pair_id", sample, seed) if sample else pairs
-    rows = rows.select("pair_id", T.with_prefix(F.col("source"), prefix).alias("source"), "target")
+
+    def build() -> DataFrame:
+        if guard:
+            corpus.require_target_script(pairs)
+        rows = corpus.seeded_sample(pairs, "pair_id", sample, seed) if sample else pairs
+        rows = rows.select("pair_id", T.with_prefix(F.col("source"), prefix).alias("source"), "target")
+        rows = sinks.stage(rows)
+        texts = rows.select(F.explode(F.array("source", "target")).alias("text"))
+        vocab = sinks.stage(encoding.build_vocab(encoding.with_pieces(texts, "text"), size=vocab_size))
+        sides = [encoding.with_pieces(rows.select("pair_id", c), c) for c in ("source", "target")]
+        encoded = encoding.encode_inputs(sides[0], vocab, "pair_id", max_len=max_len)
+        return encoded.join(encoding.encode_labels(sides[1], vocab, "pair_id", max_len=max_len), "pair_id")
+
     options = {"prefix": prefix, "sample": sample, "vocab": vocab_size, "max_len": max_len, "seed": seed}
-    rows = sinks.stage(rows)
-    texts = rows.select(F.explode(F.array("source", "target")).alias("text"))
-    vocab = sinks.stage(encoding.build_vocab(encoding.with_pieces(texts, "text"), size=vocab_size))
-    sides = [encoding.with_pieces(rows.select("pair_id", c), c) for c in ("source", "target")]
-    encoded = encoding.encode_inputs(sides[0], vocab, "pair_id", max_len=max_len)
-    encoded = encoded.join(encoding.encode_labels(sides[1], vocab, "pair_id", max_len=max_len), "pair_id")
-    return sinks.materialise(encoded, folder, {**inputs, **options})
+    return sinks.materialise_from(pairs, folder, {**inputs, **options}, build)
 
 
 def learn_spelling(

@@ -6,6 +6,7 @@ import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,36 @@ def materialise(df: DataFrame, folder: str, inputs: dict, refresh: bool = False)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_versions(df: DataFrame) -> list[tuple[str, int, int]]:
+    """(path, length, time of change) of every file that ``df`` reads, by path. Folders are listed once each; no job runs."""
+    spark = df.sparkSession
+    wanted = set(df.inputFiles())
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for folder in sorted({path.rsplit("/", 1)[0] for path in wanted}):
+        # names in ``inputFiles`` are encoded as in a URI, as are those of a status
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        for status in at.getFileSystem(conf).listStatus(at):
+            name = f"{folder}/{status.getPath().toUri().getRawPath().rsplit('/', 1)[1]}"
+            if name in wanted:
+                found.append((name, status.getLen(), status.getModificationTime()))
+    return sorted(found)
+
+
+def materialise_from(
+    source: DataFrame, folder: str, options: dict, build: Callable[[], DataFrame], refresh: bool = False
+) -> DataFrame:
+    """The table that ``build`` makes of ``source``, written once and reused while the files that ``source`` reads, its
+    schema and ``options`` stay the same. That is checked first: with a table in place, ``build`` is not called and no
+    job reads ``source``. A source that reads no files is known by schema and ``options`` alone."""
+    spark = source.sparkSession
+    described = json.dumps([file_versions(source), source.schema.jsonValue(), options], sort_keys=True, default=str)
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(described.encode()).hexdigest()[:24]}"
+    if refresh or not _finished(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _finished(spark: SparkSession, path: str) -> bool:
     marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)

@@ -149,3 +149,19 @@ def test_a_tsv_is_read_in_several_tasks(spark, tmp_path):
         assert pairs.count() == 20_000 and pairs.rdd.getNumPartitions() > 1
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_table_is_reused_until_its_source_changes(spark, tmp_path):
+    """Names with a space and a per cent sign; a changed file is noticed without the caller saying so."""
+    source = str(tmp_path / "my 100% source")
+    calls = []
+
+    def table():
+        df = spark.read.schema("id long").parquet(source)
+        return sinks.materialise_from(df, str(tmp_path / "cache"), {"v": 1}, lambda: calls.append(1) or df.where("id > 0"))
+
+    spark.range(3).write.parquet(source)
+    assert [table().count(), table().count()] == [2, 2] and len(calls) == 1
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert table().count() == 4 and len(calls) == 2
+    assert len(sinks.file_versions(spark.read.parquet(source))) == len(spark.read.parquet(source).inputFiles())
