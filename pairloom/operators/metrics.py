@@ -232,10 +232,11 @@ def gram_counts(
 ) -> DataFrame:
     """(id, ord, h, r, m) from n-gram rows and grouping only: the form without Python, for cross-checks.
 
-    The short rows are hashed by id first, so exploding and both groupings stay inside their tasks.
+    The short rows are hashed by id first, so exploding and both groupings stay inside their tasks. An explicit count
+    (``spark.sql.shuffle.partitions`` by default) keeps Spark from merging these light partitions ahead of the explode.
     """
-    rows = df.select(id_col, hyp, ref)
-    placed = rows.repartition(partitions, id_col) if partitions else rows.repartition(id_col)
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.select(id_col, hyp, ref).repartition(partitions, id_col)
     grams = gram_table(placed, id_col, hyp, ref, kind)
     is_hyp = (F.col("side") == "h").cast("long")
     each = grams.groupBy(id_col, "ord", "gram").agg(F.sum(is_hyp).alias("h"), F.sum(1 - is_hyp).alias("r"))
