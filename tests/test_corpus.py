@@ -3,6 +3,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from pairloom.functions import text as T
 from pairloom.operators import corpus
@@ -133,6 +134,42 @@ def test_alignment(spark):
     assert [tuple(r) for r in corpus.align(hyp.filter("id = 1"), ref.filter("id = 1"), "id", strict=True).collect()] == [(1, "x", "a")]
 
 
+IDS = {
+    "dense": ([3, 1, 2], [1, 2, 3], True),
+    "sparse": ([70, -5, 10**12], [10**12, 70, -5], True),
+    "texts": (["b", "a", ""], ["", "a", "b"], True),
+    "a null each": ([1, None], [None, 1], True),
+    "empty": ([], [], True),
+    "repeated on both sides": ([1, 1, 3], [3, 1, 1], False),
+    "same ends and number": ([1, 2, 2, 4], [1, 3, 2, 4], False),
+    "one missing": ([1, 2], [1, 2, 3], False),
+    "null against text": ([None, "a"], ["", "a"], False),
+    "two nulls": ([None, None], [None, None], False),
+}
+
+
+@pytest.mark.parametrize("case", IDS)
+def test_alignment_by_fingerprint_agrees_with_the_grouped_check(spark, case):
+    left, right, good = IDS[case]
+    kind = "string" if any(isinstance(i, str) for i in left) else "long"
+    hyp, ref = (spark.createDataFrame([(i,) for i in ids], f"`pair.id` {kind}").repartition(3) for ids in (left, right))
+    grouped = corpus.align_check(*(df.withColumnRenamed("pair.id", "id") for df in (hyp, ref)), "id").first()
+    assert good == (not (grouped.only_hyp or grouped.only_ref or grouped.repeated))
+    assert corpus._one_to_one(hyp, ref, "pair.id") == good
+
+
+def test_aligned_sides_are_passed_without_a_shuffle_of_ids(spark, monkeypatch):
+    hyp = spark.range(5000).select(F.col("id").cast("int"))  # narrower than the other side
+    ref = spark.range(4999, -1, -1, 5)
+    for side in (hyp, ref):
+        plan = corpus.fingerprint(side, "id", LongType())._jdf.queryExecution().toString()
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    monkeypatch.setattr(corpus, "align_check", lambda *_: pytest.fail("grouped check"))
+    grouped = type(hyp).groupBy
+    monkeypatch.setattr(type(hyp), "groupBy", lambda df, *by: pytest.fail("grouping") if by else grouped(df))
+    corpus.require_aligned(hyp, ref, "id")
+
+
 def test_head_n(spark):
     assert sorted(r.id for r in corpus.head_n(spark.range(50).repartition(4), ["id"], 3).collect()) == [0, 1, 2]
     assert corpus.head_n(spark.range(50), ["id"], 0).count() == 50
