@@ -2,26 +2,40 @@
 
 Files are WARC/1.1 with one gzip member per record. Each member carries its compressed and its plain length in the
 gzip extra field ``sl``, so a reader inflates the headers first and jumps over a record that a predicate rejects.
+Archives of other writers are read too: members without that field (or with lengths that cannot be right), several
+records a member, plain ``.warc`` files, and all record types. There the reader goes from record to record by
+Content-Length; in plain files it jumps over what is not wanted, in compressed ones it inflates and drops it.
 The reader plans one partition per file (the writer starts a new file at ``maxFileBytes``), takes predicates on
 record_type, record_id, refers_to and target_uri, and decodes payloads only if the schema asks for them.
 
-Options: ``path``; when writing ``maxFileBytes``; when reading ``verify`` (true: recompute the digest of every
-payload that is present and raise if it differs from the header).
+Options: ``path`` (a folder or one file); when writing ``maxFileBytes``; when reading ``verify`` (true: recompute the
+digest of every payload that has a SHA-1 in its header and raise if it differs).
 
-Null payloads count as empty. A null target has no header and is read back as null.
+The payload of a record with HTTP content is what follows the HTTP headers, without undoing transfer or content
+encodings (payloads under a transfer encoding are not verified); of other records it is the whole block; a revisit has
+none. Its length is that of the header X-Payload-Length, else counted; a record without a digest has a null one.
+A file that is no archive or ends within a record raises ValueError or EOFError.
+
+Null payloads count as empty. A null target has no header and is read back as null. Payloads may be of any length that
+Arrow holds; one is in memory at a time, with a batch of 4 MB. Repeated pages become records each, ties in the key are
+responses alike (``page_records``); empty tables and folders without archives give an empty result. Other columns
+of the pages are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import datetime
+import gzip
 import hashlib
+import io
 import posixpath
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
@@ -57,6 +71,7 @@ HEADERS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MEMBER_HEAD = "<4BIBBH2sHII"  # with the extra field: id, its length, compressed and plain length
+BLANK_LINES = (b"\r\n", b"\n", b"")  # the last is the end of the file
 MAX_FILE_BYTES = 128 << 20
 ARROW_TYPES = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
 
@@ -88,11 +103,15 @@ def record(row: dict, payload: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def member(plain: bytes) -> bytes:
-    """A gzip member with the lengths of the record in its extra field."""
+def member(plain: bytes, most: int = (1 << 32) - 1) -> bytes:
+    """A gzip member with the lengths of the record in its extra field, which holds 32 bits of each: a record beyond
+    ``most`` bytes goes without."""
     deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = deflate.compress(plain) + deflate.flush()
     whole = struct.calcsize(MEMBER_HEAD) + len(body) + 8
+    if max(whole, len(plain)) > most:
+        head = struct.pack("<4BIBB", 0x1F, 0x8B, 8, 0, 0, 0, 255)
+        return head + body + struct.pack("<II", zlib.crc32(plain), len(plain) & 0xFFFFFFFF)
     head = struct.pack(MEMBER_HEAD, 0x1F, 0x8B, 8, 4, 0, 0, 255, 12, b"sl", 8, whole, len(plain) & 0xFFFFFFFF)
     return head + body + struct.pack("<II", zlib.crc32(plain), len(plain) & 0xFFFFFFFF)
 
@@ -133,8 +152,11 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[ArchiveFile]:
         system, folder = _opened(self.path)
+        if system.get_file_info(folder).type == fs.FileType.File:
+            return [ArchiveFile(folder)]
         found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-        return [ArchiveFile(f.path) for f in sorted(found, key=lambda f: f.path) if f.base_name.endswith(".warc.gz") and f.base_name[0] != "."]
+        archives = [f.path for f in found if f.base_name.endswith((".warc.gz", ".warc")) and f.base_name[0] != "."]
+        return [ArchiveFile(path) for path in sorted(archives)]
 
     def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
         names = [name for name, _ in self.fields]
@@ -151,43 +173,123 @@ class WarcReader(DataSourceReader):
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _parsed(head: bytes) -> dict:
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    named = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+def _parsed(head: bytes, path: str) -> dict:
+    if not head.startswith(b"WARC/"):
+        raise ValueError(f"{path}: no WARC record at {head[:40]!r}")
+    lines: list[str] = []
+    for line in head.decode("utf-8", "replace").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and lines:  # a header that goes on
+            lines[-1] += " " + line.strip()
+        else:
+            lines.append(line.rstrip("\r"))
+    named = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
     row = {field: named.get(header.lower()) for field, header in HEADERS.items()}
     for field in ("record_id", "refers_to"):
         row[field] = row[field] and row[field].removeprefix("<").removesuffix(">")
-    row["payload_digest"] = row["payload_digest"] and row["payload_digest"].rpartition(":")[2]
+    algorithm, _, digest = (row["payload_digest"] or "").rpartition(":")
+    row["sha1"] = algorithm.lower() in ("", "sha1")
+    row["payload_digest"] = digest or None
     row["payload_bytes"] = None if row["payload_bytes"] is None else int(row["payload_bytes"])
     row["content_length"] = int(named.get("content-length") or 0)
+    row["http"] = named.get("content-type", "").lower().startswith("application/http")
     return row
 
 
+def _needs_block(row: dict, payload: bool, verify: bool) -> bool:
+    return row["record_type"] != "revisit" and (payload or verify or row["payload_bytes"] is None)
+
+
+def _take_block(row: dict, block: BinaryIO, payload: bool, verify: bool, path: str) -> int:
+    """Fill in what the block tells; how many of its bytes were read."""
+    left, encoded = row["content_length"], False
+    while row["http"] and left:
+        line = block.readline(left)
+        left -= len(line)
+        encoded |= line.lower().startswith(b"transfer-encoding:")
+        if line in BLANK_LINES:
+            break
+    if payload or verify:
+        body = block.read(left)
+        if len(body) < left:
+            raise ValueError(f"{path}: record {row['record_id']} ends early")
+        if verify and row["sha1"] and row["payload_digest"] and not encoded:
+            sha1 = hashlib.sha1(body)
+            same = row["payload_digest"] in (base64.b32encode(sha1.digest()).decode(), sha1.hexdigest())
+            if not same or row["payload_bytes"] not in (None, left):
+                raise ValueError(f"{path}: the payload of {row['record_id']} does not match its digest")
+        row["payload"] = body
+    row["payload_bytes"] = left if row["payload_bytes"] is None else row["payload_bytes"]
+    return row["content_length"] - (0 if payload or verify else left)
+
+
+def _rejected(row: dict, wanted: dict) -> bool:
+    return any(row[name] not in values for name, values in wanted.items())
+
+
+def _one_after_another(
+    stream: BinaryIO, path: str, wanted: dict, payload: bool, verify: bool, end: int | None
+) -> Iterator[dict]:
+    """The wanted records of a plain stream, which ends at ``end`` if that is known."""
+    while line := stream.readline():
+        if not line.strip():  # between records
+            continue
+        head = line
+        while (line := stream.readline()) not in BLANK_LINES:
+            head += line
+        row = _parsed(head, path)
+        start, read = stream.tell(), 0
+        own = not _rejected(row, wanted)
+        if own and _needs_block(row, payload, verify):
+            read = _take_block(row, stream, payload, verify, path)
+        after = start + row["content_length"]
+        if read < row["content_length"] and (stream.seek(after) != after or (end is not None and after > end)):
+            raise ValueError(f"{path}: record {row['record_id']} ends early")
+        if own:
+            yield row
+
+
+def _lengths(head: bytes, at: int, end: int) -> int:
+    """The compressed length that a member's extra field gives; 0 without one that can be right."""
+    size = struct.calcsize(MEMBER_HEAD)
+    if len(head) < size:
+        return 0
+    one, two, method, flags, *_, extra, name, length, compressed, _ = struct.unpack(MEMBER_HEAD, head)
+    known = (one, two, method, flags, extra, name, length) == (0x1F, 0x8B, 8, 4, 12, b"sl", 8)
+    return compressed if known and size + 8 < compressed <= end - at else 0
+
+
 def records(system: fs.FileSystem, path: str, wanted: dict, payload: bool, verify: bool) -> Iterator[dict]:
-    """The records of a file that the predicates accept. Headers are inflated first; the rest of a member only if
-    its payload is asked for."""
+    """The records of a file that the predicates accept. Where members carry their length, headers are inflated first and
+    the rest of a member only if something of it is asked for. From the first member without it on, and in plain
+    files, records are read one after another."""
     with system.open_input_file(path) as source:
         at, end = 0, source.size()
+        if not path.endswith(".gz"):
+            yield from _one_after_another(io.BufferedReader(source, 1 << 20), path, wanted, payload, verify, end)
+            return
         while at < end:
             source.seek(at)
-            *_, compressed, _ = struct.unpack(MEMBER_HEAD, source.read(struct.calcsize(MEMBER_HEAD)))
+            compressed = _lengths(source.read(struct.calcsize(MEMBER_HEAD)), at, end)
+            if not compressed:
+                source.seek(at)
+                with gzip.GzipFile(fileobj=io.BufferedReader(source, 1 << 20)) as plain:
+                    yield from _one_after_another(plain, path, wanted, payload, verify, None)
+                return
             inflate, plain = zlib.decompressobj(-15), b""
             left = compressed - struct.calcsize(MEMBER_HEAD) - 8
             while (cut := plain.find(b"\r\n\r\n")) < 0 and left:
                 piece = source.read(min(left, 2048))
+                if not piece:
+                    raise EOFError(f"{path} ends within a record")
                 left -= len(piece)
                 plain += inflate.decompress(piece)
             at += compressed
-            row = _parsed(plain[:cut])
-            if any(row[name] not in values for name, values in wanted.items()):
+            row = _parsed(plain[:cut] if cut >= 0 else plain, path)
+            if _rejected(row, wanted):
                 continue
-            if (payload or verify) and row["record_type"] == "response":
+            if _needs_block(row, payload, verify):
                 plain += inflate.decompress(source.read(left)) if left else b""
-                block = plain[cut + 4 : cut + 4 + row["content_length"]]
-                body = block.partition(b"\r\n\r\n")[2]
-                if verify and (digest_of(body), len(body)) != (row["payload_digest"], row["payload_bytes"]):
-                    raise ValueError(f"{path}: the payload of {row['record_id']} does not match its digest")
-                row["payload"] = body
+                _take_block(row, io.BytesIO(plain[cut + 4 :]), payload, verify, path)
             yield row
 
 

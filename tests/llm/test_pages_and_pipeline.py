@@ -1,6 +1,7 @@
 """Page operators, the registered queries against SQL, and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import re
 import time
@@ -68,6 +69,68 @@ def test_pushed_predicates_skip_records_before_their_payload(spark, tmp_path):
     assert seen == [("urn:page:2", b"y")]
 
 
+def foreign(kind, record_id, block, content_type="application/http; msgtype=response", digest=None, uri="http://x/"):
+    """A record as other writers make it, without a payload length."""
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID:<{record_id}>", "WARC-Target-URI:", f" {uri}", f"Content-Type: {content_type}"]
+    lines += [f"WARC-Payload-Digest: {digest}"] if digest else []
+    return "\r\n".join([*lines, f"content-length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n"
+BODY = b"body\r\n\r\nWARC/1.0\r\n" * 20_000
+FOREIGN = [
+    foreign("warcinfo", "i", b"software: s\r\n", "application/warc-fields", uri=""),
+    foreign("request", "q", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "application/http; msgtype=request"),
+    foreign("response", "r", HTTP + BODY, digest="sha1:" + warc.digest_of(BODY)),
+    foreign("response", "hex", HTTP + b"y", digest="SHA1:" + hashlib.sha1(b"y").hexdigest()),
+    foreign("response", "chunks", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n1\r\ny\r\n0\r\n\r\n", digest="sha1:" + warc.digest_of(b"y")),
+    foreign("revisit", "v", HTTP),
+    foreign("resource", "file", b"plain bytes", "text/plain", digest="sha256:00"),
+    foreign("metadata", "empty", b"", "text/plain"),
+]
+PAYLOADS = [
+    ("i", b"software: s\r\n"), ("q", b""), ("r", BODY), ("hex", b"y"), ("chunks", b"1\r\ny\r\n0\r\n\r\n"), ("v", None), ("file", b"plain bytes"), ("empty", b""),
+]
+
+
+@pytest.mark.parametrize("payload", [True, False])
+def test_archives_of_other_writers(spark, tmp_path, payload):
+    own = {"record_type": "response", "record_id": "own", "refers_to": None, "target_uri": "http://x/", "payload_digest": None}
+    zero = bytearray(warc.member(FOREIGN[0]))
+    zero[16:20] = bytes(4)  # a length of nothing
+    files = {
+        "members.warc.gz": b"".join(map(gzip.compress, FOREIGN)),
+        "one_member.warc.gz": gzip.compress(b"".join(FOREIGN)),
+        "plain.warc": b"".join(FOREIGN),
+        "with_lengths.warc.gz": b"".join(map(warc.member, FOREIGN)),
+        "beyond_32_bits.warc.gz": b"".join(warc.member(r, most=100) for r in FOREIGN),
+        "mixed.warc.gz": warc.member(warc.record(own, b"z")) + bytes(zero) + b"".join(map(gzip.compress, FOREIGN[1:])),
+        "empty.warc": b"",
+        "other.txt": b"no archive",
+    }
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    expected = sorted([(k, None if p is None else len(p), p if payload else None) for k, p in PAYLOADS] * 6 + [("own", 1, b"z" if payload else None)], key=str)
+    whole = warc.read_archives(spark, str(tmp_path), payload=payload, verify=payload)
+    found = [(r.record_id, r.payload_bytes, r.payload and bytes(r.payload) if payload else None) for r in whole.collect()]
+    assert sorted(found, key=str) == expected
+    one = warc.read_archives(spark, str(tmp_path / "plain.warc"), payload=payload).where("record_type in ('resource', 'none')")
+    assert [(r.record_id, r.target_uri, r.payload_digest) for r in one.collect()] == [("file", "http://x/", "00")]
+
+
+@pytest.mark.parametrize("name", ["a.warc", "a.warc.gz"])
+def test_broken_archives_raise(tmp_path, name):
+    pack = gzip.compress if name.endswith("gz") else bytes
+    bad = [pack(FOREIGN[2])[:-300], pack(b"hello\r\n\r\n"), pack(FOREIGN[3].replace(b"\r\ny\r\n", b"\r\nx\r\n"))]
+    for raw in bad:
+        (tmp_path / name).write_bytes(raw)
+        with pytest.raises((ValueError, EOFError)):
+            list(warc.records(warc.fs.LocalFileSystem(), str(tmp_path / name), {}, True, True))
+    (tmp_path / name).write_bytes(bad[0])
+    with pytest.raises((ValueError, EOFError)):  # also where the payload is skipped
+        list(warc.records(warc.fs.LocalFileSystem(), str(tmp_path / name), {"record_id": {"none"}}, False, False))
+
+
 def test_urls(spark):
     urls = ["https://A.net/x", "http://www.Example.NET/en/1?q#f", "ftp://example.com/de/2", "x://b.org/fr/", "x://net", "no host", None, "x://notnet/en/", "x://é.org/de/3?u=1", "x://example.net/enx"]
     train = [f"http://h{i}.net/{'bad' if i % 2 else 'worse'}/{i}" for i in range(30)] + [f"http://h{i}.org/fr/good/{i}" for i in range(30)]
