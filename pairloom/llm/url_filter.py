@@ -10,6 +10,12 @@ each is listed under its rarest token, so a url looks only at the rules listed u
 Tokens are words of the host, the top-level domain, path words by depth up to MOST_DEPTH, and query names. A host or path with more words has more tokens; none is left out, but words deeper than MOST_DEPTH share the
 last depth. Combinations of any number of tokens become rules.
 
+Mining leaves out what can add no better rule. A token that only urls of one verdict have is a rule of confidence 1
+alone, and with further tokens only a rarer one. Tokens that exactly the same decided urls have stand for each other:
+they are one item, so a template of many tokens does not bring about all its subsets. Both leave the best rule of every
+url as it was. What remains are tokens that come with either verdict; if many of them come and go independently in most
+urls, their frequent combinations are many, and so is the work of FP-growth. Very long urls add tokens, not combinations.
+
 A null url, or one without ``://``, has an empty host and path, no rule and, as it has no token, the verdict allow.
 Rows are judged one by one, so repeated rows get equal results; an empty table gives an empty result; without any
 decided url there are no association rules. Other columns are not read.
@@ -17,7 +23,7 @@ decided url there are no association rules. Other columns are not read.
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +31,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.tables import stage
+
 # (verdict, host, path prefix)
 RULES = (
     ("block", "net", "/"),
@@ -33,6 +41,8 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 SUPPORT = 0.01  # share of the decided urls that have the combination and the verdict
+LEAST_ROWS = 2  # and their number: one url is no evidence
+COMMON = 0.98  # tokens in more of the decided urls tell nothing
 CONFIDENCE = 0.8
 MOST_DEPTH = 4
 VERDICTS = ("allow", "block")
@@ -88,20 +98,54 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(*named)))
 
 
-def mine(decided: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[dict]:
-    """Association rules from (tokens, verdict). Their number is bounded by the frequent combinations, not the rows.
+def frequent_tokens(decided: DataFrame, support: float = SUPPORT) -> tuple[dict[str, tuple], int, int]:
+    """By token: its item (the smallest token that exactly the same urls have), urls and blocked urls, of the tokens that
+    are frequent but not common; the least number of rows of a rule, and all rows.
 
-    Tokens that nearly all decided urls have tell nothing and only double the combinations; they are left to Spark's
-    minimum support from below and removed here from above."""
+    The tokens that come to the driver are at most the average tokens of a url / ``support``. Equal sets of urls are known
+    by sums of two 64-bit hashes.
+    """
     total = decided.count()
-    if not total:
-        return []
-    common = decided.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") > 0.98 * total)
-    # fewer than average tokens / 0.98 rows
-    constant = [row["t"] for row in common.collect()]
-    useful = F.array_except("tokens", F.array(*[F.lit(t) for t in constant]).cast("array<string>"))
-    items = decided.select(F.concat(useful, F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).freqItemsets
+    least = max(LEAST_ROWS, math.ceil(support * total))
+    rows = decided.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("row", (F.col("verdict") == "block").alias("blocked"), F.explode("tokens").alias("token"))
+    sums = [F.sum(F.xxhash64("row", F.lit(salt)).cast("decimal(20,0)")).alias(f"sum{salt}") for salt in (0, 1)]
+    counts = rows.groupBy("token").agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked"), *sums)
+    found = counts.where((F.col("n") >= least) & (F.col("n") <= COMMON * total)).collect()
+    item: dict[tuple, str] = {}
+    for r in found:
+        urls = (r["n"], r["sum0"], r["sum1"])
+        item[urls] = min(r["token"], item.get(urls, r["token"]))
+    return {r["token"]: (item[r["n"], r["sum0"], r["sum1"]], r["n"], r["blocked"]) for r in found}, least, total
+
+
+def mine(
+    decided: DataFrame,
+    support: float = SUPPORT,
+    confidence: float = CONFIDENCE,
+    known: tuple[dict[str, tuple], int, int] | None = None,
+) -> list[dict]:
+    """Association rules from (tokens, verdict), over the items of ``frequent_tokens``: tokens, verdict, n and confidence c.
+    A combination with a token that is a rule of confidence 1 is not looked at; one that a combination with one item
+    less implies stays behind in Spark."""
+    tokens_, least, total = known or frequent_tokens(decided, support)
+    sure = [
+        {"tokens": [t], "verdict": VERDICTS[int(blocked > 0)], "n": n, "c": 1.0}
+        for t, (item, n, blocked) in tokens_.items()
+        if item == t and blocked in (0, n)
+    ]
+    open_items = {t: item for t, (item, n, blocked) in tokens_.items() if 0 < blocked < n}
+    if not open_items:
+        return sure
+
+    def to_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            items = [[*{open_items[t] for t in own if t in open_items}, LABEL + verdict] for own, verdict in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.string()))], ["items"])
+
+    items = decided.select("tokens", "verdict").mapInArrow(to_items, "items array<string>")
+    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=confidence).fit(items).freqItemsets
     is_label = lambda t: F.startswith(t, F.lit(LABEL))
     sets = sets.select(
         F.array_sort(F.filter("items", lambda t: ~is_label(t))).alias("tokens"),
@@ -120,7 +164,12 @@ def mine(decided: DataFrame, support: float = SUPPORT, confidence: float = CONFI
         )
         .where(F.col("c") >= confidence)
     )
-    return [row.asDict() for row in rules.collect()]
+    rules = stage(rules, "url-rules")
+    without_one = F.transform("tokens", lambda _, i: F.filter("tokens", lambda _, j: j != i))
+    longer = rules.select("tokens", "verdict", "c", F.explode(without_one).alias("shorter"))
+    shorter = rules.select(F.col("tokens").alias("shorter"), "verdict", F.col("c").alias("least"))
+    implied = longer.join(shorter, ["shorter", "verdict"]).where("least >= c").select("tokens", "verdict")
+    return sure + [row.asDict() for row in rules.join(implied, ["tokens", "verdict"], "left_anti").collect()]
 
 
 def indexed(rules: list[dict]) -> dict[str, list[tuple]]:
@@ -162,11 +211,14 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES)
     name, verdict = host_rule(F.col("host"), F.col("path"), rules)
     own = tokens(F.col("url"), F.col("host"), F.col("path"))
     df = df.select("key", "host", "path", name.alias("rule"), verdict.alias("verdict"), own.alias("tokens"))
-    index = indexed(mine(df.where("rule is not null").select("tokens", "verdict")))
+    decided = df.where("rule is not null").select("tokens", "verdict")
+    known = frequent_tokens(decided)
+    index, item_of = indexed(mine(decided, known=known)), {t: item for t, (item, *_) in known[0].items()}
 
     def by_association(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [matched(index, own or []) for own in batch.column("tokens").to_pylist()]
+            items = [[item_of.get(t, t) for t in own or []] for own in batch.column("tokens").to_pylist()]
+            found = [matched(index, own) for own in items]
             rows = batch.drop_columns("tokens")
             decided = rows.column("verdict").is_valid().to_pylist()
             by_rule = rows.column("verdict").to_pylist()

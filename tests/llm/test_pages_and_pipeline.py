@@ -3,6 +3,8 @@
 import base64
 import gzip
 import hashlib
+import itertools
+import random
 import re
 import time
 from pathlib import Path
@@ -150,6 +152,55 @@ def test_combinations_of_four_tokens_become_rules(spark):
     assert [(r["tokens"], r["verdict"], r["n"], r["c"]) for r in rules if r["verdict"] == "block"] == [(four, "block", 30, 1.0)]
 
 
+def best_by_brute_force(rows, own, least, confidence):
+    """(confidence, n, verdict) of the best of all combinations of tokens that ``own`` holds."""
+    total, best = len(rows), None
+    usable = [t for t in own if sum(t in have for have, _ in rows) <= url_filter.COMMON * total]
+    for size in range(1, len(usable) + 1):
+        for wanted in itertools.combinations(usable, size):
+            verdicts = [v for have, v in rows if set(wanted) <= set(have)]
+            for verdict in set(verdicts):
+                n = verdicts.count(verdict)
+                if n >= least and n >= confidence * len(verdicts):
+                    found = (n / len(verdicts), len(verdicts), verdict)
+                    best = max(best, found) if best else found
+    return best
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rules_equal_those_of_a_brute_force_miner(spark, seed):
+    draw = random.Random(seed)
+    rows = []
+    for _ in range(60):
+        have = [t for t, p in zip("abcdefg", (0.5, 0.5, 0.3, 0.6, 0.2, 0.9, 1.0), strict=True) if draw.random() < p]
+        have += ["d2", "d3"] if "d" in have else []  # always together
+        rows.append((have, "block" if ("a" in have and "b" in have) != (draw.random() < 0.1) else "allow"))
+    rows += [(["only", *"abc"], "allow")] * 3 + [([], "block")]
+    decided = spark.createDataFrame(rows, "tokens array<string>, verdict string").repartition(3)
+    known = url_filter.frequent_tokens(decided, 0.05)
+    assert known[1:] == (4, 64) and known[0]["d3"][0] == "d"
+    index = url_filter.indexed(url_filter.mine(decided, 0.05, 0.8, known))
+    for _ in range(100):
+        own = [t for t in [*"abcdefg", "d2", "d3", "only", "new"] if draw.random() < 0.4]
+        verdict, c = url_filter.matched(index, [known[0].get(t, (t,))[0] for t in own])
+        best = best_by_brute_force(rows, own, 4, 0.8)
+        assert (verdict, c) == (("allow", None) if best is None else (best[2], pytest.approx(best[0])))
+
+
+def test_long_urls_and_templates_of_many_tokens(spark):
+    names = "&".join(f"q{i}=1" for i in range(40))
+    urls = [f"http://h.net/p{i % 7}" for i in range(50)] + [f"http://h.net/p?{names}", "x://h.net/" + "ab/" * 4000]
+    urls += [f"http://{'h' if i % 3 else 'g'}.org/fr/t?{names}" for i in range(20)] + [f"http://h.net/t?{names}" for i in range(20)]
+    urls += [f"http://other.com/x?{names}", "http://g.com/"]
+    rows = [(i, u, "h", "r", 1) for i, u in enumerate(urls)] + [(0, urls[0], "h", "r", 1)]  # one row twice
+    start = time.monotonic()
+    found = url_filter.judge(spark.createDataFrame(rows, PAGES)).collect()
+    assert time.monotonic() - start < 60
+    verdicts = {r.page_id: r.verdict for r in found}
+    assert len(found) == len(rows) and [verdicts[i] for i in (0, 50, 51, 52, 72)] == ["block", "block", "block", "allow", "block"]
+    assert verdicts[len(urls) - 1] == "allow"  # g is allowed alone
+
+
 def test_the_best_contained_rule_decides():
     rules = [
         {"tokens": ["a"], "verdict": "block", "n": 10, "c": 0.9},
