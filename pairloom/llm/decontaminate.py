@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.tables import where_arrow
 from pairloom.llm.words import LOWER_CODES, blocks, span_hashes, word_spans
 
 STRIDE = 16
@@ -344,5 +345,5 @@ def without_leaks(
                     clean[[row for row, _ in leaks_of_batch(index, batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))
 
-        kept = kept.mapInArrow(keep, docs.schema)
+        kept = where_arrow(kept, keep)
     return kept

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.llm.tables import where_arrow
 from pairloom.llm.words import blocks
 
 UNKNOWN = "und"
@@ -219,8 +220,9 @@ def fit(excerpts: list[tuple[bytes, str]], steps: int = STEPS, seed: int = 1) ->
 
 
 def excerpts_of(df: DataFrame, key: str, text: str, lang: str, allowed: Column) -> list[tuple[bytes, str]]:
-    """The bounded training sample: (bytes, language) from rows that ``allowed`` admits. Ids are chosen on narrow
-    rows by a hash whose cut-off follows the size of their language; texts are read for chosen rows only."""
+    """The bounded training sample: (bytes, language) from rows that ``allowed`` admits, at most SAMPLE texts of a language
+    and EXCERPTS of a text, the same ones in every run. Texts are chosen on narrow rows by a hash of their id, whose cut-off
+    follows the size of the language; the texts of a repeated id are told apart by their own hash, equal ones count once."""
     own = df.where(allowed & F.col(lang).isNotNull() & F.col(key).isNotNull())
     own = own.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes = {row["lang"]: row["count"] for row in own.groupBy("lang").count().collect()}
@@ -228,9 +230,10 @@ def excerpts_of(df: DataFrame, key: str, text: str, lang: str, allowed: Column)
         return []
     chance = F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2.0 * SAMPLE / n))])
-    few = own.select("key", "lang", chance.alias("chance")).where(F.col("chance") < share[F.col("lang")])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "key"))
-    picked = few.distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("key", "lang")
+    own = own.withColumns({"chance": chance, "same": F.xxhash64("text")})
+    few = own.where(F.col("chance") < share[F.col("lang")]).select("key", "lang", "chance", "same")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "key", "same"))
+    picked = few.distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("key", "lang", "same")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,9 +246,9 @@ def excerpts_of(df: DataFrame, key: str, text: str, lang: str, allowed: Column)
                     names.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(raws, pa.binary()), pa.array(names, pa.string())], ["raw", "lang"])
 
-    rows = own.join(F.broadcast(picked), ["key", "lang"]).select("text", "lang").mapInArrow(cut, "raw binary, lang string")
-    most = SAMPLE * EXCERPTS * len(sizes)
-    return sorted((bytes(row["raw"]), row["lang"]) for row in rows.limit(most).collect())
+    chosen = own.join(F.broadcast(picked), ["key", "lang", "same"]).dropDuplicates(["key", "lang", "same"])
+    rows = chosen.select("text", "lang").mapInArrow(cut, "raw binary, lang string")
+    return sorted((bytes(row["raw"]), row["lang"]) for row in rows.collect())
 
 
 def text_probabilities(network: Network, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -323,4 +326,4 @@ def known_language(df: DataFrame, least: float = 0.4, key: str = "doc_id", text:
             found = zip(*predictions(network, batch.column(at)), strict=True)
             yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
 
-    return df.mapInArrow(keep, df.schema)
+    return where_arrow(df, keep)

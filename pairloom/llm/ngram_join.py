@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.graphs import components
-from pairloom.llm.tables import free_name, stage
+from pairloom.llm.tables import free_name, named, stage
 from pairloom.llm.words import blocks, chained, hashed_words, mix
 
 K = 3
@@ -402,7 +402,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     if classes.where("n > 0").groupBy("key", "one", "two").count().where("count > 1").limit(1).count():
         whole = rows.where(F.col(one).isNotNull()).dropDuplicates([key, one, two])
         rows = whole.unionByName(rows.where(F.col(one).isNull()))
-    return rows.select(df.columns)
+    return named(rows, df.columns)
 
 
 ORACLE = """

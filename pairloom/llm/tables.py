@@ -1,11 +1,14 @@
-"""Tables read by name, staged tables in the shared folder, and column names that meet no other."""
+"""Tables read by name, staged tables in the shared folder, filters of whole rows, and column names that meet no other."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +33,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def where_arrow(df: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df`` through ``keep``, which filters its batches and finds columns by place: names may hold dots."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*df.columns)
+
+
+def named(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns by their names as they are, dots and backticks included."""
+    return df.select([F.col("`" + c.replace("`", "``") + "`") for c in columns])
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores added until no column of ``df`` has that name in any case."""
     taken = {c.lower() for c in df.columns}

@@ -8,8 +8,9 @@ regression turns these into a score.
 
 Target, negation, reporting, modal and harm words are short fixed lists. Insults are learned, as words and as stems
 (first four or five letters): an entry must be far likelier in toxic texts, in several of them, and in several
-different contexts, so that copies of one text teach nothing. Learning uses at most SAMPLE labelled rows of each
-label, taken in the order of a hash of their id; the grammar then reads every text in full.
+different contexts, so that copies of one text teach nothing. All entries that meet this are kept; those of a sample
+are bounded by its words. Learning uses at most SAMPLE labelled ids of each label, taken in the order of a hash of the
+id, and at most SAMPLE texts of these; the grammar then reads every text in full, whatever its length.
 
 Null and empty texts have no clauses and get the score of the intercept. Without labels of both kinds nothing can be
 learned: all scores are 0. A text with several labels counts as toxic if any says so; null labels are ignored.
@@ -35,7 +36,6 @@ SAMPLE = 12_000  # labelled rows of each label that learning reads
 LEAST_TEXTS = 6
 LEAST_CONTEXTS = 5
 LEAST_ODDS = 8.0  # how much likelier an entry is in toxic texts
-MOST_ENTRIES = 20_000
 STEMS = (4, 5)
 
 # fixed values: closed-class words in the languages of the corpus
@@ -156,8 +156,8 @@ def labelled_sample(labels: DataFrame, key: str, label: str, allowed: Column, mo
 
 
 def learn_lexicon(sample: DataFrame, least_texts: int = LEAST_TEXTS, least_contexts: int = LEAST_CONTEXTS) -> Lexicon:
-    """Insults from (text, label): words and stems with their log odds. MOST_ENTRIES bounds what is broadcast; the
-    strongest entries stay."""
+    """Insults from (text, label): words and stems with their log odds. Each is in ``least_texts`` toxic texts or more, so
+    there are at most the sample's distinct words a text / ``least_texts``, three times over."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,9 +192,7 @@ def learn_lexicon(sample: DataFrame, least_texts: int = LEAST_TEXTS, least_conte
         .groupBy("entry")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("contexts").alias("contexts"))
         .where((F.col("toxic") >= least_texts) & (F.bit_count("contexts") >= least_contexts) & (odds >= LEAST_ODDS))
-        .select("entry", F.log(odds).alias("weight"), "toxic")
-        .orderBy(F.desc("toxic"), F.desc("weight"), "entry")
-        .limit(MOST_ENTRIES)
+        .select("entry", F.log(odds).alias("weight"))
         .collect()
     )
     entries = {row["entry"]: row["weight"] for row in rows}
@@ -244,10 +242,19 @@ def learn(
     most: int = SAMPLE,
 ) -> Model:
     """Lexicon and regression from the labelled rows that ``allowed`` admits. The sample has at most 2 * ``most``
-    rows, so its ids are broadcast and only its features come to the driver."""
-    picked = F.broadcast(labelled_sample(labels, key, label, allowed, most))
-    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = stage(own.join(picked, "key").select("text", "label", "stands_for"), "toxic-sample")
+    texts, so its ids are broadcast and only its features come to the driver. Where an id repeats, its different texts
+    count as texts each, equal ones once, and the first by their hashes make the sample."""
+    ids = F.broadcast(labelled_sample(labels, key, label, allowed, most))
+    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(ids, "key")
+    own = own.withColumn("same", F.xxhash64("text"))
+    texts = own.select("key", "same", "label").distinct()
+    first = [
+        texts.where(F.col("label") == kind).orderBy(F.xxhash64("key", "same"), "key", "same").limit(most)
+        for kind in (0, 1)
+    ]
+    picked = F.broadcast(first[0].unionByName(first[1]).select("key", "same"))
+    sample = own.join(picked, ["key", "same"]).dropDuplicates(["key", "same"])
+    sample = stage(sample.select("text", "label", "stands_for"), "toxic-sample")
     lexicon = learn_lexicon(sample)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -302,6 +302,39 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.judge(nothing, labels).count() == 0
 
 
+def test_a_repeated_id_does_not_widen_the_samples(spark, tmp_path):
+    rows = [(1, f"text number {i} of one id", "en", 0) for i in range(500)] + [(1, "the same text", "en", 0)] * 500
+    rows += [(i, f"other words {i}", "de", 1) for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(5, "text")
+    staged = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "stage", lambda sample, what: staged.append(sample) or sample)
+        toxicity.learn(df.drop("toxic"), df.select("doc_id", "toxic"), F.lit(True), most=100)
+    assert Counter(r.label for r in staged[0].collect()) == {0: 100, 1: 58}
+    assert staged[0].where("text = 'the same text'").count() <= 1
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_id, "SAMPLE", 40)
+        drawn = [language_id.excerpts_of(d, "doc_id", "text", "lang", F.lit(True)) for d in (df, df.repartition(2, "text"))]
+    texts = [raw for raw, lang in drawn[0] if lang == "en"]
+    assert drawn[0] == drawn[1] and len(texts) in (0, 40) and len(texts) == len(set(texts))
+
+
+def test_stages_keep_columns_with_dots(spark, docs):
+    benchmark = spark.createDataFrame([(1, BASE)], "item_id long, text string")
+    wide = docs.withColumn("a.b", F.lit(1)).withColumn("`c`.d", F.array(F.lit("x")))
+    steps = {
+        "language": lambda df: language_id.known_language(df, least=0.0),
+        "near copies": lambda df: ngram_join.one_of_each(df, k=5, percent=80),
+        "leaks": lambda df: decontaminate.without_leaks(df, benchmark),
+        "secrets": lambda df: secret_scan.redact(df, length="n_chars"),
+    }
+    for step in steps.values():
+        kept = step(wide)
+        assert kept.columns == wide.columns
+        same = step(docs)
+        assert sorted(map(str, (r[: len(docs.columns)] for r in kept.collect()))) == sorted(map(str, map(tuple, same.collect())))
+
+
 def test_the_grammar_weighs_clauses():
     lexicon = toxicity.Lexicon(words={"fool": 4.0}, stems={"imbe": 3.0})
     score = lambda text: toxicity.text_features(text, lexicon)[0]
