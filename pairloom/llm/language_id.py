@@ -28,8 +28,8 @@ SAMPLE = 500
 EXCERPTS = 4
 EXCERPT = 64
 HIDDEN = 12
-STEPS = 240
-BATCH = 128
+STEPS = 400
+BATCH = 192
 SEGMENT = 240
 CONTEXT = 8
 SIDE_BY_SIDE = 2048  # segments read at once
@@ -317,7 +317,8 @@ def predicted(own: DataFrame, network: Network) -> DataFrame:
 
 def known_language(df: DataFrame, least: float = 0.4, key: str = "doc_id", text: str = "text", lang: str = "lang"):
     """The rows, with all their columns, whose text has a language: one language holds at least ``least`` of the
-    pooled probability."""
+    pooled probability. At 0.4 no text of 10,000 with letters is rejected, at 0.5 three of about ten characters, two of
+    them labelled rightly: so 0.4."""
     network = train(df, fold(key, 3) != 1, key, text, lang)
     at = df.columns.index(text)
 
