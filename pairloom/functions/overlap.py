@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-CHUNK = 1 << 18  # symbols of pairs worked on at once, or one pair; the sequences of a batch are coded together
+CHUNK = 1 << 16  # symbols of pairs coded and worked on at once, and one pair
 PAIRS = 1 << 16  # candidate pairs scored at once
 BUFFER = 8 << 20  # bytes of tiles held at once, or one tile
 
@@ -60,36 +60,58 @@ def shared_grams(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_righ
     """Shared n-gram counts of aligned sequence pairs, one column per order 1..orders.
 
     ``left``/``right`` hold the codes of all sequences end to end, ``n_left``/``n_right`` their lengths.
-    An n-gram is numbered from its (n-1)-gram and its last symbol, so equal numbers mean equal n-grams.
+    A position's key is its pair, then its symbols, then its side. One sort puts the n-grams of every order in runs, as
+    an n-gram is a prefix of the key. Symbols behind the end of a sequence differ by side, so such runs share nothing.
+    What a run does not share is the difference of its sides. Keys of more than 63 bits are made in steps, the
+    next one starting from the rank of what came before.
     """
-    pairs = len(n_left)
-    base = int(max(left.max(initial=0), right.max(initial=0))) + 1
-    owners = np.arange(pairs) * 2
-    seq = np.concatenate([np.repeat(owners, n_left), np.repeat(owners + 1, n_right)])  # even: left, odd: right
-    last = np.concatenate([left, right])
-    gram, bound = seq >> 1, pairs
-    out = np.zeros((pairs, orders), dtype=np.int64)
-    for order in range(1, orders + 1):
-        if order > 1:  # keep the positions that still have a symbol to their right in the same sequence
-            inside = seq[:-1] == seq[1:]
-            gram, seq, last = gram[:-1][inside], seq[:-1][inside], last[1:][inside]
-        if not len(gram):
-            break
-        if bound * base >= 1 << 61:
-            gram = np.unique(gram, return_inverse=True)[1]
-            bound = int(gram.max()) + 1
-        gram = gram * base + last
-        bound *= base
-        ordered = gram * 2 + (seq & 1)
-        ordered.sort()
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(starts, len(ordered)))
-        keys = ordered[starts]
-        both = np.flatnonzero(keys[:-1] ^ keys[1:] == 1)  # same n-gram, left then right
-        # numbers are row-major, so the sorted positions fall into one run per pair
-        per_pair = np.maximum(n_left - order + 1, 0) + np.maximum(n_right - order + 1, 0)
-        owner = np.repeat(np.arange(pairs), per_pair)[starts[both]]
-        out[:, order - 1] = np.bincount(owner, np.minimum(counts[both], counts[both + 1]), minlength=pairs)
+    pairs, out = len(n_left), np.zeros((len(n_left), orders), dtype=np.int64)
+    lengths = np.concatenate([n_left, n_right])
+    owner = np.repeat(np.arange(2 * pairs), lengths)
+    if not len(owner):
+        return out
+    at = np.arange(len(owner)) + owner * (orders - 1)
+    symbol = np.ones(len(owner) + 2 * pairs * (orders - 1), np.int64)
+    symbol[: len(left) + pairs * (orders - 1)] = 0
+    codes = np.concatenate([left, right])
+    if codes.max() > len(codes):  # a key has room for as many symbols as there are places
+        codes = np.unique(codes, return_inverse=True)[1]
+    symbol[at] = codes + 2
+    bits = int(symbol.max()).bit_length()
+    side = (owner >= pairs).astype(np.int64)
+    prefix = owner - side * pairs
+    starts = np.concatenate([[0], np.cumsum(n_left + n_right)])  # of pairs, in every order of keys
+    done = 0
+    while done < orders:
+        width = min((62 - int(prefix.max()).bit_length()) // bits, orders - done)
+        packed = symbol[done : len(symbol) - orders + done + 1].copy()  # over all places at first, without lookups
+        for k in range(done + 1, done + width):
+            packed <<= bits
+            packed |= symbol[k : len(symbol) - orders + k + 1]
+        key = (prefix << (bits * width + 1)) | (packed.take(at) << 1) | side
+        if done + width < orders:
+            by_key = np.argsort(key, kind="stable")
+            key = key[by_key]
+        else:
+            key.sort()
+        balance = np.zeros(len(key) + 1, np.int32)
+        np.cumsum(1 - 2 * (key & 1).astype(np.int32), out=balance[1:])
+        change = key[1:] ^ key[:-1]
+        runs = np.flatnonzero(change > 1)
+        change = change.take(runs)
+        if done + width < orders:
+            rank = np.zeros(len(key), np.int64)
+            rank[runs + 1] = 1
+            prefix = np.empty_like(rank)
+            prefix[by_key] = np.cumsum(rank)
+        for k in range(width - 1, -1, -1):
+            if k < width - 1:
+                shorter = np.flatnonzero(change >= 1 << (1 + bits * (width - 1 - k)))
+                runs, change = runs.take(shorter), change.take(shorter)
+            bounds = np.concatenate([[0], runs + 1, [len(key)]])
+            apart = np.concatenate([[0], np.cumsum(np.abs(np.diff(balance.take(bounds))))])
+            out[:, done + k] = (np.diff(starts) - np.diff(apart[np.searchsorted(bounds, starts)])) // 2
+        done += width
     return out
 
 
@@ -115,13 +137,31 @@ def as_list_array(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))
 
 
+def n_symbols(array: pa.Array) -> np.ndarray:
+    """Characters of strings, or elements of lists, per row."""
+    is_text = pa.types.is_string(array.type) or pa.types.is_large_string(array.type)
+    count = pc.utf8_length(array) if is_text else pc.list_value_length(array)
+    return count.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def batch_overlap(left: pa.Array, right: pa.Array, orders: int) -> np.ndarray:
+    """Shared n-gram counts of the rows of a batch, of which CHUNK symbols or one row are coded at once. A batch of
+    10,000 documents holds a hundred times that, and coded symbols take many times the room of text."""
+    part = np.cumsum(n_symbols(left) + n_symbols(right)) // CHUNK
+    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1), len(left)]
+    parts = [np.zeros((0, orders), np.int64)]
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        (a, ends_a), (b, ends_b) = symbols(left.slice(start, end - start), right.slice(start, end - start))
+        parts.append(shared_grams(a, np.diff(ends_a), b, np.diff(ends_b), orders))
+    return np.concatenate(parts)
+
+
 def overlap_udf(orders: int):
     """Arrow function (left, right) -> shared n-gram counts for orders 1..orders."""
 
     @F.arrow_udf(ArrayType(LongType()))
     def shared(left: pa.Array, right: pa.Array) -> pa.Array:
-        rows = np.arange(len(left))
-        return as_list_array(pair_overlap(*symbols(left, right), rows, rows, orders))
+        return as_list_array(batch_overlap(left, right, orders))
 
     return shared
 

@@ -35,6 +35,12 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_table(spark, f"{sf_dir}/conversations.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` by key in ``spark.sql.shuffle.partitions`` parts. Named by number, so that Spark does not merge them by
+    bytes into few parts, a second wave of which then waits for one task: scoring costs far more than reading."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _respelled(col: str):
     return F.replace(F.replace(F.col(col), F.lit("ou"), F.lit("u")), F.lit(" and "), F.lit(" "))
 
@@ -51,7 +57,7 @@ def parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference: the document; prediction: the document respelled. Placed by id, as joined predictions are."""
-    rows = documents(spark, sf_dir).select("doc_id", "lang", "text").repartition("doc_id")
+    rows = spread(documents(spark, sf_dir).select("doc_id", "lang", "text"), "doc_id")
     return rows.select(F.col("doc_id").alias("id"), "lang", _respelled("text").alias("hyp"), F.col("text").alias("ref"))
 
 
@@ -221,7 +227,7 @@ def token_prf(spark, d):
 
 
 def token_prf_macro(spark, d):
-    return _r(metrics.token_prf_macro(pairs(spark, d)), "precision", "recall", "f1")
+    return _r(metrics.token_prf_macro(spread(pairs(spark, d), "id")), "precision", "recall", "f1")
 
 
 def length_stats(spark, d):
@@ -293,11 +299,11 @@ def corpus_report(spark, d):
 
 
 def corpus_report_pairs(spark, d):
-    return _r(metrics.corpus_report(pairs(spark, d)), *REPORT)
+    return _r(metrics.corpus_report(spread(pairs(spark, d), "id")), *REPORT)
 
 
 def sentence_scores(spark, d):
-    scored = metrics.with_sentence_scores(metrics.bleu_vectors(metrics.chrf_vectors(pairs(spark, d))))
+    scored = metrics.with_sentence_scores(metrics.bleu_vectors(metrics.chrf_vectors(spread(pairs(spark, d), "id"))))
     return _r(scored.select("id", "chrf", "bleu"), "chrf", "bleu")
 
 

@@ -148,3 +148,21 @@ def test_a_missing_side_is_an_empty_text_in_every_metric(spark):
     assert report.accuracy == 50.0 and report.precision == 50.0
     assert metrics.exact_match(df).first().accuracy == 0.5
     assert metrics.length_stats(df).first().rmse == report.rmse == 8**0.5
+
+
+def test_a_batch_is_coded_in_bounded_slices(monkeypatch):
+    texts = pa.array([f"word {i % 7} and {i % 3} more" * (i % 4) if i % 9 else None for i in range(200)])
+    other = pa.array([f"word {i % 5} or {i % 3}" * (i % 3) for i in range(200)])
+    expected = [[(grams(a or "", n) & grams(b, n)).total() for n in range(1, 7)]
+                for a, b in zip(texts.to_pylist(), other.to_pylist())]
+    sizes, symbols = [], O.symbols
+    monkeypatch.setattr(O, "CHUNK", 200)
+    monkeypatch.setattr(O, "symbols", lambda *a: sizes.append(sum(len(c) for c, _ in symbols(*a))) or symbols(*a))
+    assert O.batch_overlap(texts, other, 6).tolist() == expected
+    assert len(sizes) > 10 and max(sizes) < 200 + 150  # a slice, and one row
+    assert O.batch_overlap(texts[:0], other[:0], 6).shape == (0, 6)
+
+
+def test_pairs_are_scored_in_as_many_parts_as_configured(spark, small):
+    for rows in (catalog.noisy(spark, small), catalog.spread(catalog.pairs(spark, small), "id")):
+        assert rows.rdd.getNumPartitions() == 8
