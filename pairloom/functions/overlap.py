@@ -256,12 +256,12 @@ def tile_scores(members: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [*kept, *sums])
 
 
-def numbered_grams(codes: np.ndarray, lengths: np.ndarray, orders: int):
-    """For each order, the member and a number of every n-gram of coded sequences end to end. The first, second and so on
+def numbered_grams(codes: np.ndarray, lengths: np.ndarray, tiles: np.ndarray, orders: int):
+    """For each order, the member and a number of every n-gram of coded sequences end to end; those of each tile count apart. The first, second and so on
     place of an n-gram in a member count apart, so what two members share is the numbers both have."""
     seq, last = np.repeat(np.arange(len(lengths)), lengths), codes
     base = int(codes.max(initial=0)) + 1
-    gram, bound = np.zeros(len(codes), np.int64), 1
+    gram, bound = np.repeat(tiles, lengths), int(tiles.max(initial=0)) + 1
     for order in range(1, orders + 1):
         if order > 1:
             inside = seq[:-1] == seq[1:]
@@ -281,13 +281,15 @@ def numbered_grams(codes: np.ndarray, lengths: np.ndarray, orders: int):
         yield member, np.unique(number, return_inverse=True)[1]
 
 
-def shared_sums(coded, rows: np.ndarray, hyp: np.ndarray, ref: np.ndarray, weight: np.ndarray, orders: int):
-    """For members ``rows`` of a tile, of which ``hyp`` are compared with ``ref`` (masks), and for each order: the
+def shared_sums(
+    coded, rows: np.ndarray, tiles: np.ndarray, hyp: np.ndarray, ref: np.ndarray, weight: np.ndarray, orders: int
+):
+    """For members ``rows`` of tiles numbered ``tiles``, of which ``hyp`` are compared with ``ref`` (masks), and for each order: the
     n-grams shared with each partner times its weight, added up over partners; and the same over the partner's total.
     Time goes with the n-grams, not with pairs. A member that is in both masks is no partner of itself."""
     codes, lengths = take(*coded, rows)
     shared, of_ref = np.zeros((len(rows), orders)), np.zeros((len(rows), orders))
-    for k, (member, number) in enumerate(numbered_grams(codes, lengths, orders)):
+    for k, (member, number) in enumerate(numbered_grams(codes, lengths, tiles, orders)):
         totals = np.maximum(lengths - k, 1)
         partner, asked = ref[member], hyp[member]
         size = int(number.max(initial=-1)) + 1
@@ -315,27 +317,33 @@ def tile_bounds(members: pa.RecordBatch) -> pa.RecordBatch:
     coded = {f: symbols(members.column(f))[0] for f in ("chars", "words", "tokens")}
     sums = {name: np.zeros(members.num_rows) for name in BOUND_SUMS}
     lengths = {f: np.diff(coded[f][1]) for f in coded}
-    for t, start in enumerate(starts):
-        rows = np.arange(start, offsets[t + 1])
-        weight, all_rows = weights[rows], np.ones(len(rows), bool)
-        sides = [(all_rows, all_rows)] if one_block[start] else [(~second[rows], second[rows]), (second[rows], ~second[rows])]
-        for hyp, ref in sides:
+    # tiles are worked on together up to CHUNK characters, or one
+    part = np.cumsum(np.add.reduceat(lengths["chars"], starts)) // CHUNK if len(starts) else np.zeros(0, int)
+    firsts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(starts)]
+    for first, end in zip(firsts[:-1], firsts[1:]):
+        rows = np.arange(offsets[first], offsets[end])
+        at = offsets[first:end] - offsets[first]
+        tile = np.repeat(np.arange(end - first), np.diff(offsets[first : end + 1]))
+        weight, alone, other = weights[rows], one_block[rows], second[rows]
+        for hyp, ref in ((alone | ~other, alone | other), (~alone & other, ~alone & ~other)):
             if not ref.any() or not hyp.any():
                 continue
             self = hyp & ref
-            sums["partners"][rows] += np.where(hyp, ref.sum() - self, 0)
-            sums["weight"][rows] += np.where(hyp, weight[ref].sum() - self * weight, 0)
+            n_ref, of_ref_weight = np.add.reduceat(ref.astype(np.int64), at), np.add.reduceat(ref * weight, at)
+            hyp = hyp & (n_ref[tile] > 0)
+            sums["partners"][rows] += np.where(hyp, n_ref[tile] - self, 0)
+            sums["weight"][rows] += np.where(hyp, of_ref_weight[tile] - self * weight, 0)
             precision, recall, used = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
             for field, orders in (("chars", 6), ("words", 2)):
-                shared, of_ref = shared_sums(coded[field], rows, hyp, ref, weight, orders)
+                shared, of_ref = shared_sums(coded[field], rows, tile, hyp, ref, weight, orders)
                 n = np.minimum(lengths[field][rows], orders)
                 totals = np.maximum(lengths[field][rows][:, None] - np.arange(orders), 1)
                 precision += (shared / totals).sum(axis=1)
                 recall += of_ref.sum(axis=1)
-                used += np.minimum(n, n[ref].min())  # no partner uses fewer orders
+                used += np.minimum(n, np.minimum.reduceat(np.where(ref, n, orders), at)[tile])  # no partner uses fewer
             sums["precision"][rows] += np.where(hyp, precision / np.maximum(used, 1), 0)
             sums["recall"][rows] += np.where(hyp, recall / np.maximum(used, 1), 0)
-            shared, _ = shared_sums(coded["tokens"], rows, hyp, ref, weight, 4)
+            shared, _ = shared_sums(coded["tokens"], rows, tile, hyp, ref, weight, 4)
             for k in range(4):
                 sums[f"b{k + 1}"][rows] += np.where(hyp, shared[:, k], 0)
     kept = ["id", "pos", "key"]
@@ -343,6 +351,22 @@ def tile_bounds(members: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*arrays, pa.array(lengths["tokens"])], [*kept, *sums, "n_tokens"])
 
 
+def add_asked_scores(
+    sums: dict[str, np.ndarray], coded: dict, weight: np.ndarray, hyp: np.ndarray, ref: np.ndarray
+) -> None:
+    """Add the score of every ``hyp`` against its ``ref`` to the sums of ``hyp``, times the weight of ``ref``."""
+    members = len(sums["partners"])
+    sums["partners"] += np.bincount(hyp, minlength=members)
+    sums["weight"] += np.bincount(hyp, weight[ref], members)
+    for name, score, fields in (
+        ("chrf", chrf_score, (("chars", 6), ("words", 2))),
+        ("bleu", bleu_score, (("tokens", 4),)),
+    ):
+        shared = np.hstack([pair_overlap(coded[f], coded[f], hyp, ref, k) for f, k in fields])
+        totals = np.hstack([gram_totals(coded[f][1], k) for f, k in fields])
+        sums[name] += np.bincount(hyp, weight[ref] * score(shared, totals[hyp], totals[ref]), members)
+
+
 def tile_asked(members: pa.RecordBatch) -> pa.RecordBatch:
     """``tile_scores`` for the candidates marked ``asked`` alone, as hypotheses."""
     starts = tile_starts(members)
@@ -351,22 +375,18 @@ def tile_asked(members: pa.RecordBatch) -> pa.RecordBatch:
     one_block = pc.equal(members.column("i"), members.column("j")).to_numpy(zero_copy_only=False)
     coded = {f: symbols(members.column(f))[0] for f in ("chars", "words", "tokens")}
     sums = {name: np.zeros(members.num_rows) for name in ("partners", "weight", "chrf", "bleu")}
+    waiting, n_waiting = [], 0
     for t, start in enumerate(starts):
         rows = np.arange(start, offsets[t + 1])
         for hyp in rows[asked[rows]]:
             right = rows[rows != hyp] if one_block[start] else rows[second[rows] != second[hyp]]
-            if not len(right):
-                continue
-            left = np.full(len(right), hyp)
-            sums["partners"][hyp] += len(right)
-            sums["weight"][hyp] += weight[right].sum()
-            for name, score, fields in (
-                ("chrf", chrf_score, (("chars", 6), ("words", 2))),
-                ("bleu", bleu_score, (("tokens", 4),)),
-            ):
-                shared = np.hstack([pair_overlap(coded[f], coded[f], left, right, k) for f, k in fields])
-                totals = np.hstack([gram_totals(coded[f][1], k) for f, k in fields])
-                sums[name][hyp] += (weight[right] * score(shared, totals[left], totals[right])).sum()
+            waiting.append((np.full(len(right), hyp), right))
+            n_waiting += len(right)
+        if n_waiting >= PAIRS:
+            add_asked_scores(sums, coded, weight, *map(np.concatenate, zip(*waiting)))
+            waiting, n_waiting = [], 0
+    if n_waiting:
+        add_asked_scores(sums, coded, weight, *map(np.concatenate, zip(*waiting)))
     kept = ["id", "pos", "key"]
     arrays = [members.column(name) for name in kept] + [pa.array(column) for column in sums.values()]
     return pa.RecordBatch.from_arrays(arrays, [*kept, *sums]).filter(members.column("asked"))

@@ -180,3 +180,27 @@ def test_bounds_hold(spark, small):
         both = bounds.join(selection.mbr_utilities(cands, metric).select("id", "pos", "partners", "utility"), ["id", "pos"])
         worst = both.agg(F.max(F.col("utility") - F.col("upper")), F.count("*")).first()
         assert worst[0] <= 1e-9 and worst[1] == distinct.count()
+
+
+def test_small_tiles_are_scored_together(monkeypatch):
+    """Calls go with the n-grams, not with the tiles: a thousand small sentences take a few."""
+    import pyarrow as pa
+
+    from pairloom.functions import overlap as O
+
+    texts = ["the cat sat", "a cat sat on the mat", "", "the dog sat on the mat"]
+    rows = [
+        {"id": i, "pos": k, "key": k, "i": 0, "j": 0, "second": False, "text": t, "chars": t.replace(" ", ""),
+         "words": t.split(), "tokens": t.split(), "weight": 1.0, "asked": k == i % 4}
+        for i in range(1000) for k, t in enumerate(texts)
+    ]
+    batch = pa.Table.from_pylist(rows).combine_chunks().to_batches()[0]
+    calls = []
+    for name in ("shared_sums", "pair_overlap"):
+        real = getattr(O, name)
+        monkeypatch.setattr(O, name, lambda *a, real=real, name=name: calls.append(name) or real(*a))
+    bounds, asked = O.tile_bounds(batch), O.tile_asked(batch)
+    assert len(calls) < 20
+    alone = [O.tile_bounds(batch.slice(0, 4)), O.tile_asked(batch.slice(0, 16))]
+    assert bounds.slice(0, 4).to_pylist() == alone[0].to_pylist()
+    assert asked.slice(0, 4).to_pylist() == alone[1].to_pylist()
