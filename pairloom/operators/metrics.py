@@ -197,12 +197,16 @@ def display(report: DataFrame) -> DataFrame:
     return report.withColumns({c: F.round(c, digits.get(c, 2)) for c in numbers})
 
 
-def _grams(seq: Column, n: int) -> Column:
-    def gram(i: Column) -> Column:
-        return F.array_join(F.slice(seq, i, n), "\x1f")
-
-    positions = F.sequence(F.lit(1), F.greatest(F.size(seq) - (n - 1), F.lit(1)))
-    return F.when(F.size(seq) >= n, F.transform(positions, gram)).otherwise(F.array().cast("array<string>"))
+def _with_grams(rows: DataFrame, seq: str, orders: int) -> tuple[DataFrame, list[Column]]:
+    """Add the n-grams of every order, each from the order before it: an n-gram and the symbol behind it. A column an
+    order, so that none is made twice."""
+    found = [seq]
+    for n in range(2, orders + 1):
+        left = F.greatest(F.size(seq) - (n - 1), F.lit(0))
+        longer = F.zip_with(F.slice(found[-1], 1, left), F.slice(seq, n, left), lambda g, s: F.concat_ws("\x1f", g, s))
+        rows = rows.withColumn(f"_{seq}{n}", longer)
+        found.append(f"_{seq}{n}")
+    return rows, [F.col(name) for name in found]
 
 
 def gram_table(df: DataFrame, id_col: str, hyp: str, ref: str, kind: str = "chrf") -> DataFrame:
@@ -215,11 +219,12 @@ def gram_table(df: DataFrame, id_col: str, hyp: str, ref: str, kind: str = "chrf
     if kind == "chrf":
         chars = F.filter(F.split(T.drop_whitespace(text), ""), lambda c: c != "")
         rows = rows.select(id_col, "side", chars.alias("c"), T.chrf_words(text).alias("w"))
-        grams = [_grams(F.col("c"), n) for n in range(1, CHAR_ORDER + 1)]
-        grams += [_grams(F.col("w"), n) for n in range(1, WORD_ORDER + 1)]
+        rows, chars_of = _with_grams(rows, "c", CHAR_ORDER)
+        rows, words_of = _with_grams(rows, "w", WORD_ORDER)
+        grams = chars_of + words_of
     else:
         rows = rows.select(id_col, "side", T.bleu_tokens(text).alias("b"))
-        grams = [_grams(F.col("b"), n) for n in range(1, BLEU_ORDER + 1)]
+        rows, grams = _with_grams(rows, "b", BLEU_ORDER)
     tagged = F.array(*[F.struct(F.lit(i).alias("ord"), g.alias("grams")) for i, g in enumerate(grams, start=1)])
     each = rows.select(id_col, "side", F.inline(tagged))
     return each.select(id_col, "side", "ord", F.explode_outer("grams").alias("gram")).filter(

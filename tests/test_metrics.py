@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from plain import add, bleu, bleu_vector, chrf, chrf_vector, grams
+from plain import add, bleu, bleu_vector, chrf, chrf_vector, chrf_words, grams
 
 from pairloom.functions import overlap as O
 from pairloom.operators import metrics
@@ -166,3 +166,20 @@ def test_a_batch_is_coded_in_bounded_slices(monkeypatch):
 def test_pairs_are_scored_in_as_many_parts_as_configured(spark, small):
     for rows in (catalog.noisy(spark, small), catalog.spread(catalog.pairs(spark, small), "id")):
         assert rows.rdd.getNumPartitions() == 8
+
+
+def test_gram_rows_are_made_order_by_order(spark, capsys):
+    texts = ["", "a", "ab", "a b c d", "\U0001F600b (x) \U0001F600b", None]
+    df = spark.createDataFrame([(i, t, texts[-1 - i]) for i, t in enumerate(texts)], "id int, hyp string, ref string")
+    expected = {}
+    for i, t in enumerate(texts):
+        sides = [["".join((x or "").split()), chrf_words(x or "")] for x in (t, texts[-1 - i])]
+        for order in range(1, 9):
+            h, r = (grams(side[order > 6], order if order < 7 else order - 6) for side in sides)
+            if h or r:
+                expected[i, order] = (h.total(), r.total(), (h & r).total())
+    found = metrics.gram_counts(df)
+    assert {(r.id, r.ord): (r.h, r.r, r.m) for r in found.collect()} == expected
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "array_join" not in plan and plan.count("regexp_extract_all") + plan.count("split(") < 8  # nothing made twice
