@@ -4,8 +4,8 @@ The tokens of a document are its distinct shingles of ``k`` lower-cased words. T
 have a similarity of at least ``percent``; the result gives each document the smallest id that links reach.
 
 1. Documents with equal sets form a class and are one from here on.
-2. A table of counts (COUNTERS hashed counters over all documents) sorts tokens into rare and frequent ones, rare
-   first; any order that is the same for all documents gives the same result.
+2. A table of counts (COUNTERS hashed counters over all documents) orders tokens, least counted first, and parts rare
+   from frequent ones; any order that is the same for all documents gives the same result.
 3. A set of n tokens misses at most t = n - ceil(percent * n) tokens of a partner. Its prefix in this order is
    extended until t missing tokens cannot spoil all its signatures: a rare token is a signature by itself, a frequent
    one only together with another frequent one of the same subclass, so p tokens of a subclass survive p - 2 losses.
@@ -14,8 +14,10 @@ have a similarity of at least ``percent``; the result gives each document the sm
 4. Documents that share a signature are compared, but not all with all. First everyone is compared with the smallest
    and the largest member under the signature; a group of close copies then is one component. Only members that are
    still in different components are compared with each other, in tiles of two blocks of members, which loses no link
-   between components. Before sets are fetched, a parity bitmap of about a third of a byte per token rules out
-   most pairs: each bit in which two bitmaps differ takes a token in which the sets differ.
+   between components. Before sets are fetched, a parity bitmap of a few bits for each token that linked sets may differ
+   in rules out most pairs: each bit in which two bitmaps differ takes a token in which the sets differ.
+
+Signatures are shuffled once and not staged, and texts are shuffled only where a bounded bitmap of keys has their key.
 
 A null or empty text has no shingles and links with nothing: its component is its own id. With fewer than ``k`` words
 the whole sequence is one shingle. Repeated rows are documents like others. Null ids take part, but are no smallest
@@ -35,15 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.graphs import components
-from pairloom.llm.tables import free_name, named, stage
+from pairloom.llm.tables import free_name, having, key_marks, named, stage
 from pairloom.llm.words import blocks, chained, hashed_words, mix
 
 K = 3
 PERCENT = 90
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 FAN_IN = 16  # count tables added up by one task
 BLOCK = 128  # members of a signature in one block of a tile
 SMALL = 5  # sets of fewer than 2^SMALL tokens use single tokens only
+SEEN = 1 << 16  # sets that a task remembers to have signed
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -66,9 +69,10 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens in hash cells: at least 128 cells, twice as many as tokens, a power of two."""
-    cells = 1 << max(7, (2 * len(tokens)).bit_length())
+def bitmap(tokens: np.ndarray, percent: int) -> bytes:
+    """Parities of the tokens in hash cells, a power of two: at least 128, and four for each token in which linked sets of
+    this size may differ, as unlike sets differ in about half of the cells."""
+    cells = 1 << max(7, (8 * len(tokens) * (100 - percent) // (100 + percent)).bit_length())
     odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (cells - 1), minlength=cells) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
@@ -92,20 +96,27 @@ def token_counts(df: DataFrame, text: str, k: int) -> np.ndarray:
     """In how many documents the tokens of each of COUNTERS hash cells occur, over all documents. Tasks add up their
     tables in a tree of FAN_IN, so that the driver gets a few tables of fixed size."""
 
+    def table(total: np.ndarray) -> pa.RecordBatch:
+        raw = pa.compress(total.tobytes(), codec="zstd", asbytes=True)  # most counts of one task are small
+        return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for _, data, bounds in blocks(batch.column(0)):
-                cells = [(s & np.uint64(COUNTERS - 1)).astype(np.int64) for s in shingle_sets(data, bounds, k)]
-                total += np.bincount(np.concatenate(cells), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+                tokens = np.concatenate(list(shingle_sets(data, bounds, k)))
+                np.add.at(total, (tokens & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        yield table(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                total += np.frombuffer(raw.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+                total += read(raw.as_buffer())
+        yield table(total)
+
+    def read(raw) -> np.ndarray:
+        return np.frombuffer(pa.decompress(raw, COUNTERS * 8, codec="zstd"), np.int64)
 
     tables = df.select(text).mapInArrow(count, "counts binary")
     left = df.rdd.getNumPartitions()
@@ -114,12 +125,12 @@ def token_counts(df: DataFrame, text: str, k: int) -> np.ndarray:
         tables = tables.repartition(left).mapInArrow(add, "counts binary")
     total = np.zeros(COUNTERS, np.int64)
     for row in tables.toLocalIterator():
-        total += np.frombuffer(row["counts"], np.int64)
+        total += read(row["counts"])
     return total
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set, given which of its ascending tokens are frequent."""
+    """Signatures of a set, given its tokens in the common order and which of them are frequent."""
     n = len(tokens)
     need = most_missing(n, percent) + 1
     low, high = -(-n * percent // 100), n * 100 // percent
@@ -148,13 +159,13 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
     return np.unique(np.concatenate(out))
 
 
-def classes_of(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
+def classes_of(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """(key, n, one, two, bits) of every row, staged: size, digest and bitmap of its set."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (len(s), *(digest(s) if len(s) else (None, None)), bitmap(s))
+                (len(s), *(digest(s) if len(s) else (None, None)), bitmap(s, percent))
                 for _, data, bounds in blocks(batch.column(1))
                 for s in shingle_sets(data, bounds, k)
             ]
@@ -169,34 +180,37 @@ def classes_of(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 
 def signed(df: DataFrame, text: str, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Distinct (signature, one, n) rows, staged."""
+    """(signature, one) rows; those of equal sets may repeat."""
     bar = max(64, 2 * int(counts.mean()))
     frequent_cells = np.packbits(counts > bar)
+    ranks = np.minimum(counts - counts.min(), (1 << 16) - 1).astype(np.uint16)  # an order, with many highest or not
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.unpackbits(frequent_cells).astype(bool)
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for _, data, bounds in blocks(batch.column(0)):
-                found, ones, sizes = [], [], []
+                found, ones = [], []
                 for tokens in shingle_sets(data, bounds, k):
-                    if len(tokens):
+                    if len(tokens) and (own := digest(tokens)) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(own)
                         cells = (tokens & np.uint64(COUNTERS - 1)).astype(np.int64)
-                        found.append(signatures(tokens, frequent[cells], percent))
-                        ones.append(digest(tokens)[0])
-                        sizes.append(len(tokens))
+                        order = np.argsort(ranks[cells], kind="stable")  # equal ranks by token
+                        found.append(signatures(tokens[order], frequent[cells[order]], percent))
+                        ones.append(own[0])
                 if found:
                     times = [len(s) for s in found]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.concatenate(found).view(np.int64)),
                             pa.array(np.repeat(np.array(ones, np.int64), times)),
-                            pa.array(np.repeat(np.array(sizes, np.int32), times)),
                         ],
-                        ["signature", "one", "n"],
+                        ["signature", "one"],
                     )
 
-    rows = df.select(text).mapInArrow(sign, "signature bigint, one bigint, n int")
-    return stage(rows, "join-signatures")
+    return df.select(text).mapInArrow(sign, "signature bigint, one bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,7 +247,7 @@ def numbered(classes: DataFrame) -> DataFrame:
 def candidate_sets(df: DataFrame, numbers: DataFrame, pairs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(node, one, tokens) of the classes in pairs, from one document each, staged."""
     wanted = pairs.select(F.col("a").alias("one")).unionByName(pairs.select(F.col("b").alias("one"))).distinct()
-    chosen = numbers.join(wanted, "one", "left_semi")
+    chosen = stage(numbers.join(wanted, "one", "left_semi").select("least", "one", "two", "node"), "join-wanted")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +262,7 @@ def candidate_sets(df: DataFrame, numbers: DataFrame, pairs: DataFrame, key: str
                     [asked.column(3), asked.column(1), raws], ["node", "one", "tokens"]
                 ).filter(pa.array(same, pa.bool_()))
 
-    own = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    own = having(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", key_marks(chosen, "least"))
     texts = own.join(chosen, own["key"].eqNullSafe(chosen["least"])).select("text", "one", "two", "node")
     sets = texts.mapInArrow(sets_of, "node bigint, one bigint, tokens binary")
     return stage(sets.dropDuplicates(["node"]), "join-sets")
@@ -327,22 +341,19 @@ def tiled(inner: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
 
 def linked_classes(df: DataFrame, numbers: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """(node, component) of the classes that link with another."""
-    rows = signed(df, text, k, percent, token_counts(df, text, k))
-    ends = rows.groupBy("signature").agg(
-        F.min(F.struct("one", "n")).alias("low"), F.max(F.struct("one", "n")).alias("high")
-    )
-    ends = stage(ends.where("low.one <> high.one"), "join-ends")
+    # both sides of the join read the one shuffle, as they take the same columns of it
+    rows = signed(df, text, k, percent, token_counts(df, text, k)).repartition("signature")
+    ends = rows.groupBy("signature").agg(F.min("one").alias("low"), F.max("one").alias("high")).where("low <> high")
     members = stage(rows.join(ends, "signature").distinct(), "join-members")
-    first = members.select("one", "n", F.explode(F.array("low", "high")).alias("end"))
-    first = first.where((F.col("one") != F.col("end.one")) & near("n", "end.n", percent))
-    first = first.select(F.col("one").alias("a"), F.col("end.one").alias("b")).distinct()
+    first = members.select(F.col("one").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
     first = stage(sieved(first, numbers, percent), "join-pairs")
     links = stage(verified(first, candidate_sets(df, numbers, first, key, text, k), percent), "join-links")
     labels = components(links)
     # what the ends did not bring together: members of one signature in different components
-    known = numbers.join(labels, "node", "left").select("one", "bits", F.coalesce("component", "node").alias("component"))
-    inner = members.where((F.col("one") != F.col("low.one")) & (F.col("one") != F.col("high.one")))
-    inner = stage(inner.select("signature", "one", "n").join(known, "one"), "join-inner")
+    known = numbers.join(labels, "node", "left")
+    known = known.select("one", "n", "bits", F.coalesce("component", "node").alias("component"))
+    inner = members.where((F.col("one") != F.col("low")) & (F.col("one") != F.col("high")))
+    inner = stage(inner.select("signature", "one").join(known, "one"), "join-inner")
     mixed = inner.groupBy("signature").agg(
         F.min("component").alias("x"),
         F.max("component").alias("y"),
@@ -372,7 +383,7 @@ def components_of_classes(
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
-    classes = classes_of(df, key, text, k)
+    classes = classes_of(df, key, text, k, percent)
     found = components_of_classes(df, classes, key, text, k, percent)
     return classes.join(found, ["one", "two"], "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
@@ -382,7 +393,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, per
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """The rows, with all their columns, that stand for their group: those whose id is the smallest of the group; of
     rows that repeat it with an equal set, one stays. Rows without shingles are no copies and all stay."""
-    classes = classes_of(df, key, text, k)
+    classes = classes_of(df, key, text, k, percent)
     found = components_of_classes(df, classes, key, text, k, percent)
     one, two, group = (free_name(df, name) for name in ("digest_one", "digest_two", "group_id"))
 
@@ -395,14 +406,17 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
                 [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["one", "two"]
             )
 
+    # all rows of a key that has no row in a group stay as they are; only the others meet the groups
+    marks = key_marks(classes.join(found, ["one", "two"], "left_semi"), "key")
+    alone = having(df, key, marks, False)
     found = found.select(F.col("one").alias(one), F.col("two").alias(two), F.col("component_id").alias(group))
-    rows = df.withColumn(one, digests(F.col(text)))
+    rows = having(df, key, marks).withColumn(one, digests(F.col(text)))
     rows = rows.withColumn(two, F.col(f"{one}.two")).withColumn(one, F.col(f"{one}.one")).join(found, [one, two], "left")
     rows = rows.where(F.col(one).isNull() | F.col(group).isNull() | F.col(group).eqNullSafe(F.col(key)))
     if classes.where("n > 0").groupBy("key", "one", "two").count().where("count > 1").limit(1).count():
         whole = rows.where(F.col(one).isNotNull()).dropDuplicates([key, one, two])
         rows = whole.unionByName(rows.where(F.col(one).isNull()))
-    return named(rows, df.columns)
+    return named(rows, df.columns).union(alone)
 
 
 ORACLE = """

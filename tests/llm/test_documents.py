@@ -22,6 +22,7 @@ from pairloom.llm import (
     substring_dedup,
     toxicity,
 )
+from pairloom.llm.tables import having, key_marks
 
 # clashing names: what operators call their own columns
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, one int, score string, ids string"
@@ -146,6 +147,32 @@ def test_ngram_join_finds_every_link_of_a_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.join(df).collect()} == expected
 
 
+def test_ngram_join_signs_with_the_rarest_tokens_and_shuffles_few_texts(spark, monkeypatch):
+    common = " ".join(f"c{i}" for i in range(100))
+    texts = [f"{common} " + " ".join(f"o{n}x{i}" for i in range(100)) for n in range(50)]
+    texts += [texts[0] + " more", texts[0] + " more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    staged, written = {}, ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", lambda df, what: staged.setdefault(what, written(df, what)))
+    found = {r.doc_id: r.component_id for r in ngram_join.join(df).collect()}
+    assert found == {n: 0 if n >= 50 else n for n in range(52)}
+    assert "join-signatures" not in staged  # they are shuffled once and not written
+    # the 50 texts share 98 shingles, but only the two classes that link meet under a signature
+    assert staged["join-members"].select("one").distinct().count() == 2
+    assert staged["join-wanted"].count() == 2  # whose texts alone are shuffled
+    monkeypatch.undo()
+    assert {r.doc_id for r in ngram_join.one_of_each(df).collect()} == set(range(50))
+
+
+def test_key_marks_keep_every_marked_key_and_few_others(spark):
+    df = spark.range(100_000).select(F.when(F.col("id") > 0, F.col("id")).alias("a.b"), F.lit("t").alias("t"))
+    marks = key_marks(df.where("`a.b` is null or `a.b` % 100 = 1"), "a.b")
+    kept = having(df, "a.b", marks)
+    assert kept.where("`a.b` is null or `a.b` % 100 = 1").count() == 1001
+    assert kept.count() < 1100 and kept.count() + having(df, "a.b", marks, False).count() == 100_000
+    assert having(df, "a.b", key_marks(df.limit(0), "a.b")).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7), (500, 500)]
     found = {r.node: r.component for r in graphs.components(spark.createDataFrame(chain, "a long, b long")).collect()}
