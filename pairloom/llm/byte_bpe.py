@@ -1,16 +1,11 @@
-r"""Byte-level BPE: texts to token ids by ranked merges, and ids back to bytes, in Spark's higher-order functions.
+r"""Byte-level BPE: texts to token ids by ranked merges, and ids back to bytes, in Arrow functions of whole batches.
 
-A text is cut into pieces by the vocabulary's pattern. A piece whose bytes are a token is that token. Of any other
-piece the bytes are folded: in each step the adjacent pair whose joined bytes have the lowest rank is joined wherever
-it stands, until no pair has a rank. Bytes are written as two hexadecimal digits each, so that joining bytes is
-joining strings and the rank map can be a literal of strings. Spark looks a key up in a map entry by entry; the literal
-is therefore an array of small maps, and a key's hash says which.
+A text is cut into pieces by the vocabulary's pattern, in Spark. A piece whose bytes are a token is that token. Of any
+other piece the bytes are folded: in each step the adjacent pair whose joined bytes have the lowest rank is joined wherever
+it stands, until no pair has a rank. All distinct pieces of a few thousand rows take their steps together, as one numpy
+array of parts, at most WORDS pieces at a time. Texts are never shuffled, and no table of words is kept.
 
-Words repeat, so the frequent ones are folded once: all pieces of the table are counted, the WORDS most frequent ones
-(of at most WORD_BYTES bytes) are folded as rows, and their ids join the plan as a second literal of that bounded
-size. Every other piece is folded where it stands. Texts are never shuffled.
-
-Decoding looks up each id's bytes in a literal array and concatenates them.
+Decoding gathers each id's bytes from one array of all tokens.
 
 A null or empty text has no ids. Null ids in a list are left out, and ids outside the vocabulary decode to nothing.
 Texts and single pieces may be of any length; a long piece costs as many passes over it as it has kinds of merges.
@@ -21,22 +16,20 @@ they are; an output name that is taken is replaced, as ``withColumn`` does.
 from __future__ import annotations
 
 import base64
-import json
 
 import numpy as np
 import public_tokenizers
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import stage
-
 RANKS = "byte_bpe_50k.tiktoken"
-WORDS = 1 << 17  # entries of the literal of frequent words, beside the tokens
-WORD_BYTES = 64  # of its longest entry
-BUCKETS = 1 << 15  # small maps in that literal
-SHORT = 48  # bytes; shorter pieces join one pair in a step
+WORDS = 1 << 17  # pieces that are folded together
+ROWS = 1 << 11  # whose pieces are handled together
+SHORT = 48  # parts; shorter pieces join one pair in a step
 ID_BITS = 20  # ids are below 2 ** 20
+NO_RANK = 1 << ID_BITS
 NONE = -1
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -84,18 +77,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-def _with(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all items of slices, end to end."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _bounds(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)])
 
 
-def _array(values: list, of: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{of}>")
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The items of a column of lists, and the n + 1 bounds of the lists in them. A null is an empty list."""
+    return column.flatten(), _bounds(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+
+
+def _binaries(column: pa.Array, bounds: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Slices of bytes as a column, null where ``column`` is."""
+    buffers = [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
+    values = pa.Array.from_buffers(pa.binary(), len(column), buffers)
+    return pc.if_else(column.is_valid(), values, pa.scalar(None, pa.binary()))
 
 
 class PairRanks:
     """The rank map: which token two adjacent tokens make, whose id is its rank. A sparse matrix with a row for each
-    left token, laid out as one literal array: each row is shifted at random until its entries meet no other."""
+    left token, laid out as one array: each row is shifted at random until its entries meet no other."""
 
     def __init__(self, ranks: dict[bytes, int], size: int):
         rows: dict[int, dict[int, int]] = {}
@@ -116,151 +122,148 @@ class PairRanks:
             shift[left] = fits[0]
             free[fits[0] + right] = False
             table[fits[0] + right] = (left << ID_BITS) + np.fromiter(rows[left].values(), np.int64)
-        last = int(np.flatnonzero(~free).max(initial=-1)) + 1
-        literals = _array(shift.tolist(), "int").alias("shift"), _array(table[:last].tolist(), "bigint").alias("table")
-        self.literal = F.struct(*literals)
+        self.shift, self.table = shift, table
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of pairs of ids; NO_RANK where they make no token."""
+        entry = self.table[self.shift[left] + right]
+        return np.where((entry >> ID_BITS == left) & (left >= 0) & (right >= 0), entry & (NO_RANK - 1), NO_RANK)
+
 
-    def rank(self, literal: Column, left: Column, right: Column) -> Column:
-        """The rank of a pair of ids; null, or 2 ** ID_BITS and more, where they make no token."""
-        entry = F.get(literal["table"], F.get(literal["shift"], left) + right)
-        return F.pmod(entry - left.cast("bigint") * (1 << ID_BITS), F.lit(1 << 2 * ID_BITS + 1))
+def _apart(places: np.ndarray) -> np.ndarray:
+    """Of ascending places, those that stay when each one, from the left, takes the next place away."""
+    i = np.arange(len(places))
+    begun = np.maximum.accumulate(np.where(np.diff(places, prepend=-2) > 1, i, 0))
+    return places[(i - begun) % 2 == 0]
 
 
 class Vocabulary:
-    """The expressions of one rank file."""
+    """One rank file."""
 
     def __init__(self, path: str | None = None):
         self.ranks = read_ranks(path or public_tokenizers.path(RANKS))
         self.size = max(self.ranks.values()) + 1
-        self.pairs = PairRanks(self.ranks, self.size)
-        self.single = _array([self.ranks.get(bytes([b]), NONE) for b in range(256)], "int")
-
-    def _next(self, pairs: Column, parts: Column) -> Column:
-        """Rank and place of the pair to join next, as one number: of the lowest rank the leftmost. Null or a number
-        from 2 ** (2 * ID_BITS) on where no pair has a rank."""
-
-        def numbered(left: Column, i: Column) -> Column:
-            return self.pairs.rank(pairs, left, F.get(parts, i + 1)) * (1 << ID_BITS) + i
-
-        return F.array_min(F.transform(parts, numbered))
-
-    def _folded(self, pairs: Column, piece: Column) -> Column:
-        """Ids of one piece by ranked merges, an array."""
-
-        def state(parts: Column) -> Column:
-            return _with(parts, lambda p: F.struct(p.alias("parts"), self._next(pairs, p).alias("next")))
-
-        def join_one(parts: Column, at: Column, made: Column) -> Column:
-            return F.array_remove(
-                F.transform(parts, lambda x, i: F.when(i == at, made).when(i == at + 1, NONE).otherwise(x)), NONE
-            )
-
-        def join_all(parts: Column, at: Column, made: Column) -> Column:
-            """The pair at ``at``, wherever it stands, in one pass over a long piece."""
-            text = F.concat(F.lit("<"), F.array_join(F.transform(parts, lambda x: x.cast("string")), "><"), F.lit(">"))
-            pair = F.concat(F.lit("<"), F.get(parts, at), F.lit("><"), F.get(parts, at + 1), F.lit(">"))
-            text = F.replace(text, pair, F.concat(F.lit("<"), made, F.lit(">")))
-            bare = F.substring(text, F.lit(2), F.length(text) - 2)
-            return F.transform(F.split(bare, "><"), lambda x: x.cast("int"))
-
-        def join(now: Column, _: Column) -> Column:
-            parts = now["parts"]
-            at = F.pmod(now["next"], F.lit(1 << ID_BITS)).cast("int")
-            made = F.shiftright(now["next"], ID_BITS).cast("int")
-            joined = F.when(F.size(parts) <= SHORT, join_one(parts, at, made)).otherwise(join_all(parts, at, made))
-            return F.when(now["next"] < 1 << 2 * ID_BITS, state(joined)).otherwise(now)
-
-        letters = F.split(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), "")  # one for each byte
-        single = F.transform(letters, lambda c: F.get(self.single, F.ascii(c)))
-        steps = F.sequence(F.lit(2), F.greatest(F.octet_length(piece), F.lit(2)))  # a step for each byte but the first
-        return F.aggregate(steps, state(single), join, lambda end: end["parts"])
-
-    def _known(self, words: dict[str, list[int]]) -> Column:
-        """Ids by word as a literal, of which the hash of a word chooses one small map."""
-        maps: list[dict] = [{} for _ in range(BUCKETS)]
-        for word, ids in words.items():
-            maps[xxhash.xxh64_intdigest(word.encode(), 42) % BUCKETS][word] = ids
-        return _array(maps, "map<string,array<int>>")
-
-    def whole(self) -> dict[str, list[int]]:
-        """Pieces that are a token."""
-        words = {}
-        for token, rank in self.ranks.items():
-            try:
-                words[token.decode()] = [rank]
-            except UnicodeDecodeError:
-                pass  # part of a character, which no piece is
-        return words
-
-    def text_ids(self, text: Column, words: dict[str, list[int]]) -> Column:
-        """Ids of a whole text, an array of integers."""
-        known = self._known(self.whole() | words)
-
-        def ids(pairs: Column) -> Column:
-            def of_piece(piece: Column) -> Column:
-                bucket = F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")
-                return F.coalesce(F.element_at(F.get(known, bucket), piece), self._folded(pairs, piece))
-
-            return F.flatten(F.transform(pieces(text), of_piece))
-
-        return _with(self.pairs.literal, ids)
-
-    def frequent(self, counted: DataFrame, words: int = WORDS) -> dict[str, list[int]]:
-        """Ids of the most frequent of the counted pieces (piece, n): whole classes of counts from the top, as long as
-        they hold at most ``words`` pieces together."""
-        short = counted.where(F.octet_length("piece") <= WORD_BYTES)
-        level = F.floor(F.log2("n") * 16).cast("int")  # at most a thousand classes
-        held = {r["level"]: r["n"] for r in short.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
-        least, total = None, 0
-        for at in sorted(held, reverse=True):
-            total += held[at]
-            if total > words:
-                break
-            least = at
-        if least is None:
-            return {}
-        folded = _with(self.pairs.literal, lambda pairs: self._folded(pairs, F.col("piece")))
-        chosen = short.where(level >= least).select("piece", folded.alias("ids"))
-        return {r["piece"]: r["ids"] for r in chosen.collect()}
-
-    def bytes_of(self, ids: Column) -> Column:
-        """The bytes that ids stand for."""
-        by_id = {rank: token.hex() for token, rank in self.ranks.items()}
-        literal = F.split(F.lit(",".join(by_id.get(i, "") for i in range(self.size))), ",")
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
-
-
-def little_endian(ids: Column, size: int) -> Column:
-    """Ids below ``size`` as little-endian unsigned 32-bit numbers, end to end."""
-    literal = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(size))), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
+
+
+class Folding:
+    """The ids of pieces by a vocabulary's ranks."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        ranks = vocabulary.ranks
+        self.pairs = PairRanks(ranks, vocabulary.size)
+        self.single = np.array([ranks.get(bytes([b]), NONE) for b in range(256)], np.int64)
+        self.tokens, self.ids = list(ranks), np.fromiter(ranks.values(), np.int64)
+
+    def folded(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of bytes by ranked merges, end to end, and how many each piece has."""
+        parts, owner = self.single[data], np.repeat(np.arange(len(lengths)), lengths)
+        done = [(parts[:0], owner[:0])]
+        while len(parts):
+            inside = np.append(owner[1:] == owner[:-1], False)  # not the last part of its piece
+            left = np.flatnonzero(inside)
+            rank = np.full(len(parts), NO_RANK, np.int64)
+            rank[left] = self.pairs.rank(parts[left], parts[left + 1])
+            starts = np.concatenate([[0], np.flatnonzero(~inside)[:-1] + 1])
+            sizes = np.diff(np.append(starts, len(parts)))
+            # of the lowest rank in each piece the leftmost place
+            best = np.minimum.reduceat((rank << 32) + np.arange(len(parts)), starts)
+            at, ended = best & ((1 << 32) - 1), best >> 32 == NO_RANK
+            joined = np.zeros(len(parts), bool)
+            joined[at[~ended]] = True
+            for i in np.flatnonzero(~ended & (sizes > SHORT)):  # in a long piece wherever the pair stands
+                own = parts[starts[i] : starts[i] + sizes[i]]
+                a, b = parts[at[i]], parts[at[i] + 1]
+                places = np.flatnonzero((own[:-1] == a) & (own[1:] == b))
+                joined[starts[i] + (_apart(places) if a == b else places)] = True
+            parts[joined] = rank[joined]
+            ended = np.repeat(ended, sizes)
+            done.append((parts[ended], owner[ended]))
+            stay = ~ended
+            stay[1:] &= ~joined[:-1]
+            parts, owner = parts[stay], owner[stay]
+        parts, owner = (np.concatenate(x) for x in zip(*done, strict=True))
+        return parts[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(lengths))
+
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, end to end, and how many each has."""
+        whole = pc.index_in(words, pa.array(self.tokens, pa.binary())).fill_null(NONE).to_numpy()
+        bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        other = whole == NONE
+        sizes = np.diff(bounds)[other]
+        ids, counts = self.folded(data[_ragged(bounds[:-1][other], sizes)], sizes)
+        lengths = np.ones(len(words), np.int64)
+        lengths[other] = counts
+        out = np.empty(lengths.sum(), np.int64)
+        single = np.repeat(~other, lengths)
+        out[single], out[~single] = self.ids[whole[~other]], ids
+        return out, lengths
+
+    def batch(self, column: pa.Array, words: int) -> pa.Array:
+        """Ids of texts that are lists of pieces."""
+        pieces, bounds = _lists(column)
+        coded = pieces.dictionary_encode()
+        distinct, codes = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+        found = [self.ids_of(distinct.slice(i, words)) for i in range(0, len(distinct), words)]
+        ids = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
+        lengths = np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)])
+        values = ids[_ragged((np.cumsum(lengths) - lengths)[codes], lengths[codes])]
+        ends = _bounds(lengths[codes])[bounds]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def little_endian(ids: Column) -> Column:
+    """Ids as little-endian unsigned 32-bit numbers, end to end."""
+
+    @F.arrow_udf("binary")
+    def packed(column: pa.Array) -> pa.Array:
+        items, bounds = _lists(column)
+        return _binaries(column, 4 * bounds, items.to_numpy(zero_copy_only=False).astype("<u4").view(np.uint8))
+
+    return packed(ids)
 
 
 def encode(
     df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, words: int = WORDS
 ) -> DataFrame:
     """``df`` with the token ids of ``text`` as an array of integers."""
-    vocabulary = Vocabulary(path)
-    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    # the outer form: for the inner one Spark adds a filter that would cut every text once more
-    single = df.select(F.explode_outer(pieces(content)).alias("piece")).where(F.col("piece").isNotNull())
-    counted = stage(single.groupBy("piece").agg(F.count("*").alias("n")), "byte-bpe-pieces")
-    return df.withColumn(out, vocabulary.text_ids(content, vocabulary.frequent(counted, words)))
+    folding, at_once = Folding(Vocabulary(path)), max(1, words)
+
+    @F.arrow_udf("array<int>")
+    def encoded(column: pa.Array) -> pa.Array:
+        found = [folding.batch(column.slice(i, ROWS), at_once) for i in range(0, max(1, len(column)), ROWS)]
+        return pa.concat_arrays(found)
+
+    return df.withColumn(out, encoded(pieces(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` with the bytes of the token ids in ``ids``."""
-    return df.withColumn(out, Vocabulary(path).bytes_of(F.col(f"`{ids}`")))
+    vocabulary = Vocabulary(path)
+    tokens = {rank: token for token, rank in vocabulary.ranks.items()}
+    lengths = np.array([len(tokens.get(i, b"")) for i in range(vocabulary.size)], np.int64)
+    joined = np.frombuffer(b"".join(tokens[i] for i in sorted(tokens)), np.uint8)
+
+    @F.arrow_udf("binary")
+    def decoded(column: pa.Array) -> pa.Array:
+        items, bounds = _lists(column)
+        items = items.fill_null(NONE).to_numpy(zero_copy_only=False)
+        known = (items >= 0) & (items < len(lengths))
+        items = np.where(known, items, 0)
+        sizes = np.where(known, lengths[items], 0)
+        places = _ragged((np.cumsum(lengths) - lengths)[items], sizes)
+        return _binaries(column, _bounds(sizes)[bounds], joined[places])
+
+    return df.withColumn(out, decoded(F.col(f"`{ids}`")))
 
 
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    size = max(read_ranks(path or public_tokenizers.path(RANKS)).values()) + 1
     ids = encode(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), path=path)
     both = decode(ids, path=path)
     return both.select(
         F.col("key").alias(key),
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian(F.col("ids"), size), 256).alias("ids_sha256"),
+        F.sha2(little_endian(F.col("ids")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -159,6 +159,15 @@ def test_frequent_words_change_nothing(spark, reference_encoding):
     assert byte_bpe.encode(df.limit(0)).count() == 0
 
 
+def test_byte_bpe_carries_no_words_in_its_plan(spark, reference_encoding):
+    texts = [f"zq{i}vexing{i * 7919}wuggle kontrafibularities{i}" for i in range(3000)] + ["y" * 49 + "zx" * 700 + "ab" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = byte_bpe.encode(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "kontrafib" not in plan and len(plan) < 100_000  # the maps of words and tokens were literals of it
+    assert all(r.ids == reference_encoding.encode_ordinary(r.text) for r in found.collect())
+
+
 # --- spelling variants
 
 
