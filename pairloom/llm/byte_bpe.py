@@ -2,7 +2,7 @@ r"""Byte-level BPE: texts to token ids by ranked merges, and ids back to bytes,
 
 A text is cut into pieces by the vocabulary's pattern, in Spark. A piece whose bytes are a token is that token. Of any
 other piece the bytes are folded: in each step the adjacent pair whose joined bytes have the lowest rank is joined wherever
-it stands, until no pair has a rank. All distinct pieces of a few thousand rows take their steps together, as one numpy
+it stands, until no pair has a rank. All distinct pieces of a thousand rows take their steps together, as one numpy
 array of parts, at most WORDS pieces at a time. Texts are never shuffled, and no table of words is kept.
 
 Decoding gathers each id's bytes from one array of all tokens.
@@ -16,6 +16,8 @@ they are; an output name that is taken is replaced, as ``withColumn`` does.
 from __future__ import annotations
 
 import base64
+import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -25,11 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
-WORDS = 1 << 17  # pieces that are folded together
-ROWS = 1 << 11  # whose pieces are handled together
+WORDS = 1 << 15  # pieces that are folded together
+ROWS = 1 << 10  # whose pieces are handled together
 SHORT = 48  # parts; shorter pieces join one pair in a step
 ID_BITS = 20  # ids are below 2 ** 20
 NO_RANK = 1 << ID_BITS
+NAMES = ["n_tokens", "ids_sha256", "decoded_sha256"]
 NONE = -1
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -92,6 +95,11 @@ def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), _bounds(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
 
 
+def _by_slices(use: Callable[[pa.Array], pa.Array], column: pa.Array, rows: int) -> pa.Array:
+    """``use`` of the column, of few rows at a time: what it needs beside the result is bounded by them."""
+    return pa.concat_arrays([use(column.slice(i, rows)) for i in range(0, max(1, len(column)), rows)])
+
+
 def _binaries(column: pa.Array, bounds: np.ndarray, data: np.ndarray) -> pa.Array:
     """Slices of bytes as a column, null where ``column`` is."""
     buffers = [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
@@ -212,15 +220,33 @@ class Folding:
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def little_endian(ids: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit numbers, end to end."""
+class Decoding:
+    """The bytes of ids of a vocabulary."""
 
-    @F.arrow_udf("binary")
-    def packed(column: pa.Array) -> pa.Array:
+    def __init__(self, vocabulary: Vocabulary):
+        tokens = {rank: token for token, rank in vocabulary.ranks.items()}
+        self.lengths = np.array([len(tokens.get(i, b"")) for i in range(vocabulary.size)], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens[i] for i in sorted(tokens)), np.uint8)
+
+    def batch(self, column: pa.Array) -> pa.Array:
+        """The bytes of lists of ids."""
+        return _by_slices(self._gathered, column, ROWS // 4)
+
+    def _gathered(self, column: pa.Array) -> pa.Array:
         items, bounds = _lists(column)
-        return _binaries(column, 4 * bounds, items.to_numpy(zero_copy_only=False).astype("<u4").view(np.uint8))
+        items = items.fill_null(NONE).to_numpy(zero_copy_only=False)
+        known = (items >= 0) & (items < len(self.lengths))
+        items = np.where(known, items, 0)
+        sizes = np.where(known, self.lengths[items], 0)
+        return _binaries(column, _bounds(sizes)[bounds], self.bytes[_ragged(self.starts[items], sizes)])
+
 
-    return packed(ids)
+def little_endian(column: pa.Array) -> list[bytes]:
+    """Lists of ids as little-endian unsigned 32-bit numbers, end to end."""
+    items, bounds = _lists(column)
+    packed = items.to_numpy(zero_copy_only=False).astype("<u4")
+    return [packed[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def encode(
@@ -231,39 +257,38 @@ def encode(
 
     @F.arrow_udf("array<int>")
     def encoded(column: pa.Array) -> pa.Array:
-        found = [folding.batch(column.slice(i, ROWS), at_once) for i in range(0, max(1, len(column)), ROWS)]
-        return pa.concat_arrays(found)
+        return _by_slices(lambda part: folding.batch(part, at_once), column, ROWS)
 
     return df.withColumn(out, encoded(pieces(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` with the bytes of the token ids in ``ids``."""
-    vocabulary = Vocabulary(path)
-    tokens = {rank: token for token, rank in vocabulary.ranks.items()}
-    lengths = np.array([len(tokens.get(i, b"")) for i in range(vocabulary.size)], np.int64)
-    joined = np.frombuffer(b"".join(tokens[i] for i in sorted(tokens)), np.uint8)
+    decoding = Decoding(Vocabulary(path))
 
     @F.arrow_udf("binary")
     def decoded(column: pa.Array) -> pa.Array:
-        items, bounds = _lists(column)
-        items = items.fill_null(NONE).to_numpy(zero_copy_only=False)
-        known = (items >= 0) & (items < len(lengths))
-        items = np.where(known, items, 0)
-        sizes = np.where(known, lengths[items], 0)
-        places = _ragged((np.cumsum(lengths) - lengths)[items], sizes)
-        return _binaries(column, _bounds(sizes)[bounds], joined[places])
+        return decoding.batch(column)
 
     return df.withColumn(out, decoded(F.col(f"`{ids}`")))
 
 
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    ids = encode(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), path=path)
-    both = decode(ids, path=path)
-    return both.select(
-        F.col("key").alias(key),
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    vocabulary = Vocabulary(path)
+    folding, decoding = Folding(vocabulary), Decoding(vocabulary)
+
+    def of(column: pa.Array) -> pa.Array:
+        ids = folding.batch(column, WORDS)
+        both = little_endian(ids), decoding.batch(ids).to_pylist()
+        hashes = [pa.array([hashlib.sha256(raw).hexdigest() for raw in column], pa.string()) for column in both]
+        return pa.StructArray.from_arrays([pc.list_value_length(ids).cast(pa.int64()), *hashes], NAMES)
+
+    # one function, as a plan of several would encode once for each; it does what encode and decode do
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digested(column: pa.Array) -> pa.Array:
+        return _by_slices(of, column, ROWS)
+
+    found = digested(pieces(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    rows = df.select(F.col(f"`{key}`").alias(key), found.alias("found"))
+    return rows.select(F.col(f"`{key}`"), *[F.col(f"found.{c}") for c in NAMES])
