@@ -10,14 +10,18 @@ have a similarity of at least ``percent``; the result gives each document the sm
    extended until t missing tokens cannot spoil all its signatures: a rare token is a signature by itself, a frequent
    one only together with another frequent one of the same subclass, so p tokens of a subclass survive p - 2 losses.
    Documents that link share a signature. Subclasses keep the pairs in proportion to the prefix; their number
-   depends on the size range of the set, and a set near the end of a range also signs for the next.
+   depends on the size range of the set, and a set near the end of a range also signs for the next: a rare token does so
+   in one row, which tells its ranges.
 4. Documents that share a signature are compared, but not all with all. First everyone is compared with the smallest
    and the largest member under the signature; a group of close copies then is one component. Only members that are
    still in different components are compared with each other, in tiles of two blocks of members, which loses no link
-   between components. Before sets are fetched, a parity bitmap of a few bits for each token that linked sets may differ
-   in rules out most pairs: each bit in which two bitmaps differ takes a token in which the sets differ.
+   between components. Before sets are fetched, a parity bitmap of a few bits for each token that linked sets may
+   differ in rules out most pairs: each bit in which two bitmaps differ takes a token in which the sets differ. Pairs that
+   are left do not leave a tile: it gives a spanning forest of them, of at most one row for each member, and what all
+   forests connect is a cluster. The sets of a cluster meet in tiles again, which give a spanning forest of the links.
 
-Signatures are shuffled once and not staged, and texts are shuffled only where a bounded bitmap of keys has their key.
+Signatures are shuffled once and not staged, and their groups are read from sorted rows without a join. Texts are
+shuffled only where a bounded bitmap of keys has their key.
 
 A null or empty text has no shingles and links with nothing: its component is its own id. With fewer than ``k`` words
 the whole sequence is one shingle. Repeated rows are documents like others. Null ids take part, but are no smallest
@@ -29,7 +33,7 @@ with a chance of 10^-11. Sets are known by 128 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +49,10 @@ PERCENT = 90
 COUNTERS = 1 << 22
 FAN_IN = 16  # count tables added up by one task
 BLOCK = 128  # members of a signature in one block of a tile
+BLOCK_TOKENS = 1 << 18  # tokens of sets in one block of a tile
 SMALL = 5  # sets of fewer than 2^SMALL tokens use single tokens only
-SEEN = 1 << 16  # sets that a task remembers to have signed
+SALTS = mix(np.arange(1, 65, dtype=np.uint64))  # of the size ranges
+SEEN = 1 << 16  # sets that a task remembers to have signed, or to have connected
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -129,18 +135,26 @@ def token_counts(df: DataFrame, text: str, k: int) -> np.ndarray:
     return total
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set, given its tokens in the common order and which of them are frequent."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set, given its tokens in the common order and which of them are frequent, and for each a bit for
+    every size range it is meant for."""
     n = len(tokens)
     need = most_missing(n, percent) + 1
     low, high = -(-n * percent // 100), n * 100 // percent
-    out = []
-    for size in range(low.bit_length() - 1, high.bit_length()):
-        salt = np.uint64((size + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64))
-        rare = tokens if size < SMALL else tokens[~frequent]
-        out.append(mix(rare[:need] + salt))
-        if len(rare) >= need:
+    sizes = range(low.bit_length() - 1, high.bit_length())
+    out, meant = [], []
+
+    def add(found: np.ndarray, ranges: Iterable[int]) -> None:
+        out.append(found)
+        meant.append(np.full(len(found), sum(1 << size for size in ranges), np.int64))
+
+    rare = tokens[~frequent]
+    add(mix(tokens[:need]), (size for size in sizes if size < SMALL))
+    add(mix(rare[:need]), (size for size in sizes if size >= SMALL))
+    for size in sizes:
+        if size < SMALL or len(rare) >= need:
             continue
+        salt = np.uint64((size + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64))
         often = tokens[frequent]
         subclass = (often >> np.uint64(21)) % np.uint64((1 << size) // 8)
         _, first = np.unique(subclass, return_index=True)
@@ -155,8 +169,9 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
             same = subclass[step:] == subclass[:-step]
             if not same.any():
                 break
-            out.append(mix(often[:-step][same] * np.uint64(0x9FB21C651E98DF25) + mix(often[step:][same]) + salt))
-    return np.unique(np.concatenate(out))
+            add(mix(often[:-step][same] * np.uint64(0x9FB21C651E98DF25) + mix(often[step:][same]) + salt), [size])
+    found, meant = np.concatenate(out), np.concatenate(meant)
+    return found[meant > 0], meant[meant > 0]
 
 
 def classes_of(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
@@ -180,7 +195,7 @@ def classes_of(df: DataFrame, key: str, text: str, k: int, percent: int) -> Data
 
 
 def signed(df: DataFrame, text: str, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(signature, one) rows; those of equal sets may repeat."""
+    """(signature, meant, one) rows: signatures and their size ranges; those of equal sets may repeat."""
     bar = max(64, 2 * int(counts.mean()))
     frequent_cells = np.packbits(counts > bar)
     ranks = np.minimum(counts - counts.min(), (1 << 16) - 1).astype(np.uint16)  # an order, with many highest or not
@@ -201,16 +216,27 @@ def signed(df: DataFrame, text: str, k: int, percent: int, counts: np.ndarray) -
                         found.append(signatures(tokens[order], frequent[cells[order]], percent))
                         ones.append(own[0])
                 if found:
-                    times = [len(s) for s in found]
+                    times = [len(s) for s, _ in found]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.concatenate(found).view(np.int64)),
+                            pa.array(np.concatenate([s for s, _ in found]).view(np.int64)),
+                            pa.array(np.concatenate([meant for _, meant in found])),
                             pa.array(np.repeat(np.array(ones, np.int64), times)),
                         ],
-                        ["signature", "one"],
+                        ["signature", "meant", "one"],
                     )
 
-    return df.select(text).mapInArrow(sign, "signature bigint, one bigint")
+    return df.select(text).mapInArrow(sign, "signature bigint, meant bigint, one bigint")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets link."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    common = int((y[at] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,12 +249,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                shared = int((y[at] == x).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                keep.append(similar(x, y, percent))
             linked = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([linked.column(0), linked.column(1)], ["a", "b"])
 
@@ -293,77 +314,191 @@ def sieved(pairs: DataFrame, numbers: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(sieve, "a bigint, b bigint")
 
 
-def tiled(inner: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (signature, one, n, bits, component) of one signature that are in different components
-    and that sizes and bitmaps do not rule out. A signature with many members is dealt out as tiles of two blocks, so
-    no group holds more than two blocks of it, and no pair leaves a tile unless it may link. Tiles of the same blocks of
-    signatures with the same smallest member meet in one task, where a pair that has many signatures counts once."""
-    blocks_of = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("members") / BLOCK, F.lit(1.0))))).cast("long")
+def shared(rows: DataFrame, parts: int) -> DataFrame:
+    """(signature, one, low, high) of the members of signatures that several sets of one size range have, with the
+    smallest and the largest member. Sorted rows pass by, and only those of one signature, three numbers each, wait."""
+
+    def members(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        signature, meant, one = np.concatenate(held, axis=1)
+        salted, ones = [], []
+        for size in range(int(np.bitwise_or.reduce(meant)).bit_length()):
+            inside = (meant >> size & 1).astype(bool)
+            salted.append(mix(signature[inside].view(np.uint64) + SALTS[size]).view(np.int64))
+            ones.append(one[inside])
+        signature, one = np.concatenate(salted), np.concatenate(ones)
+        order = np.lexsort((one, signature))
+        signature, one = signature[order], one[order]
+        new = np.ones(len(one), bool)
+        new[1:] = (signature[1:] != signature[:-1]) | (one[1:] != one[:-1])
+        signature, one = signature[new], one[new]
+        start = np.flatnonzero(np.append(True, signature[1:] != signature[:-1]))
+        times = np.diff(np.append(start, len(one)))
+        several = np.repeat(times > 1, times)
+        columns = signature, one, np.repeat(one[start], times), np.repeat(one[start + times - 1], times)
+        found = [pa.array(c[several]) for c in columns]
+        yield from pa.table(found, ["signature", "one", "low", "high"]).to_batches(1 << 16)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            last = int(np.searchsorted(new[0], new[0, -1]))  # the last signature may go on
+            if held and (last or held[-1][0, -1] != new[0, 0]):
+                yield from members([*held, new[:, :last]])
+                held = []
+            elif last:
+                yield from members([new[:, :last]])
+            held.append(new[:, last:])
+        if held:
+            yield from members(held)
+
+    rows = rows.repartition(parts, "signature").sortWithinPartitions("signature")
+    return rows.mapInArrow(pick, "signature bigint, one bigint, low bigint, high bigint")
+
+
+class Forest:
+    """Numbers known to be connected, as far as remembered."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = self.above.get(up, up)
+            x = up
+        return x
+
+    def roots(self, numbers: np.ndarray) -> np.ndarray:
+        if len(self.above) > SEEN:
+            self.above.clear()
+        return np.array([self.root(x) for x in numbers.tolist()], np.int64)
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.above[max(a, b)] = min(a, b)
+
+
+def dealt(inner: DataFrame, groups: DataFrame) -> DataFrame:
+    """(i, j, members) tiles of the members of groups (signature, weight, anchor). A group of large weight is dealt out
+    as tiles of two blocks, so no tile holds more than two blocks of it. Tiles of the same blocks of groups with the same
+    anchor meet in one task."""
+    blocks_of = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("weight"), F.lit(1.0))))).cast("long")
     own = F.pmod(F.xxhash64("one", F.lit("block")), blocks_of)
-    rows = inner.join(mixed, "signature").withColumn("own", own)
+    rows = inner.join(groups, "signature").withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks_of - 1)))
-    member = F.struct("one", "n", "bits", "component", "own")
+    member = F.struct("own", *(c for c in inner.columns if c != "signature"))
     low, high = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     rows = rows.select("signature", "anchor", low, high, member.alias("member"))
     tiles = rows.repartition("anchor", "i", "j").groupBy("anchor", "i", "j", "signature").agg(
         F.collect_list("member").alias("members")
     )
-    tiles = tiles.where(F.size("members") > 1)
+    return tiles.where(F.size("members") > 1).select("i", "j", "members")
+
+
+def fitting(batch: pa.RecordBatch, percent: int) -> Iterator[tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each tile its members, the places of those in either block, and which of these are in different components
+    and not ruled out by sizes and bitmaps."""
+    for i, j, tile in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        members = tile.values
+        own, n, component = (members.field(c).to_numpy() for c in ("own", "n", "component"))
+        x = np.flatnonzero(own == i)
+        y = np.flatnonzero(own == j)
+        if not len(x) or not len(y) or component.min() == component.max():
+            continue
+        raws = members.field("bits").to_pylist()
+        size = min(map(len, raws))
+        bits = np.stack([folded(raw, size) for raw in raws])
+        differing = np.stack([np.bitwise_count(bits[y] ^ bits[k]).sum(axis=1, dtype=np.int64) for k in x])
+        fits = can_link(n[x][:, None], n[y][None, :], differing, percent)
+        fits &= 100 * np.minimum.outer(n[x], n[y]) >= percent * np.maximum.outer(n[x], n[y])
+        fits &= component[x][:, None] != component[y][None, :]
+        if i == j:
+            fits = np.triu(fits, 1)
+        if fits.any():
+            yield members, x, y, fits
+
+
+def spanning(
+    label: np.ndarray, x: np.ndarray, y: np.ndarray, fits: np.ndarray, links: Callable[[int, int], bool]
+) -> Iterator[tuple[int, int]]:
+    """Fitting pairs that link, without those whose ends earlier ones or equal labels connect."""
+    for k, row in zip(x.tolist(), fits, strict=True):
+        for m in y[row & (label[y] != label[k])].tolist():
+            if label[k] != label[m] and links(k, m):
+                yield k, m
+                label[label == label[m]] = label[k]
+
+
+def candidates(tiles: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (a, b) of the pairs in tiles that may link: whoever is in such a pair is in it, and connected."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Forest()
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for i, j, members in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                one, n, component, own = (
-                    np.array([m[c] for m in members], np.int64) for c in ("one", "n", "component", "own")
-                )
-                x = np.flatnonzero(own == i)
-                y = np.flatnonzero(own == j)
-                if not len(x) or not len(y) or component.min() == component.max():
-                    continue
-                size = min(len(m["bits"]) for m in members)
-                bits = np.stack([folded(m["bits"], size) for m in members])
-                differing = np.stack([np.bitwise_count(bits[y] ^ bits[k]).sum(axis=1, dtype=np.int64) for k in x])
-                fits = can_link(n[x][:, None], n[y][None, :], differing, percent)
-                fits &= 100 * np.minimum.outer(n[x], n[y]) >= percent * np.maximum.outer(n[x], n[y])
-                fits &= component[x][:, None] != component[y][None, :]
-                if i == j:
-                    fits = np.triu(fits, 1)
-                at, to = np.nonzero(fits)
-                found += zip(one[x[at]].tolist(), one[y[to]].tolist(), strict=True)
-            pairs = {(min(p), max(p)) for p in found}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"]
-            )
+            for members, x, y, fits in fitting(batch, percent):
+                one = members.field("one").to_numpy()
+                for k, m in spanning(known.roots(one), x, y, fits, lambda k, m: True):
+                    known.join(int(one[k]), int(one[m]))
+                    found.append((int(one[k]), int(one[m])))
+            yield pairs_batch(found)
+
+    return tiles.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def links_in(tiles: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (a, b), by class numbers, of the links between components in tiles of members with tokens."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Forest()
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for members, x, y, fits in fitting(batch, percent):
+                node, component = (members.field(c).to_numpy() for c in ("node", "component"))
+                sets = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in members.field("tokens")]
+                for k, m in spanning(known.roots(component), x, y, fits, lambda k, m: similar(sets[k], sets[m], percent)):
+                    known.join(int(component[k]), int(component[m]))
+                    found.append((int(node[k]), int(node[m])))
+            yield pairs_batch(found)
+
+    return tiles.mapInArrow(compare, "a bigint, b bigint")
+
 
-    return tiles.select("i", "j", "members").mapInArrow(compare, "a bigint, b bigint").distinct()
+def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def linked_classes(df: DataFrame, numbers: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """(node, component) of the classes that link with another."""
-    # both sides of the join read the one shuffle, as they take the same columns of it
-    rows = signed(df, text, k, percent, token_counts(df, text, k)).repartition("signature")
-    ends = rows.groupBy("signature").agg(F.min("one").alias("low"), F.max("one").alias("high")).where("low <> high")
-    members = stage(rows.join(ends, "signature").distinct(), "join-members")
-    first = members.select(F.col("one").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
+    rows = signed(df, text, k, percent, token_counts(df, text, k))
+    members = stage(shared(rows, max(1, 2 * df.rdd.getNumPartitions())), "join-members")
+    ends = F.explode(F.array("low", "high")).alias("b")
+    first = members.select(F.col("one").alias("a"), ends).where("a <> b").distinct()
     first = stage(sieved(first, numbers, percent), "join-pairs")
     links = stage(verified(first, candidate_sets(df, numbers, first, key, text, k), percent), "join-links")
     labels = components(links)
     # what the ends did not bring together: members of one signature in different components
     known = numbers.join(labels, "node", "left")
-    known = known.select("one", "n", "bits", F.coalesce("component", "node").alias("component"))
-    inner = members.where((F.col("one") != F.col("low")) & (F.col("one") != F.col("high")))
-    inner = stage(inner.select("signature", "one").join(known, "one"), "join-inner")
+    known = known.select("one", "node", "n", "bits", F.coalesce("component", "node").alias("component"))
+    inner = members.where("one <> low and one <> high").select("signature", "one")
+    inner = stage(inner.join(known.drop("node"), "one"), "join-inner")
     mixed = inner.groupBy("signature").agg(
         F.min("component").alias("x"),
         F.max("component").alias("y"),
-        F.count("*").alias("members"),
+        (F.count("*") / BLOCK).alias("weight"),
         F.min("one").alias("anchor"),
     )
-    mixed = stage(mixed.where("x <> y").select("signature", "members", "anchor"), "join-mixed")
-    rest = stage(tiled(inner, mixed, percent), "join-rest")
+    mixed = stage(mixed.where("x <> y").select("signature", "weight", "anchor"), "join-mixed")
+    rest = stage(candidates(dealt(inner, mixed), percent), "join-rest")
     if rest.limit(1).count():
-        more = stage(verified(rest, candidate_sets(df, numbers, rest, key, text, k), percent), "join-links")
+        clusters = components(rest).select(F.col("node").alias("one"), F.col("component").alias("signature"))
+        close = stage(known.join(clusters, "one"), "join-close")
+        weight = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS).alias("weight")
+        groups = close.groupBy("signature").agg(weight).withColumn("anchor", F.col("signature"))
+        sets = candidate_sets(df, numbers, rest, key, text, k).select("node", "tokens")
+        more = stage(links_in(dealt(close.join(sets, "node"), groups), percent), "join-links")
         if more.limit(1).count():
             labels = components(links.unionByName(more))
     return labels

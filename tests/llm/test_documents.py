@@ -1,11 +1,13 @@
 """Operators on documents against brute force: nulls, empty and long texts, repeated rows, clashing columns."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -147,6 +149,51 @@ def test_ngram_join_finds_every_link_of_a_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.join(df).collect()} == expected
 
 
+def test_ngram_join_gives_no_more_candidates_than_members_of_a_group_near_the_bar(spark, monkeypatch):
+    base, rng = [f"b{i}" for i in range(150)], random.Random(5)
+
+    def edited(n):
+        text = list(base)
+        for j in range(rng.randrange(1, 5)):
+            text[rng.randrange(150)] = f"e{n}x{j}"
+        return " ".join(text)
+
+    texts = [edited(n) for n in range(240)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = [frozenset(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for t in texts]
+    links = [(i, j) for i in range(240) for j in range(i) if 100 * len(own[i] & own[j]) >= 90 * len(own[i] | own[j])]
+    reached = graphs.components(spark.createDataFrame(links, "a long, b long")).collect()
+    expected = {i: i for i in range(240)} | {r.node: r.component for r in reached}
+    staged, written = {}, ngram_join.stage
+
+    def noted(df, what):
+        staged[what] = written(df, what)
+        return staged[what]
+
+    monkeypatch.setattr(ngram_join, "stage", noted)
+    assert {r.doc_id: r.component_id for r in ngram_join.join(df).collect()} == expected
+    assert len(set(expected.values())) > 1 and len(links) > 1000
+    assert 0 < staged["join-rest"].count() < 3 * 240  # of each tile of two blocks a forest, not all pairs
+
+
+def test_ngram_join_signs_once_with_a_rare_token_and_streams_groups(spark):
+    tokens = np.arange(1, 61, dtype=np.uint64)  # linked sets have 48 to 75 tokens: two size ranges
+    found, meant = ngram_join.signatures(tokens, np.zeros(60, bool), 80)
+    assert len(found) == 13 and set(meant) == {2**5 + 2**6}
+    rows = [(s, 1 + s % 3, n) for s in range(-20, 20) for n in range(s % 4) for _ in range(s % 3 + 1)]
+    rows += [(99, 2, n) for n in range(25_000)] + [(98, n % 3 + 1, n) for n in range(6)]
+    df = spark.createDataFrame(rows, "signature long, meant long, one long").repartition(5)
+    groups = defaultdict(set)
+    for s, meant, n in rows:
+        for size in range(2):
+            if meant >> size & 1:
+                groups[s, size].add(n)
+    expected = Counter((n, min(g), max(g)) for g in groups.values() if len(g) > 1 for n in g)
+    members = ngram_join.shared(df, 3).collect()
+    assert Counter((r.one, r.low, r.high) for r in members) == expected
+    assert len({r.signature for r in members}) == sum(len(g) > 1 for g in groups.values())
+
+
 def test_ngram_join_signs_with_the_rarest_tokens_and_shuffles_few_texts(spark, monkeypatch):
     common = " ".join(f"c{i}" for i in range(100))
     texts = [f"{common} " + " ".join(f"o{n}x{i}" for i in range(100)) for n in range(50)]
