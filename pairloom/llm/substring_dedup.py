@@ -23,7 +23,7 @@ key and a 64-bit fingerprint of their text.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.tables import stage
-from pairloom.llm.words import blocks, chained, hashed_words, mix
+from pairloom.llm.words import BLOCK_BYTES, blocks, chained, hashed_words, mix, word_spans
 
 WINDOW = 35
 ROUNDS = 4
@@ -213,7 +213,8 @@ def packed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 def _with(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
     """Rows with what ``places`` has for them; keys may be null."""
     places = places.withColumnsRenamed({"key": "place_key", "print": "place_print"})
-    same = texts["key"].eqNullSafe(places["place_key"]) & (texts["print"] == places["place_print"])
+    # null-safe on both sides, so that no join filters its texts and both read the one shuffle of them
+    same = texts["key"].eqNullSafe(places["place_key"]) & texts["print"].eqNullSafe(places["place_print"])
     return texts.join(places, same, how).drop("place_key", "place_print")
 
 
@@ -221,22 +222,20 @@ def open_windows(texts: DataFrame, places: DataFrame, size: int) -> DataFrame:
     """(one, two, key, print, start) of the windows in the stretches of every row."""
 
     def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for i, places in enumerate(batch.column(3).to_pylist()):
-                raw = unpack.decompress(batch.column(2)[i].as_py())
-                words, _ = hashed_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                starts = starts_in(places)
+            for at, data, bounds in unpacked(batch.column(2)):
+                words, cuts = hashed_words(data, bounds)
+                starts, row = starts_in(batch.column(3).slice(at, len(bounds) - 1), cuts)
                 one = chained(words, size)[starts]
                 two = chained(mix(words + PRIME), size)[starts]
-                own = pa.array(np.full(len(starts), i))
+                own = pa.array(at + row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(one.view(np.int64)),
                         pa.array((two >> np.uint64(33)).astype(np.int32)),
                         batch.column(0).take(own),
                         batch.column(1).take(own),
-                        pa.array(starts.astype(np.int32)),
+                        pa.array((starts - cuts[row]).astype(np.int32)),
                     ],
                     ["one", "two", "key", "print", "start"],
                 )
@@ -245,59 +244,99 @@ def open_windows(texts: DataFrame, places: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(window, _schema(rows, "one long", "two integer", "key", "print long", "start integer"))
 
 
-def starts_in(places: list[dict]) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(np.arange(p["first"], p["last"] + 1) for p in places)])
+def unpacked(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, bytes, bounds) of blocks of compressed texts, as ``blocks`` gives them."""
+    unpack = zstandard.ZstdDecompressor()
+    first, raws, length = 0, [], 0
+    for i, packed in enumerate(column, 1):
+        raws.append(unpack.decompress(packed.as_buffer()))
+        length += len(raws[-1])
+        if length >= BLOCK_BYTES or i == len(column):
+            bounds = np.cumsum([0, *map(len, raws)])
+            yield first, np.frombuffer(b"".join(raws), np.uint8), bounds
+            first, raws, length = i, [], 0
+
+
+def starts_in(places: pa.ListArray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The window starts, as words of a block, in the places of its texts, and their texts."""
+    places = places.fill_null([]) if places.null_count else places
+    first, last = (places.flatten().field(c).to_numpy().astype(np.int64) for c in ("first", "last"))
+    row = np.repeat(np.arange(len(places)), places.value_lengths().to_numpy())
+    times = last - first + 1
+    before = np.cumsum(times) - times
+    starts = np.arange(times.sum()) + np.repeat(first + cuts[row] - before, times)
+    return starts, np.repeat(row, times)
 
 
-def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
+def repeats(df: DataFrame, texts: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(key, print, places, singles) of every row with repeated windows: stretches of window starts, and the starts in
     these that do not repeat."""
     rows = stretches(df, key, text, size)
     often = stage(rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "dedup-names")
     inside = rows.join(often, "name").groupBy("key", "print")
     places = stage(inside.agg(F.collect_set(F.struct("first", "last")).alias("places")), "dedup-places")
-    windows = open_windows(packed_texts(df, key, text), places, size).groupBy("one", "two")
+    windows = open_windows(texts, places, size).groupBy("one", "two")
     fields = ("key", "print", "start")
     once = windows.agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in fields]).where("n = 1")
     singles = once.groupBy("key", "print").agg(F.collect_list("start").alias("singles"))
     return _with(places, singles, "left")
 
 
-def removed_words(n: int, starts: np.ndarray, size: int) -> np.ndarray:
+def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     """Which of n words the windows at ``starts`` cover."""
-    steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + size, -1)
+    steps = np.bincount(starts, minlength=n + 1) - np.bincount(starts + size, minlength=n + 1)
     return np.cumsum(steps)[:n] > 0
 
 
+def kept_bytes(data: np.ndarray, bounds: np.ndarray, gone: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The words of every text that are not ``gone``, given the bounds of the texts in words, joined by one space: all
+    bytes, their bounds, and how many words each text has and loses."""
+    starts, ends, cuts = word_spans(data, bounds)
+    out = gone(cuts)
+    losses = np.concatenate([[0], np.cumsum(out)])
+    stay = np.flatnonzero(~out)
+    text = np.searchsorted(cuts, stay, "right") - 1
+    later = np.append(False, text[1:] == text[:-1])[: len(stay)]  # after another word that stays: with the byte before it
+    low, high = starts[stay] - later, ends[stay]
+    steps = np.zeros(len(data) + 1, np.int8)
+    np.add.at(steps, low, 1)
+    np.add.at(steps, high, -1)
+    inside = np.cumsum(steps[:-1], dtype=np.int8).astype(bool)
+    spaced = data.copy()
+    spaced[low[later]] = 32
+    total = np.concatenate([[0], np.cumsum(inside)])
+    return spaced[inside], total[bounds], np.diff(cuts), losses[cuts[1:]] - losses[cuts[:-1]]
+
+
 def dedup(
     df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, with_text: bool = False
 ) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of every row; ``with_text`` adds the kept words joined by spaces."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = []
-            found = zip(batch.column(2), *(batch.column(c).to_pylist() for c in (3, 4)), strict=True)
-            for packed, places, singles in found:
-                words = unpack.decompress(packed.as_py()).split()  # at the separators of words, as it is bytes
-                n, kept = len(words), words
-                if places:
-                    starts = np.setdiff1d(starts_in(places), np.array(singles or [], np.int64))
-                    gone = removed_words(n, starts, size)
-                    kept = [word for word, out in zip(words, gone.tolist(), strict=True) if not out]
-                whole = b" ".join(kept)
-                row = (n, n - len(kept), hashlib.sha256(whole).hexdigest())
-                rows.append((*row, whole.decode()) if with_text else row)
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["key", *names])
+            for at, data, bounds in unpacked(batch.column(2)):
+                rows = len(bounds) - 1
+
+                def gone(cuts: np.ndarray) -> np.ndarray:
+                    starts, _ = starts_in(batch.column(3).slice(at, rows), cuts)
+                    singles = batch.column(4).slice(at, rows)
+                    singles = singles.fill_null([]) if singles.null_count else singles
+                    own = np.repeat(cuts[:-1], singles.value_lengths().to_numpy())
+                    alone = np.zeros(cuts[-1] + 1, bool)
+                    alone[singles.flatten().to_numpy() + own] = True
+                    return covered(cuts[-1], starts[~alone[starts]], size)
+
+                whole, ends, words, lost = kept_bytes(data, bounds, gone)
+                raw = whole.tobytes()
+                texts = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                columns = [pa.array(words), pa.array(lost), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+                columns += [pa.array([t.decode() for t in texts], pa.string())] * with_text
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), *columns], ["key", *names])
 
     names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
-    rows = _with(packed_texts(df, key, text), repeats(df, key, text, size), "left")
+    texts = packed_texts(df, key, text)
+    rows = _with(texts, repeats(df, texts, key, text, size), "left")
     fields = ["n_words long", "n_removed long", "kept_sha256 string"] + ["kept_text string"] * with_text
     return rows.mapInArrow(keep, _schema(rows, "key", *fields)).withColumnRenamed("key", key)
 

@@ -23,6 +23,7 @@ from pairloom.llm import (
     secret_scan,
     substring_dedup,
     toxicity,
+    words,
 )
 from pairloom.llm.tables import having, key_marks
 
@@ -245,6 +246,19 @@ def test_substring_dedup(docs, nothing):
     assert substring_dedup.dedup(nothing).count() == 0
 
 
+def test_substring_dedup_hashes_a_window_in_a_few_steps_and_keeps_words_by_bytes():
+    h = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for size in (3, 9, 35, 199, 200):
+        slow = [sum(int(h[i + j]) * pow(int(words.CHAIN), j, 1 << 64) for j in range(size)) % (1 << 64) for i in range(200 - size)]
+        assert (words.chained(h, size) == words.mix(np.array(slow, np.uint64))).all()
+    texts = [b" a  bc\td ", b"", b"\n", b"e", "ü f\n".encode()]
+    bounds, data = np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8)
+    gone = np.array([False, True, False, True, False, False])
+    kept, ends, n, lost = substring_dedup.kept_bytes(data, bounds, lambda cuts: gone)
+    assert [kept[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])] == [b"a d", b"", b"", b"", "ü f".encode()]
+    assert (n.tolist(), lost.tolist()) == ([3, 0, 0, 1, 2], [1, 0, 0, 1, 0])
+
+
 def test_packing(docs, nothing):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     pieces = packing.pack(docs, with_ids=True)
