@@ -17,6 +17,7 @@ from __future__ import annotations
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,14 +54,14 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32  # of remembered ids
         self.forget()
 
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)  # ascending
-        self.slots = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.slots = np.zeros(0, np.int32)
+        self.cuts = np.zeros(1, np.int64)  # of the chunks in ids, by slot
+        self.ids = np.zeros(0, self.kind)
 
     def _chunks(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Starts of chunks. A chunk starts at a text, and at a space or line break after a byte that surely ends
@@ -76,15 +77,16 @@ class Encoder:
         return np.flatnonzero(start)
 
     def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        encode, lengths, learnt = self.tokenizer.encode, [], array(self.kind().dtype.char)
+        for chunk in chunks:  # one by one: a result is many times larger than its ids, and threads keep memory of their own
+            ids = encode(chunk, add_special_tokens=False).ids
+            lengths.append(len(ids))
+            learnt.extend(ids)
         at = np.searchsorted(self.hashes, hashes)
-        new = np.arange(len(self.starts), len(self.starts) + len(hashes))
+        new = np.arange(len(self.slots), len(self.slots) + len(hashes), dtype=np.int32)
         self.hashes, self.slots = np.insert(self.hashes, at, hashes), np.insert(self.slots, at, new)
-        ends = np.cumsum(lengths) + len(self.ids)
-        self.starts = np.concatenate([self.starts, ends - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.array([i for ids in encoded for i in ids], np.uint32)])
+        self.cuts = np.concatenate([self.cuts, np.cumsum(lengths) + len(self.ids)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(learnt, self.kind)])
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block, each with its end id, and the n + 1 bounds of the texts in ids."""
@@ -106,9 +108,9 @@ class Encoder:
             raw = data.tobytes()
             self._learn(distinct[~known], [raw[a:b].decode() for a, b in zip(starts[new], ends[new], strict=True)])
         slots = self.slots[np.searchsorted(self.hashes, distinct)][inverse]
-        lengths = self.lengths[slots]
+        lengths = self.cuts[slots + 1] - self.cuts[slots]
         before = np.concatenate([[0], np.cumsum(lengths)])
-        source = np.repeat(self.starts[slots] - before[:-1], lengths) + np.arange(before[-1])
+        source = np.repeat(self.cuts[slots] - before[:-1], lengths) + np.arange(before[-1])
         text_bounds = before[np.searchsorted(starts, bounds)]
         text_of = np.repeat(np.arange(n_texts), np.diff(text_bounds))
         out = np.full(before[-1] + n_texts, END_ID, np.uint32)

@@ -291,6 +291,34 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_packing_holds_one_result_of_the_tokenizer_and_little_of_a_chunk():
+    class Watched:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.most = tokenizer, 0
+
+        def encode(self, text, **options):
+            self.most = max(self.most, 1)
+            return self.tokenizer.encode(text, **options)
+
+        def encode_batch(self, texts, **options):
+            self.most = max(self.most, len(texts))
+            return self.tokenizer.encode_batch(texts, **options)
+
+    encoder = packing.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    encoder.tokenizer = Watched(encoder.tokenizer)
+    texts = [" ".join(f"w{i * i}x" for i in range(a, a + 2000)) for a in (0, 1000, 4000)]
+    texts += ["", " ".join(f"v{i}" for i in range(3000))]
+    for some in (texts[:2], texts[2:], texts):  # learnt, learnt beside what is known, all known
+        raw = [t.encode() for t in some]
+        data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        ids, cuts = encoder.encode(data, bounds)
+        want = [[*encoder.tokenizer.tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in some]
+        assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == want
+    assert encoder.tokenizer.most == 1
+    kept = sum(a.nbytes for a in vars(encoder).values() if isinstance(a, np.ndarray))
+    assert kept <= 20 * len(encoder.hashes) + 2 * len(encoder.ids) + 8 and len(encoder.hashes) > 7000
+
+
 def test_neighbours_on_the_curve_are_neighbours_in_space():
     import numpy as np
 
