@@ -382,17 +382,18 @@ class Forest:
 
 def dealt(inner: DataFrame, groups: DataFrame) -> DataFrame:
     """(i, j, members) tiles of the members of groups (signature, weight, anchor). A group of large weight is dealt out
-    as tiles of two blocks, so no tile holds more than two blocks of it. Tiles of the same blocks of groups with the same
-    anchor meet in one task."""
+    as tiles of two blocks, so no tile holds more than two blocks of it; members are gathered in blocks first, which are
+    then dealt as one row each. Tiles of the same blocks of groups with the same anchor meet in one task."""
     blocks_of = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("weight"), F.lit(1.0))))).cast("long")
     own = F.pmod(F.xxhash64("one", F.lit("block")), blocks_of)
-    rows = inner.join(groups, "signature").withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks_of - 1)))
     member = F.struct("own", *(c for c in inner.columns if c != "signature"))
+    rows = inner.join(groups, "signature").withColumn("own", own)
+    block = rows.groupBy("signature", "anchor", "weight", "own").agg(F.collect_list(member).alias("block"))
+    block = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks_of - 1)))
     low, high = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    rows = rows.select("signature", "anchor", low, high, member.alias("member"))
-    tiles = rows.repartition("anchor", "i", "j").groupBy("anchor", "i", "j", "signature").agg(
-        F.collect_list("member").alias("members")
+    block = block.select("signature", "anchor", low, high, "block")
+    tiles = block.repartition("anchor", "i", "j").groupBy("anchor", "i", "j", "signature").agg(
+        F.flatten(F.collect_list("block")).alias("members")
     )
     return tiles.where(F.size("members") > 1).select("i", "j", "members")
 

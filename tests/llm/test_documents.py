@@ -177,6 +177,35 @@ def test_ngram_join_gives_no_more_candidates_than_members_of_a_group_near_the_ba
     assert 0 < staged["join-rest"].count() < 3 * 240  # of each tile of two blocks a forest, not all pairs
 
 
+def test_components_join_fewer_edges_in_every_round(spark, monkeypatch):
+    rng, above = random.Random(7), {}
+    star = [(500 + rng.randrange(3), n) for n in range(500)] * 4
+    edges = star + [(n, n + 1) for n in range(1000, 1300)] + [(7, 7), (2000, 2000), (2001, -3)]
+    edges += [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(250)]
+
+    def root(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = root(a), root(b)
+            above[max(a, b)] = min(a, b)
+    rows, written = [], graphs.stage
+
+    def noted(df, what):
+        out = written(df, what)
+        if what == "edges":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graphs, "stage", noted)
+    found = graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in found} == {x: root(x) for x in above} and len(found) == len(above)
+    assert rows[-1] == 0 and rows[1:] and sum(rows[1:]) < rows[0] < len(edges) / 2  # in all, less than the first again
+
+
 def test_ngram_join_signs_once_with_a_rare_token_and_streams_groups(spark):
     tokens = np.arange(1, 61, dtype=np.uint64)  # linked sets have 48 to 75 tokens: two size ranges
     found, meant = ngram_join.signatures(tokens, np.zeros(60, bool), 80)
